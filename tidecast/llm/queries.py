@@ -52,6 +52,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 """
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -59,7 +74,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_reputation, op7_source_mix)}
+    return {f.__name__: f for f in (op1_personal_data, op2_url_reputation, op3_byte_bpe, op7_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
