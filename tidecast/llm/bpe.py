@@ -15,10 +15,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pieces, and pre-tokens, whose ids a worker keeps at most; beyond it the store starts afresh.
+#: Distinct parts, and pre-tokens, that a worker keeps between batches at most; beyond it the store starts afresh.
 REMEMBERED = 400_000
 #: Bytes of a batch that are turned into Python strings at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 12 << 20
+#: Bytes above which a pre-token is merged alone.
+LONG = 256
 
 
 #: Ranks that one word of the lower bitmap covers; the upper bitmap has a bit for each word.
@@ -37,7 +39,12 @@ class Codec:
         self.low = [0] * ((max(self.ranks.values()) >> WORD_BITS) + 1)
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.merged: dict[str, list[int]] = {}
+        self.merged: dict[bytes, list[int]] = {}
+        splits = {(self.ranks[t[:k]], self.ranks[t[k:]]): r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        keys = np.array([a * len(self.ranks) + b for a, b in splits], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_values = keys[order], np.array(list(splits.values()), np.int64)[order]
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the lowest-ranked adjacent pair merges first, the leftmost among equals, until none is left.
@@ -111,38 +118,145 @@ class Codec:
             i = end[i]
         return out
 
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of many pre-tokens at once: one rank queue over all of them, each step merging in many pieces together.
+
+        Pieces lie end to end; a bucket then holds positions of many pieces, and of the lowest pending rank each piece
+        merges its leftmost pair. Pieces don't touch, so every piece sees the very order of merge(). A word of the lower
+        bitmap keeps its entries together, sorted when the word comes up; entries for later words wait in an inbox.
+        """
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        n = int(lengths.sum())
+        if not n:
+            return [[] for _ in pieces]
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        part = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first[1:][lengths > 0] - 1] = -1
+        before[first[:-1][lengths > 0]] = -1
+        pair = np.full(n, -1, np.int64)
+        at = np.flatnonzero(after >= 0)
+        pair[at] = self.pair_ranks(part[at], part[after[at]])
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        top = 0
+
+        def deal(ranks: np.ndarray, at: np.ndarray, buckets: dict[int, list[np.ndarray]]) -> int:
+            """Puts the entries of one word into its buckets; returns the bits of those."""
+            bits = 0
+            if len(ranks):
+                order = np.lexsort((at, ranks))
+                ranks, at = ranks[order], at[order]
+                edges = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+                for x, y in zip(edges, edges[1:]):
+                    r = int(ranks[x])
+                    buckets.setdefault(r, []).append(at[x:y])
+                    bits |= _BIT[r & _MASK]
+            return bits
+
+        inbox = [(pair[at][pair[at] >= 0], at[pair[at] >= 0])]
+        while True:
+            inbox = [x for x in inbox if len(x[1])]
+            if inbox:  # deal the inbox out to the words of the lower bitmap
+                ranks, at = np.concatenate([x[0] for x in inbox]), np.concatenate([x[1] for x in inbox])
+                inbox = []
+                order = np.argsort(ranks >> WORD_BITS, kind="stable")
+                ranks, at = ranks[order], at[order]
+                words, starts = np.unique(ranks >> WORD_BITS, return_index=True)
+                for w, x, y in zip(words.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ranks)], strict=True):
+                    waiting.setdefault(w, []).append((ranks[x:y], at[x:y]))
+                    top |= 1 << w
+            if not top:
+                break
+            w = (top & -top).bit_length() - 1
+            top &= top - 1
+            held = waiting.pop(w)
+            ranks, at = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            buckets: dict[int, list[np.ndarray]] = {}
+            word = deal(ranks, at, buckets)
+            while word:
+                r = (w << WORD_BITS) + (word & -word).bit_length() - 1
+                word &= word - 1
+                got = buckets.pop(r)
+                i = got[0] if len(got) == 1 else np.sort(np.concatenate(got))
+                i = i[pair[i] == r]  # the rest is stale
+                if len(i) > 1:
+                    o = owner[i]
+                    lead = np.ones(len(i), bool)
+                    lead[1:] = o[1:] != o[:-1]
+                    if not lead.all():
+                        buckets[r] = [i[~lead]]
+                        word |= _BIT[r & _MASK]
+                        i = i[lead]
+                elif not len(i):
+                    continue
+                j = after[i]
+                e = after[j]
+                part[i] = r
+                pair[i] = pair[j] = part[j] = -1
+                after[i] = e
+                has = e >= 0
+                right, left = i[has], before[i]
+                before[e[has]] = right
+                lo = np.concatenate([right, left[left >= 0]])
+                pair[lo] = new = self.pair_ranks(part[lo], part[after[lo]])
+                found = new >= 0
+                new, lo = new[found], lo[found]
+                where = new >> WORD_BITS
+                later = where > w
+                if not later.all():
+                    same = where == w
+                    word |= deal(new[same], lo[same], buckets)
+                    if (where < w).any():  # a lower word is next; what is left of this one waits
+                        inbox += [(np.full(sum(map(len, v)), k), np.concatenate(v)) for k, v in buckets.items()]
+                        inbox.append((new[~same], lo[~same]))
+                        break
+                    new, lo = new[later], lo[later]
+                inbox.append((new, lo))
+        alive = np.flatnonzero(part >= 0)
+        ids = part[alive].tolist()
+        cut = np.searchsorted(alive, first).tolist()
+        return [ids[x:y] for x, y in zip(cut, cut[1:])]
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of part ids joined, -1 where the join is no token."""
+        key = left * len(self.ranks) + right
+        slot = np.searchsorted(self.pair_keys, key)
+        slot[slot == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[slot] == key, self.pair_values[slot], -1)
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for m in self.pattern.finditer(text):
-            part = m[0]
-            ids = self.merged.get(part)
-            if ids is None:
-                ids = self.merge(part.encode())
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
-                if len(part) < 64:
-                    self.merged[part] = ids
-            out += ids
-        return out
+        return [i for m in self.pattern.finditer(text) for i in self.merge(m[0].encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def piece(self, text: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, their number, decoded bytes) of a piece, remembered: most pieces of a corpus recur."""
-        ids = self.encode(text)
-        if len(self.kept) >= REMEMBERED:
+    def learn(self, texts: list[str]) -> dict[str, tuple[str, int, bytes]]:
+        """(ids joined by commas, their number, decoded bytes) of every distinct part of the texts, old and new.
+
+        A text is cut before white space, where no pre-token of the pattern reaches across. Most parts of a corpus recur,
+        so a worker keeps a bounded store of them; pre-tokens of new parts are merged together, very long ones alone.
+        """
+        need: set[str] = set()
+        for t in texts:
+            need.update(_CUT.findall(t))
+        if len(self.kept) + len(need) > REMEMBERED:
             self.kept.clear()
-        out = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(text) < 64:
-            self.kept[text] = out
+        need.difference_update(self.kept)
+        split = {p: [m.encode() for m in self.pattern.findall(p)] for p in need}
+        fresh = list({m for ms in split.values() for m in ms if m not in self.merged and len(m) <= LONG})
+        if len(self.merged) + len(fresh) > REMEMBERED:
+            self.merged.clear()
+            fresh = list({m for ms in split.values() for m in ms if len(m) <= LONG})
+        self.merged.update(zip(fresh, self.merge_all(fresh), strict=True))
+        for p, ms in split.items():
+            ids = [i for m in ms for i in (self.merged[m] if len(m) <= LONG else self.merge(m))]
+            self.kept[p] = ",".join(map(str, ids)), len(ids), self.decode(ids)
+        out = self.kept
+        if len(out) > REMEMBERED:
+            self.kept = {}
         return out
 
-    def pieces(self, text: str) -> list[tuple[str, int, bytes]]:
-        """The text cut before white space, where no pre-token of the pattern reaches across, and each part encoded."""
-        get, make = self.kept.get, self.piece
-        return [get(p) or make(p) for p in _CUT.findall(text)]
-
 
 # White space as the pattern's \s has it (fixed by Unicode), which re's own \s isn't.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -166,14 +280,15 @@ def _slices(column: pa.Array) -> Iterator[list[str]]:
 
 
 def _over(docs: DataFrame, key: str, text: str, row: Callable, fields: list[tuple[str, str, pa.DataType]], path: str, pattern: str) -> DataFrame:
-    """A narrow map of (key, text) through the worker's codec; row gives the fields of one text."""
+    """A narrow map of (key, text) through the worker's codec; row gives the fields of one text from its encoded parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(1)):
-                rows = [row(tool, t) for t in texts]
+                known = tool.learn(texts)
+                rows = [row([known[p] for p in _CUT.findall(t)]) for t in texts]
                 arrays = [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], names=["key", *(f[0] for f in fields)])
                 at += len(texts)
@@ -183,10 +298,9 @@ def _over(docs: DataFrame, key: str, text: str, row: Callable, fields: list[tupl
     return out.withColumnRenamed("key", key)
 
 
-def _digests(tool: Codec, text: str) -> tuple[int, str, str]:
-    parts = tool.pieces(text)
-    ids, decoded = hashlib.sha256(",".join([p[0] for p in parts]).encode()), hashlib.sha256(b"".join([p[2] for p in parts]))
-    return sum([p[1] for p in parts]), ids.hexdigest(), decoded.hexdigest()
+def _digests(parts: list[tuple[str, int, bytes]]) -> tuple[int, str, str]:
+    ids, counts, decoded = zip(*parts, strict=True) if parts else ((), (), ())
+    return sum(counts), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,8 +313,8 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _over(docs, key, text, _digests, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], path, pattern)
 
 
-def _encoded(tool: Codec, text: str) -> tuple[list[int], int]:
-    ids = [int(i) for p in tool.pieces(text) for i in p[0].split(",")]
+def _encoded(parts: list[tuple[str, int, bytes]]) -> tuple[list[int], int]:
+    ids = [int(i) for p in parts for i in p[0].split(",")]
     return ids, len(ids)
 
 
