@@ -67,15 +67,86 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under two tokenizer versions; toxic ones deleted, low-quality ones recounted without symbols; every batch sent twice."""
+    from .common import Scratch
+    from .rollups import COUNTERS, Rollup, count_tokens
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollup = Rollup(spark, Scratch(spark, "rollups").root)
+    counts = F.array(*[F.struct(F.lit(v).alias("version"), count_tokens(F.col("text"), v).alias("n")) for v in COUNTERS])
+    plain = F.array(*[F.struct(F.lit(v).alias("version"), count_tokens(F.col("text"), v).alias("old"), count_tokens(F.regexp_replace("text", r"[!#$%&*|]+", " "), v).alias("n")) for v in COUNTERS])
+    each = docs.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select("doc_id", "source", "lang", "c.version", F.col("c.n").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+    toxic = each.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    poor = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").select("source", "lang", F.explode(plain).alias("c"))
+    poor = poor.select("source", "lang", "c.version", F.col("c.n").alias("n_tokens"), F.col("c.old").alias("old_tokens"))
+    for name, op, rows in (("load", "insert", each), ("toxic", "delete", toxic), ("symbols", "revise", poor)):
+        for _ in range(2):
+            rollup.commit(name, rows.select(F.lit(op).alias("op"), "source", "lang", "version", "n_tokens", "old_tokens"))
+    rollup.compact()
+    return rollup.totals()
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT doc_id, source, lang, 'words-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[!#$%&*|]+', ' ', 'g'), '[^\x20\x09-\x0D]+')) AS plain FROM documents
+  UNION ALL
+  SELECT doc_id, source, lang, 'pieces-1', len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+')), len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[!#$%&*|]+', ' ', 'g'), '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]+')) FROM documents),
+ch AS (
+  SELECT source, lang, version, 1 AS docs, n AS tokens FROM c
+  UNION ALL SELECT source, lang, version, -1, -n FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+  UNION ALL SELECT source, lang, version, 0, plain - n FROM c WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 0))
+SELECT source, lang, version, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM ch GROUP BY ALL HAVING sum(docs) <> 0 OR sum(tokens) <> 0
+"""
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op9_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grade, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, ratings(table(spark, sf_dir, "labels")), levels=3)
+    return grade(docs, model, least=2)
+
+
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grades of labelled documents: 0 without quality, 1 with quality but toxic, 2 with quality and not toxic."""
+    return labels.select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+
+
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_url_reputation, op3_byte_bpe, op7_source_mix)}
+    return {f.__name__: f for f in (op1_personal_data, op2_url_reputation, op3_byte_bpe, op4_license_scan, op5_embedding_pairs, op6_token_rollups, op7_source_mix, op8_nearest, op9_quality_grades, op10_shingle_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_reputation": OP2_SQL}
+    return {"op2_url_reputation": OP2_SQL, "op6_token_rollups": OP6_SQL}

@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 _LOWERED = _TABLE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,7 +64,7 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
 class Words:
     """start, end (bytes, end exclusive), doc (row of the chunk) and hash of each word; first: each doc's first word, and the end."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, hashed: bool = True):
+    def __init__(self, data: np.ndarray, off: np.ndarray, trim: bool = False):
         self.data, self.off, docs = data, off, len(off) - 1
         space = _SPACE[data]
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
@@ -73,12 +75,17 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(docs), self.counts)
-        if hashed:
-            up, down = _powers(max(20, int(len(data)).bit_length()))
-            run = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_LOWERED[data] * up[: len(data)], out=run[1:])
-            length = (self.end - self.start).astype(np.uint64)
-            self.hash = mix((run[self.end] - run[self.start]) * down[self.start] + length * _STEP[63])
+        if trim:  # punctuation at the edges goes; a word of nothing else stays
+            plain = np.concatenate([[0], np.flatnonzero(~_PUNCTUATION[data]) + 1])  # 1-based places of other bytes
+            upto = np.concatenate([[0], np.cumsum(~_PUNCTUATION[data])])
+            has = upto[self.end] > upto[self.start]
+            first, last = plain[np.minimum(upto[self.start] + 1, len(plain) - 1)] - 1, plain[upto[self.end]]
+            self.start, self.end = np.where(has, first, self.start), np.where(has, last, self.end)
+        up, down = _powers(max(20, int(len(data)).bit_length()))
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_LOWERED[data] * up[: len(data)], out=run[1:])
+        length = (self.end - self.start).astype(np.uint64)
+        self.hash = mix((run[self.end] - run[self.start]) * down[self.start] + length * _STEP[63])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, doc) of every run of `size` words inside a document."""
