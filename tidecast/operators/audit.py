@@ -20,7 +20,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def crosstab(df: DataFrame, a: str, b: str, levels: Sequence[object]) -> DataFrame:
     """A row for each a, a column for each declared level of b."""
-    return df.groupBy(a).pivot(b, list(levels)).agg(F.count("*")).fillna(0)
+    return df.groupBy(a).pivot(b, list(levels)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

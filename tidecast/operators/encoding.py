@@ -48,7 +48,8 @@ def undeclared(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
 def never_observed(df: DataFrame, declared: Mapping[str, Sequence[str]]) -> DataFrame:
     """(column, level) declared but absent, with one pass over the data."""
     seen = df.agg(*[F.collect_set(F.when(F.col(c).isin(*levels), F.col(c))).alias(c) for c, levels in declared.items()])  # bounded by the declared levels
-    return seen.select(F.explode(F.concat(*[F.transform(F.array_except(_array(levels), F.col(c)), lambda x, c=c: F.struct(F.lit(c).alias("column"), x.alias("level"))) for c, levels in declared.items()])).alias("m")).select("m.*")
+    absent = lambda c, levels: F.transform(F.array_except(_array(levels), F.col(c)), lambda x: F.struct(F.lit(c).alias("column"), x.alias("level")))
+    return seen.select(F.explode(F.concat(*[absent(c, levels) for c, levels in declared.items()])).alias("m")).select("m.*")
 
 
 def view(df: DataFrame, kind: str, levels: Mapping[str, Sequence[str]], booleans: Sequence[str], numbers: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

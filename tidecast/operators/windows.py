@@ -105,13 +105,13 @@ def rolling(df: DataFrame, value: str, sizes: Sequence[int] = (5, 10, 20), order
     return df.select("*", *cols)
 
 
-def changes(df: DataFrame, value: str, order: str = "d", roc: int = 5, mean: int = 5, digits: int = 4, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Percent change to the row before and roc rows before, and the rolling mean of the rounded change; all rounded."""
+def changes(df: DataFrame, value: str, order: str = "d", roc: int = 5, mean: int = 5, digits: int = 4, mean_digits: int = 6, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Percent change to the row before and roc rows before, and the rolling mean of the rounded change, rounded to mean_digits."""
     w = along(order, partition_by)
     change = F.round(100 * F.try_divide(F.col(value) - F.lag(value).over(w), F.lag(value).over(w)), digits)
     out = df.select("*", change.alias("pct"), F.round(100 * F.try_divide(F.col(value) - F.lag(value, roc).over(w), F.lag(value, roc).over(w)), digits).alias("roc"))
     full = F.count("pct").over(w.rowsBetween(1 - mean, 0)) == mean
-    return out.select("*", F.when(full, F.round(F.avg("pct").over(w.rowsBetween(1 - mean, 0)), digits)).alias("pct_mean"))
+    return out.select("*", F.when(full, F.round(F.avg("pct").over(w.rowsBetween(1 - mean, 0)), mean_digits)).alias("pct_mean"))
 
 
 def direction(x: Column) -> Column:
