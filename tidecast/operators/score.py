@@ -46,12 +46,12 @@ def errors(df: DataFrame, truth: Sequence[str], forecast: Sequence[str]) -> Data
 
 def boosted_steps(train: DataFrame, features: Sequence[str], targets: Sequence[str], rounds: int = 10, depth: int = 3, seed: int = 1) -> list[PipelineModel]:
     """A stand-in for multi-output boosting: one gradient-boosted regressor per horizon step, on Spark's own trees."""
-    data = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(train)
-    return [GBTRegressor(featuresCol="x", labelCol=t, predictionCol=f"f_{t}", maxIter=rounds, maxDepth=depth, seed=seed).fit(data.where(F.col(t).isNotNull())) for t in targets]
+    data = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(train)
+    return [GBTRegressor(featuresCol="_features", labelCol=t, predictionCol=f"f_{t}", maxIter=rounds, maxDepth=depth, seed=seed).fit(data.where(F.col(t).isNotNull())) for t in targets]
 
 
 def forecast(df: DataFrame, models: list, features: Sequence[str]) -> DataFrame:
-    out = VectorAssembler(inputCols=list(features), outputCol="x", handleInvalid="skip").transform(df)
+    out = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
     for m in models:
         out = m.transform(out)
-    return out.drop("x")
+    return out.drop("_features")
