@@ -77,7 +77,7 @@ def _sums(weights: np.ndarray, f: np.ndarray, off: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 12, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, least: int = 4, seed: int = 5) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 8, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, least: int = 8, seed: int = 5) -> Ordinal:
     """Maximum likelihood by AdaGrad over seeded mini-batches; a feature of fewer than `least` documents keeps weight 0."""
     size = WORD_BUCKETS + SHAPE_BUCKETS
     share = np.array([(grades <= k).mean() if len(grades) else 0.5 for k in range(levels - 1)])
@@ -86,7 +86,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 1
     weights = np.zeros(size)
     if not len(rows):
         return Ordinal(weights, t)
-    seen = np.bincount(np.concatenate(rows), minlength=size) >= least
+    top = grades == levels - 1
+    counts = [np.bincount(np.concatenate([r for r, g in zip(rows, top, strict=True) if g == side] or [np.zeros(0, np.int64)]), minlength=size) for side in (True, False)]
+    seen = counts[0] + counts[1] >= least
+    # features that tell the top grade from the rest move further at each step
+    scale = np.abs(np.log((counts[0] + 1) / (top.sum() + 2)) - np.log((counts[1] + 1) / ((~top).sum() + 2)))
     rows = [r[seen[r]] for r in rows]
     square, t_square = np.full(size, 1e-4), np.full(levels - 1, 1e-4)
     rng = np.random.RandomState(seed)
@@ -96,7 +100,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 1
             pick = order[k : k + batch]
             f = np.concatenate([rows[i] for i in pick])
             off = np.concatenate([[0], np.cumsum([len(rows[i]) for i in pick])])
-            s, y = _sums(weights, f, off), grades[pick]
+            s, y = _sums(weights * scale, f, off), grades[pick]
             edge = np.concatenate([np.full((len(pick), 1), 0.0), _sigmoid(t[None, :] - s[:, None]), np.full((len(pick), 1), 1.0)], 1)
             row = np.arange(len(pick))
             upper, lower = edge[row, y + 1], edge[row, y]
@@ -106,13 +110,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 1
             np.add.at(dt, np.minimum(y, levels - 2), np.where(y < levels - 1, -upper * (1 - upper) / p, 0.0) / len(pick))
             np.add.at(dt, np.maximum(y - 1, 0), np.where(y > 0, lower * (1 - lower) / p, 0.0) / len(pick))
             touched = np.unique(f)
-            g = np.bincount(np.searchsorted(touched, f), np.repeat(ds, np.diff(off)), len(touched)) + l2 * weights[touched]
+            g = np.bincount(np.searchsorted(touched, f), np.repeat(ds, np.diff(off)), len(touched)) * scale[touched] + l2 * weights[touched]
             square[touched] += g * g
             weights[touched] -= rate * g / np.sqrt(square[touched])
             t_square += dt * dt
             t = t - rate * dt / np.sqrt(t_square)
             t = np.maximum.accumulate(t + 1e-3 * np.arange(levels - 1)) - 1e-3 * np.arange(levels - 1) if levels > 2 else t
-    return Ordinal(weights, t)
+    return Ordinal(weights * scale, t)
 
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 8000, key: str = "doc_id", text: str = "text", grade: str = "grade", seed: int = 3) -> Ordinal:
