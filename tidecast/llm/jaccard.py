@@ -6,13 +6,14 @@ shingles themselves (a one-shingle set is a pivot that only the documents holdin
 split the large ones:
 
 1. Seeds. Two sets at distance <= 1 - t share one of the first floor((1-t)n) + 1 shingles of either in any common
-   order; by hash, those are a document's home and boundary replicas. Seeds with at most LEAF documents are leaves:
-   their pairs are counted, bounded from the counts and the sizes, and the rest verified on the whole sets.
-2. Documents of larger seeds are seeded anew among themselves in order of document frequency, so that a passage that
-   thousands share comes last and makes no region unless little else is in the documents.
-3. Regions that stay large hold near copies. The region's smallest id is its pivot; distances to it are exact. Documents
-   within the radius form its Voronoi cell and are linked by it. Others join each other, and boundary documents of the
-   cell within the triangle-inequality window, in the next round, with the next pivot; small rests are leaves.
+   order: a document's home and boundary replicas. The order is by hash, but shingles that more than LEAF documents
+   reach ("hot": shared passages, large groups of copies) come last, so documents that hold some reach further down
+   their own list until enough others are in. Seeds that aren't hot are leaves: their pairs are counted, bounded from
+   the counts and the sizes, and the rest verified on the whole sets.
+2. Documents of too few other shingles are in regions of their hot ones, rarest first. There a region's smallest id is
+   its pivot; distances to it are exact. Documents within the radius form its Voronoi cell and are linked by it. Others
+   join each other, and boundary documents of the cell within the triangle-inequality window, in the next round, with
+   the next pivot; small rests are leaves.
 
 Every step loses no pair at distance <= 1 - t whose documents aren't linked otherwise.
 """
@@ -27,35 +28,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, with_ids
+from .common import BROADCAST_IDS, Scratch, components, with_ids
 from .words import Words, chunks, lists, shingles
 
-#: Documents that a region has at most to be joined pair by pair.
-LEAF = 32
+#: Documents that a seed's region has at most to be a leaf, and that the rest of a region around a pivot has at most
+#: to be joined pair by pair.
+LEAF, REST = 32, 256
 #: Pivots that a large region gets at most one after the other before its unlinked rest is joined pair by pair.
-ROUNDS = 8
+ROUNDS = 6
 
 
-def sets(docs: DataFrame, size: int, head: float | None = None) -> DataFrame:
-    """(id, n, key, shingles) of (id, text): set size, a 128-bit key of the whole set, and its sorted shingles.
-
-    head: keep the floor(head * n) + 1 smallest only. Empty sets keep none.
-    """
+def sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, key, shingles) of (id, text): set size, a 128-bit key of the whole set, and its sorted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in chunks(batch.column(1)):
                 s, at = shingles(Words(data, off), size)
-                n = np.diff(at)
                 keys = [xxhash.xxh3_128_digest(s[at[k] : at[k + 1]]) for k in range(j - i)]
-                if head is not None:
-                    stop = np.minimum(at[:-1] + (head * n).astype(np.int64) + 1, at[1:])
-                    mask = np.zeros(len(s) + 1, np.int64)
-                    np.add.at(mask, at[:-1], 1)
-                    np.add.at(mask, stop, -1)
-                    mask = np.cumsum(mask)[:-1] > 0
-                    s, at = s[mask], np.concatenate([[0], np.cumsum(stop - at[:-1])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), lists(s, at)], names=["id", "n", "key", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists(s, at)], names=["id", "n", "key", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, n long, key binary, shingles array<long>")
@@ -67,9 +58,10 @@ def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with n_a, n_b and the exact intersection size inter of their sets."""
-    left = whole.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = whole.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    """Saved pairs (a, b) with n_a, n_b and the exact intersection size inter of their sets."""
+    few = pairs.count() <= BROADCAST_IDS  # so are their ids
+    ids = {s: pairs.select(F.col(s).alias("id")).distinct() for s in "ab"}
+    left, right = (whole.join(F.broadcast(ids[s]) if few else ids[s], "id", "left_semi").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b")
     names = [*pairs.columns, "n_a", "n_b"]
 
@@ -97,85 +89,79 @@ def _pairs(regions: DataFrame) -> DataFrame:
     return two.groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
-def _possible(pairs: DataFrame, percent: int, hot: Column) -> DataFrame:
-    """Pairs (a, b, c, n_a, n_b) that can still link: shingles shared among the seeds (c, and at most `hot` more), and at
-    most the larger of the sets' parts behind the seeds, bound the intersection from above."""
-    rest = lambda n: n - F.floor(n * (100 - percent) / 100) - 1
-    most = F.least("n_a", "n_b", F.col("c") + hot + F.greatest(rest(F.col("n_a")), rest(F.col("n_b"))))
-    return pairs.where(linked(most, F.col("n_a"), F.col("n_b"), percent))
-
-
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """pairs with n_a, n_b, h_a, h_b from sizes (id, n, h)."""
-    a, b = (sizes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b")
+def _least(n: Column, percent: int) -> Column:
+    """Shingles of which two linked sets share one, in any common order."""
+    return F.floor(n * (100 - percent) / 100) + 1
 
 
-def links(docs: DataFrame, meta: DataFrame, scratch: Scratch, percent: int, size: int, leaf: int = LEAF) -> DataFrame:
-    """(a, b) links among (id, text) documents of distinct sets that connect exactly what all links connect.
-
-    meta: their (id, n, shingles), shingles being the seeds by hash.
-    """
-    share = (100 - percent) / 100
-    index = meta.select("id", F.explode("shingles").alias("seed"))
-    # 1. seeds by hash: sizes of the regions first, as most seeds are alone
-    regions = index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1")
-    regions = scratch.save(regions, "regions")
+def seeds(whole: DataFrame, scratch: Scratch, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(seed, id, k) of the seeds that k > 1 documents reach, and (id, n, w, h) of every document: w, how far it reaches
+    into its list, and h, how many of those are hot. Either w - h is enough for the prefix rule, or w is all."""
+    need = _least(F.col("n"), percent)
+    # a third more than needed at once, as most documents hold a passage or two that is hot
+    reach = whole.select("id", "n", "shingles", F.least("n", F.ceil(need * 1.35)).alias("w"))
+    index = reach.select("id", F.explode(F.slice("shingles", 1, F.col("w").cast("int"))).alias("seed"))
+    regions = scratch.save(index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions")
     many = scratch.save(regions.where("k > 2").select("seed", "k"), "many")
-    members = scratch.save(with_ids(index, many, "seed", "inner"), "members")
-    hot = scratch.save(members.where(F.col("k") > leaf).groupBy("id").agg(F.count("*").alias("h")), "hot")
-    twos = regions.where("k = 2").groupBy("a", "b").agg(F.count("*").alias("c"))
-    pairs = twos.unionByName(_pairs(members.where(F.col("k") <= leaf))).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = scratch.save(pairs, "pairs")
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sizes = scratch.save(with_ids(meta.select("id", "n"), ids, "id").join(hot, "id", "left").select("id", "n", "h"), "sizes")
-    # a pair of two documents of large regions is left to step 2; of others no large region is shared
-    pairs = _sized(pairs, sizes).where("h_a IS NULL OR h_b IS NULL").select("a", "b", "c", "n_a", "n_b")
-    pairs = scratch.save(_possible(pairs, percent, F.lit(0)).select("a", "b"), "leaves")
-
-    wanted = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct(), "wanted")
-    whole = scratch.save(sets(with_ids(docs, wanted, "id"), size).select("id", "n", "shingles"), "sets")
+    twos = regions.where("k = 2").select("seed", "k", F.explode(F.array("a", "b")).alias("id"))
+    members = scratch.save(with_ids(index, many, "seed", "inner").select("seed", "k", "id").unionByName(twos), "members")
+    reach, widths = reach.select("id", "n", "w"), None
+    for turn in range(12):
+        hot = scratch.save(members.where(F.col("k") > leaf).groupBy("id").agg(F.count("*").alias("h")), "hot")
+        now = reach.select("id", "n", "w") if widths is None else with_ids(reach.select("id", "n", F.col("w").alias("w0")), widths, "id", "left").select("id", "n", F.coalesce("w", "w0").alias("w"))
+        now = with_ids(now, hot, "id", "left").select("id", "n", "w", F.coalesce("h", F.lit(0)).alias("h"))
+        short = F.col("w") - F.col("h") < need
+        wider = F.when((F.col("h") * 2 > F.col("w")) | F.lit(turn > 0), F.col("n")).otherwise(F.least("n", F.col("w") + F.ceil((need + F.col("h") - F.col("w")) * 1.5) + 2))
+        grow = scratch.save(now.where(short & (F.col("w") < F.col("n"))).select("id", "w", wider.alias("to")), "grow")
+        if not grow.limit(1).count():
+            return members, scratch.save(now, "reach")
+        fresh = with_ids(whole.select("id", "shingles"), grow, "id", "inner").select("id", F.explode(F.slice("shingles", (F.col("w") + 1).cast("int"), (F.col("to") - F.col("w")).cast("int"))).alias("seed"))
+        fresh = scratch.save(fresh, "fresh")
+        touched = scratch.save(fresh.select("seed").distinct(), "touched")
+        both = scratch.save(with_ids(index, touched, "seed").unionByName(fresh), "both")
+        counts = scratch.save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
+        members = scratch.save(with_ids(members, touched, "seed", "left_anti").unionByName(with_ids(both, counts, "seed", "inner").select("seed", "k", "id")), "members")
+        index = index.unionByName(fresh)
+        new = grow.select("id", F.col("to").alias("w"))
+        widths = scratch.save(new if widths is None else new.unionByName(with_ids(widths, new, "id", "left_anti")), "widths")
+    raise RuntimeError("the seeds did not settle")
+
+
+def links(whole: DataFrame, scratch: Scratch, percent: int, leaf: int = LEAF) -> DataFrame:
+    """(a, b) links among (id, n, shingles) documents of distinct sets that connect exactly what all links connect."""
+    share = (100 - percent) / 100
+    members, reach = seeds(whole, scratch, percent, leaf)
+    # 1. leaves: shared shingles that are counted, at most the fewer hot ones, and at most what lies beyond either reach
+    pairs = scratch.save(_pairs(members.where(F.col("k") <= leaf)), "pairs")
+    for side in "ab":
+        pairs = pairs.join(reach.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("w").alias(f"w_{side}"), F.col("h").alias(f"h_{side}")), side)
+    most = F.least("n_a", "n_b", F.col("c") + F.least("h_a", "h_b") + F.greatest(F.col("n_a") - F.col("w_a"), F.col("n_b") - F.col("w_b")))
+    pairs = scratch.save(pairs.where(linked(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "leaves")
     found = [scratch.save(verify(pairs, whole), "verified")]
 
-    # 2. documents of large regions, seeded by document frequency among themselves
-    inner = with_ids(whole, hot.select("id"), "id").select("id", "n", F.explode("shingles").alias("seed"))
-    shared = scratch.save(inner.groupBy("seed").agg(F.count("*").alias("df")).where("df > 1"), "df")
-    place = Window.partitionBy("id").orderBy("df", "seed")
-    inner = inner.join(shared, "seed").select("id", "n", "seed", "df", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy("id")).alias("m"))
-    # seeds of frequency 1 come first and make no region: so many fewer of the shared ones count
-    inner = scratch.save(inner.where(F.col("place") <= F.floor(F.col("n") * share) + 1 - (F.col("n") - F.col("m"))).select("id", "n", "seed"), "inner")
-    crowd = scratch.save(inner.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "crowd")
-    members = scratch.save(inner.join(crowd, "seed"), "members")
-    large = members.where(F.col("k") > leaf)
-    sizes = scratch.save(inner.select("id", "n").distinct().join(large.groupBy("id").agg(F.count("*").alias("h")), "id", "left").select("id", "n", F.coalesce("h", F.lit(0)).alias("h")), "sizes")
-    pairs = _sized(_pairs(members.where(F.col("k") <= leaf)), sizes)
-    pairs = scratch.save(_possible(pairs, percent, F.least("h_a", "h_b")).select("a", "b"), "leaves")
-    found.append(scratch.save(verify(pairs, whole), "verified"))
-
-    # 3. large regions, by pivots; regions of one pivot are one region
-    state = large.select("seed", "id", "n")
+    # 2. regions of hot seeds, for documents that lack others: rarest first, as many as the prefix rule still asks for
+    lacking = scratch.save(reach.select("id", "n", (_least(F.col("n"), percent) - F.col("w") + F.col("h")).alias("lack")).where("lack > 0"), "lacking")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "seed"))
+    state = with_ids(members.where(F.col("k") > leaf), lacking, "id", "inner").withColumn("place", place).where("place <= lack").select("seed", "id", "n")
     near = F.lit(share)
     for _ in range(ROUNDS):
         pivots = scratch.save(state.groupBy("seed").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1"), "pivots")
         state = scratch.save(state.join(pivots, "seed").select("pivot", "id", "n").distinct(), "cells")
         if not state.limit(1).count():
             break
-        cells = verify(state.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), whole)
+        cells = verify(scratch.save(state.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "spokes"), whole)
         cells = scratch.save(cells.withColumn("d", 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)), "verified")
         found.append(cells.where("in").select("a", "b", "n_a", "n_b", "inter"))
         # outside the cell: pairs among them, and with the cell's documents in the window d(x, pivot) >= d(y, pivot) - radius
         outside = cells.where("NOT in").select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("d").alias("d_y"))
         inside = cells.where("in").select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("d").alias("d_x"))
         window = (F.col("d_x") >= F.col("d_y") - near - 1e-9) & linked(F.least("n_x", "n_y"), F.col("n_x"), F.col("n_y"), percent)
-        across = inside.join(outside.where(F.col("d_y") <= 2 * share + 1e-9), "a").where(window)
-        across = scratch.save(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
-        found.append(scratch.save(verify(across, whole), "verified"))
+        across = inside.join(outside.where(F.col("d_y") <= 2 * share + 1e-9), "a").where(window).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         rest = outside.select(F.col("a").alias("seed"), F.col("y").alias("id"), F.col("n_y").alias("n"))
-        count = rest.groupBy("seed").agg(F.count("*").alias("k"))
-        rest = scratch.save(rest.join(count, "seed"), "rest")
-        pairs = scratch.save(_pairs(rest.where(F.col("k") <= leaf)).select("a", "b"), "leaves")
+        rest = scratch.save(rest.join(rest.groupBy("seed").agg(F.count("*").alias("k")), "seed"), "rest")
+        pairs = scratch.save(across.union(_pairs(rest.where(F.col("k") <= REST)).select("a", "b")).distinct(), "leaves")
         found.append(scratch.save(verify(pairs, whole), "verified"))
-        state = rest.where(F.col("k") > leaf).select("seed", "id", "n")
+        state = rest.where(F.col("k") > REST).select("seed", "id", "n")
     else:
         left, right = state.select("seed", F.col("id").alias("a"), F.col("n").alias("x")), state.select("seed", F.col("id").alias("b"), F.col("n").alias("y"))
         pairs = left.join(right, "seed").where((F.col("a") < F.col("b")) & linked(F.least("x", "y"), F.col("x"), F.col("y"), percent))
@@ -197,13 +183,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    meta = scratch.save(sets(texts, size, (100 - percent) / 100), "meta")
+    meta = scratch.save(sets(texts, size), "meta")
     classes = scratch.save(meta.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("copies")), "classes")
     # all but each class's smallest id stand aside
     several = classes.where("copies > 1")
     aside = scratch.save(with_ids(meta.where("n > 0").select("key", "id"), several.select("key", "rep"), "key", "inner").where("id <> rep").select("id").distinct(), "aside")
-    alone = with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "shingles"), aside, "id", "left_anti").dropDuplicates(["id"]) if several.where("rep = last").limit(1).count() else with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "shingles"), aside, "id", "left_anti")
-    found = links(texts, alone, scratch, percent, size, leaf)
+    alone = with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "shingles"), aside, "id", "left_anti")
+    if several.where("rep = last").limit(1).count():
+        alone = alone.dropDuplicates(["id"])  # a row repeated with its key
+    found = links(alone, scratch, percent, leaf)
     comps = components(scratch, found).withColumnRenamed("id", "rep")
     moved = scratch.save(classes.join(comps, "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("key", F.coalesce("comp", "rep").alias("comp")), "moved")
     out = with_ids(meta.select("id", "n", "key"), moved, "key", "left")
