@@ -24,7 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "pipeline")
     groups = jaccard.near_duplicates(docs)
     gone = scratch.save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return with_ids(docs, gone, "doc_id", "left_anti").select(COLUMNS)
+    out = with_ids(docs, gone, "doc_id", "left_anti").select(COLUMNS)
+    again = scratch.save(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.limit(1).count():  # rows repeated with their doc_id: one of each text stays
+        out = with_ids(out, again, "doc_id", "left_anti").unionByName(with_ids(out, again, "doc_id").dropDuplicates(["doc_id", "text"]))
+    return out
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
