@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -66,4 +67,4 @@ def test_entry_imports_without_the_training_data_subpackage(tmp_path):
 def test_nothing_else_imports_the_subpackage():
     for p in (ROOT / "tidecast").rglob("*.py"):
         if "llm" not in p.parts:
-            assert "llm" not in p.read_text(), p
+            assert not re.search(r"\bllm\b", p.read_text()), p
