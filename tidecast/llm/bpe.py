@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -15,10 +16,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct parts, and pre-tokens, that a worker keeps between batches at most; beyond it the store starts afresh.
-REMEMBERED = 400_000
 #: Bytes of a batch that are turned into Python strings at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes above which a pre-token is merged alone.
 LONG = 256
 
@@ -39,7 +38,7 @@ class Codec:
         self.low = [0] * ((max(self.ranks.values()) >> WORD_BITS) + 1)
         self.pattern = regex.compile(pattern)
         self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.merged: dict[bytes, list[int]] = {}
+        self.written = [str(r) for r in range(max(self.token) + 1)]
         splits = {(self.ranks[t[:k]], self.ranks[t[k:]]): r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         keys = np.array([a * len(self.ranks) + b for a, b in splits], np.int64)
         order = np.argsort(keys)
@@ -232,30 +231,24 @@ class Codec:
         return b"".join(map(self.token.__getitem__, ids))
 
     def learn(self, texts: list[str]) -> dict[str, tuple[str, int, bytes]]:
-        """(ids joined by commas, their number, decoded bytes) of every distinct part of the texts, old and new.
+        """(ids joined by commas, their number, decoded bytes) of every distinct part of the texts.
 
         A text is cut before white space, where no pre-token of the pattern reaches across. Most parts of a corpus recur,
-        so a worker keeps a bounded store of them; pre-tokens of new parts are merged together, very long ones alone.
+        so the parts of one slice are kept for the next; pre-tokens of new parts are merged together, very long ones alone.
         """
         need: set[str] = set()
         for t in texts:
             need.update(_CUT.findall(t))
-        if len(self.kept) + len(need) > REMEMBERED:
-            self.kept.clear()
+        self.kept = {p: self.kept[p] for p in need if p in self.kept}
         need.difference_update(self.kept)
         split = {p: [m.encode() for m in self.pattern.findall(p)] for p in need}
-        fresh = list({m for ms in split.values() for m in ms if m not in self.merged and len(m) <= LONG})
-        if len(self.merged) + len(fresh) > REMEMBERED:
-            self.merged.clear()
-            fresh = list({m for ms in split.values() for m in ms if len(m) <= LONG})
-        self.merged.update(zip(fresh, self.merge_all(fresh), strict=True))
+        fresh = list({m for ms in split.values() for m in ms if len(m) <= LONG})
+        merged = dict(zip(fresh, self.merge_all(fresh), strict=True))
+        written = self.written
         for p, ms in split.items():
-            ids = [i for m in ms for i in (self.merged[m] if len(m) <= LONG else self.merge(m))]
-            self.kept[p] = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        out = self.kept
-        if len(out) > REMEMBERED:
-            self.kept = {}
-        return out
+            ids = [i for m in ms for i in (merged[m] if len(m) <= LONG else self.merge(m))]
+            self.kept[p] = ",".join([written[i] for i in ids]), len(ids), self.decode(ids)
+        return self.kept
 
 
 # White space as the pattern's \s has it (fixed by Unicode), which re's own \s isn't.
@@ -284,14 +277,19 @@ def _over(docs: DataFrame, key: str, text: str, row: Callable, fields: list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in batches:
-            at = 0
-            for texts in _slices(batch.column(1)):
-                known = tool.learn(texts)
-                rows = [row([known[p] for p in _CUT.findall(t)]) for t in texts]
-                arrays = [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], names=["key", *(f[0] for f in fields)])
-                at += len(texts)
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            for batch in batches:
+                at = 0
+                for texts in _slices(batch.column(1)):
+                    known = tool.learn(texts)
+                    rows = [row([known[p] for p in _CUT.findall(t)]) for t in texts]
+                    known = None
+                    arrays = [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(fields)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], names=["key", *(f[0] for f in fields)])
+                    at += len(texts)
+        finally:
+            gc.enable()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in fields))
@@ -307,7 +305,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     """key, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes) of every row.
 
     Whole texts, null as empty (no ids); repeated rows count each; an empty table gives an empty result; other columns
-    are ignored. No shuffle: a task reads the rank file once and keeps a bounded store of encoded pieces. The path must
+    are ignored. No shuffle: a worker reads the rank file once and keeps the encoded parts of one slice of texts. The path must
     exist on every executor.
     """
     return _over(docs, key, text, _digests, [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], path, pattern)
