@@ -12,8 +12,8 @@ split the large ones:
    the counts and the sizes, and the rest verified on the whole sets.
 2. Documents of too few other shingles are in regions of their hot ones, rarest first. There a region's smallest id is
    its pivot; distances to it are exact. Documents within the radius form its Voronoi cell and are linked by it. Others
-   join each other, and boundary documents of the cell within the triangle-inequality window, in the next round, with
-   the next pivot; small rests are leaves.
+   that link with one of a few documents of the cell join it. What is left meets boundary documents of both inside the
+   triangle-inequality window, and itself: in the next round, with the next pivot, or at once if it is small.
 
 Every step loses no pair at distance <= 1 - t whose documents aren't linked otherwise.
 """
@@ -34,22 +34,29 @@ from .words import Words, chunks, lists, shingles
 #: Documents that a seed's region has at most to be a leaf, and that the rest of a region around a pivot has at most
 #: to be joined pair by pair.
 LEAF, REST = 32, 256
+#: Every document's seeds hold all its shingles up to this one, a third of all hashes and a little more than the prefix
+#: rule asks for, so that what a document adds later can only meet what others hold beyond it.
+BOUND = int(0.35 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
+#: Documents of a cell that those outside try first; PROBES of them connect nearly all that link with the cell.
+PROBES = 16
 #: Pivots that a large region gets at most one after the other before its unlinked rest is joined pair by pair.
 ROUNDS = 6
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, key, shingles) of (id, text): set size, a 128-bit key of the whole set, and its sorted shingles."""
+    """(id, n, low, key, shingles) of (id, text): set size, how many shingles lie up to BOUND, a 128-bit key of the whole set,
+    and its sorted shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in chunks(batch.column(1)):
                 s, at = shingles(Words(data, off), size)
                 keys = [xxhash.xxh3_128_digest(s[at[k] : at[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(keys, pa.binary()), lists(s, at)], names=["id", "n", "key", "shingles"])
+                low = np.diff(np.concatenate([[0], np.cumsum((s >= 0) & (s <= BOUND))])[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(low), pa.array(keys, pa.binary()), lists(s, at)], names=["id", "n", "low", "key", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, key binary, shingles array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, low long, key binary, shingles array<long>")
 
 
 def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
@@ -98,8 +105,7 @@ def seeds(whole: DataFrame, scratch: Scratch, percent: int, leaf: int) -> tuple[
     """(seed, id, k) of the seeds that k > 1 documents reach, and (id, n, w, h) of every document: w, how far it reaches
     into its list, and h, how many of those are hot. Either w - h is enough for the prefix rule, or w is all."""
     need = _least(F.col("n"), percent)
-    # a third more than needed at once, as most documents hold a passage or two that is hot
-    reach = whole.select("id", "n", "shingles", F.least("n", F.ceil(need * 1.35)).alias("w"))
+    reach = whole.select("id", "n", "shingles", F.greatest("low", need).alias("w"))
     index = reach.select("id", F.explode(F.slice("shingles", 1, F.col("w").cast("int"))).alias("seed"))
     regions = scratch.save(index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions")
     many = scratch.save(regions.where("k > 2").select("seed", "k"), "many")
@@ -118,7 +124,7 @@ def seeds(whole: DataFrame, scratch: Scratch, percent: int, leaf: int) -> tuple[
         fresh = with_ids(whole.select("id", "shingles"), grow, "id", "inner").select("id", F.explode(F.slice("shingles", (F.col("w") + 1).cast("int"), (F.col("to") - F.col("w")).cast("int"))).alias("seed"))
         fresh = scratch.save(fresh, "fresh")
         touched = scratch.save(fresh.select("seed").distinct(), "touched")
-        both = scratch.save(with_ids(index, touched, "seed").unionByName(fresh), "both")
+        both = scratch.save(with_ids(index.where((F.col("seed") > BOUND) | (F.col("seed") < 0)), touched, "seed").unionByName(fresh), "both")
         counts = scratch.save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
         members = scratch.save(with_ids(members, touched, "seed", "left_anti").unionByName(with_ids(both, counts, "seed", "inner").select("seed", "k", "id")), "members")
         index = index.unionByName(fresh)
@@ -143,7 +149,6 @@ def links(whole: DataFrame, scratch: Scratch, percent: int, leaf: int = LEAF) ->
     lacking = scratch.save(reach.select("id", "n", (_least(F.col("n"), percent) - F.col("w") + F.col("h")).alias("lack")).where("lack > 0"), "lacking")
     place = F.row_number().over(Window.partitionBy("id").orderBy("k", "seed"))
     state = with_ids(members.where(F.col("k") > leaf), lacking, "id", "inner").withColumn("place", place).where("place <= lack").select("seed", "id", "n")
-    near = F.lit(share)
     for _ in range(ROUNDS):
         pivots = scratch.save(state.groupBy("seed").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1"), "pivots")
         state = scratch.save(state.join(pivots, "seed").select("pivot", "id", "n").distinct(), "cells")
@@ -152,12 +157,24 @@ def links(whole: DataFrame, scratch: Scratch, percent: int, leaf: int = LEAF) ->
         cells = verify(scratch.save(state.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "spokes"), whole)
         cells = scratch.save(cells.withColumn("d", 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)), "verified")
         found.append(cells.where("in").select("a", "b", "n_a", "n_b", "inter"))
-        # outside the cell: pairs among them, and with the cell's documents in the window d(x, pivot) >= d(y, pivot) - radius
+        # outside the cell: first against a few of its documents, as one link connects to all of them
+        fits = lambda x, y: (F.abs(F.col(f"d_{x}") - F.col(f"d_{y}")) <= share + 1e-9) & linked(F.least(f"n_{x}", f"n_{y}"), F.col(f"n_{x}"), F.col(f"n_{y}"), percent)
+        ends = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         outside = cells.where("NOT in").select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("d").alias("d_y"))
         inside = cells.where("in").select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("d").alias("d_x"))
-        window = (F.col("d_x") >= F.col("d_y") - near - 1e-9) & linked(F.least("n_x", "n_y"), F.col("n_x"), F.col("n_y"), percent)
-        across = inside.join(outside.where(F.col("d_y") <= 2 * share + 1e-9), "a").where(window).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        rest = outside.select(F.col("a").alias("seed"), F.col("y").alias("id"), F.col("n_y").alias("n"))
+        some = inside.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("x"), "x"))).where(F.col("turn") <= PROBES)
+        tried = scratch.save(outside.join(some, "a").where(fits("x", "y")).select("a", "x", "y"), "tried")
+        probes = scratch.save(verify(scratch.save(ends(tried), "probes"), whole), "verified")
+        found.append(probes)
+        hits = probes.where(linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("a").alias("p"), F.col("b").alias("q"))
+        joined = tried.join(hits, (F.least("x", "y") == F.col("p")) & (F.greatest("x", "y") == F.col("q")), "left_semi").select("a", "y").distinct()
+        joined = scratch.save(joined, "joined")
+        # the rest: pairs among them, and with boundary documents of the cell and of what joined it, in the window
+        # |d(x, pivot) - d(y, pivot)| <= radius
+        rest = scratch.save(outside.join(joined, ["a", "y"], "left_anti"), "outside")
+        around = inside.unionByName(outside.join(joined, ["a", "y"], "left_semi").select("a", F.col("y").alias("x"), F.col("n_y").alias("n_x"), F.col("d_y").alias("d_x")))
+        across = ends(around.join(rest, "a").where(fits("x", "y")))
+        rest = rest.select(F.col("a").alias("seed"), F.col("y").alias("id"), F.col("n_y").alias("n"))
         rest = scratch.save(rest.join(rest.groupBy("seed").agg(F.count("*").alias("k")), "seed"), "rest")
         pairs = scratch.save(across.union(_pairs(rest.where(F.col("k") <= REST)).select("a", "b")).distinct(), "leaves")
         found.append(scratch.save(verify(pairs, whole), "verified"))
@@ -188,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     # all but each class's smallest id stand aside
     several = classes.where("copies > 1")
     aside = scratch.save(with_ids(meta.where("n > 0").select("key", "id"), several.select("key", "rep"), "key", "inner").where("id <> rep").select("id").distinct(), "aside")
-    alone = with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "shingles"), aside, "id", "left_anti")
+    alone = with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "low", "shingles"), aside, "id", "left_anti")
     if several.where("rep = last").limit(1).count():
         alone = alone.dropDuplicates(["id"])  # a row repeated with its key
     found = links(alone, scratch, percent, leaf)
