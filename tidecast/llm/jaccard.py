@@ -70,22 +70,7 @@ def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     ids = {s: pairs.select(F.col(s).alias("id")).distinct() for s in "ab"}
     left, right = (whole.join(F.broadcast(ids[s]) if few else ids[s], "id", "left_semi").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    names = [*pairs.columns, "n_a", "n_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            sides = []
-            for c in ("s_a", "s_b"):
-                col = table[c].combine_chunks()
-                off = col.offsets.to_numpy()
-                sides.append((col.values.to_numpy(zero_copy_only=False), off))
-            (x, xo), (y, yo) = sides
-            inter = [len(np.intersect1d(x[xo[k] : xo[k + 1]], y[yo[k] : yo[k + 1]], assume_unique=True)) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(table[n].combine_chunks() for n in names), pa.array(inter, pa.int64())], names=[*names, "inter"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*names).schema.fields)
-    return both.select(*names, "s_a", "s_b").mapInArrow(run, f"{schema}, inter long")
+    return both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("inter"))
 
 
 def _pairs(regions: DataFrame) -> DataFrame:
