@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Ids that may be broadcast at most (8 bytes each, so 4 MB of values); beyond it the same join shuffles.
 BROADCAST_IDS = 500_000
+#: Spark's setting by which an execution's shuffle files go when it ends, instead of at the driver's next collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")  # the written table stands for its shuffles
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
