@@ -14,7 +14,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def grade_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents whose probability of the top grade (of quality, not toxic) is under one half go."""
+    """Operator 9: documents whose probability of the top grade (of quality, not toxic) is under the model's cut go."""
     model = quality.train(docs, ratings(table(spark, sf_dir, "labels")), levels=3)
     return quality.grade(docs.select(COLUMNS), model, least=2, keep_columns=True).where("kept").select(COLUMNS)
 

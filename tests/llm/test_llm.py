@@ -285,6 +285,17 @@ def test_quality_on_held_out_labels(spark, data):
     assert np.allclose(out.expected_grade, out.p_ge_1 + out.p_ge_2) and (out.p_ge_1 >= out.p_ge_2).all()
 
 
+def test_quality_keeps_few_toxic_documents_in_any_language(spark):
+    docs, labels = spark.read.parquet("/root/testdata/check_s/documents.parquet"), spark.read.parquet("/root/testdata/check_s/labels.parquet")
+    rated = labels.select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    fit_on, held = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0), rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    model = quality.train(docs, fit_on, levels=3)
+    out = quality.grade(docs.join(held, "doc_id"), model, least=2, keep_columns=True).select("lang", "grade", "kept").toPandas()
+    shares = out.groupby(["grade", "lang"]).kept.mean()
+    assert out[out.grade == 1].kept.mean() <= 0.06 and shares[1].max() <= 0.2
+    assert out[out.grade == 2].kept.mean() >= 0.985 and shares[2].min() >= 0.97
+
+
 def test_quality_edge_cases(spark):
     frame = docs_frame(spark, EDGE)
     model = quality.train(frame, spark.createDataFrame([(4, 1), (5, 0), (6, 2), (1, None), (None, 1)], "doc_id long, grade int"), levels=3)

@@ -62,10 +62,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Shared weights and ordered thresholds: P(grade <= k) = sigmoid(thresholds[k] - score)."""
+    """Shared weights and ordered thresholds: P(grade <= k) = sigmoid(thresholds[k] - score). cut: the least P(top grade) to stay."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k + 1) by threshold; their sum is the expected grade."""
@@ -77,7 +78,7 @@ def _sums(weights: np.ndarray, f: np.ndarray, off: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 8, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, least: int = 8, seed: int = 5) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 8, batch: int = 64, rate: float = 0.1, l2: float = 1e-4, least: int = 4, seed: int = 5) -> Ordinal:
     """Maximum likelihood by AdaGrad over seeded mini-batches; a feature of fewer than `least` documents keeps weight 0."""
     size = WORD_BUCKETS + SHAPE_BUCKETS
     share = np.array([(grades <= k).mean() if len(grades) else 0.5 for k in range(levels - 1)])
@@ -89,8 +90,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 8
     top = grades == levels - 1
     counts = [np.bincount(np.concatenate([r for r, g in zip(rows, top, strict=True) if g == side] or [np.zeros(0, np.int64)]), minlength=size) for side in (True, False)]
     seen = counts[0] + counts[1] >= least
-    # features that tell the top grade from the rest move further at each step
-    scale = np.abs(np.log((counts[0] + 1) / (top.sum() + 2)) - np.log((counts[1] + 1) / ((~top).sum() + 2)))
+    # features that tell the top grade from the rest move further at each step, less so if chance could explain the difference
+    ratio = np.log((counts[0] + 1) / (top.sum() + 2)) - np.log((counts[1] + 1) / ((~top).sum() + 2))
+    scale = np.abs(ratio) * (1 - np.exp(-(ratio**2) / (1 / (counts[0] + 1) + 1 / (counts[1] + 1)) / 4))
     rows = [r[seen[r]] for r in rows]
     square, t_square = np.full(size, 1e-4), np.full(levels - 1, 1e-4)
     rng = np.random.RandomState(seed)
@@ -119,8 +121,22 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = 8
     return Ordinal(weights * scale, t)
 
 
-def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 8000, key: str = "doc_id", text: str = "text", grade: str = "grade", seed: int = 3) -> Ordinal:
-    """A model from the documents of ratings (key, grade 0..levels-1; null grades and keys are left out).
+def choose_cut(rows: list[np.ndarray], grades: np.ndarray, levels: int, lose: float = 0.005, seed: int = 7) -> float:
+    """The highest P(top grade) that loses at most the share `lose` of top-grade documents held out of a fit, a fifth of all.
+
+    One half at least, and one half if fewer than 50 of them are held out.
+    """
+    held = np.random.RandomState(seed).permutation(len(rows)) < len(rows) // 5
+    top = np.flatnonzero(held & (grades == levels - 1))
+    if len(top) < 50:
+        return 0.5
+    model = fit([rows[i] for i in np.flatnonzero(~held)], grades[~held], levels)
+    score = _sums(model.weights, np.concatenate([rows[i] for i in top]), np.concatenate([[0], np.cumsum([len(rows[i]) for i in top])]))
+    return max(0.5, float(np.sort(model.tails(score)[:, -1])[int(lose * len(top))]))
+
+
+def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 24000, key: str = "doc_id", text: str = "text", grade: str = "grade", seed: int = 3) -> Ordinal:
+    """A model and its cut from the documents of ratings (key, grade 0..levels-1; null grades and keys are left out).
 
     At most `sample` ratings, those of lowest seeded hash, are used: the bound of what reaches the driver, where the
     fit runs (about 400 feature numbers a document). A key rated or present twice counts twice.
@@ -138,17 +154,22 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 8000,
     kind = docs.schema[key].dataType.simpleString()
     got = rows.mapInArrow(run, f"key {kind}, grade int, f array<int>").toArrow()
     order = np.lexsort((got["grade"].to_numpy(), got["key"].to_numpy()))  # the same rows in the same order at every run
-    lists = got["f"].to_pylist()
-    return fit([np.array(lists[i], np.int64) for i in order], got["grade"].to_numpy()[order].astype(np.int64), levels)
+    lists = [x for c in got["f"].chunks for x in np.split(c.flatten().to_numpy(), (c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py()))[: len(c)]]
+    found, grades = [lists[i] for i in order], got["grade"].to_numpy()[order].astype(np.int64)
+    model = fit(found, grades, levels)
+    model.cut = choose_cut(found, grades, levels)
+    return model
 
 
-def grade(docs: DataFrame, model: Ordinal, least: int, probability: float = 0.5, key: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
+def grade(docs: DataFrame, model: Ordinal, least: int, probability: float | None = None, key: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
     """key, expected_grade, p_ge_1 .. p_ge_<levels-1>, kept (P(grade >= least) >= probability) of every row; no shuffle.
 
-    With keep_columns, docs' own columns in place of the key. Null and empty texts have no features and are graded by
+    Without a probability it is the model's cut for the top grade and one half for others. With keep_columns, docs' own columns in place of the key. Null and empty texts have no features and are graded by
     the thresholds alone. Whole texts; repeated rows count each; an empty table gives an empty result.
     """
     tails = len(model.thresholds)
+    if probability is None:
+        probability = model.cut if least == tails else 0.5
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     names = ["expected_grade", *(f"p_ge_{k + 1}" for k in range(tails)), "kept"]
     source = docs if keep_columns else docs.select(key, text)
