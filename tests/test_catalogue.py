@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -55,6 +56,21 @@ def test_query_without_sql_gives_rows(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
+def test_components_of_whole_vectors_and_of_every_row(spark, data, tmp_path):
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet").select("embedding")
+    x = np.array([r.embedding for r in vectors.collect()])
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    k = int(np.argmax(np.cumsum(values) / values.sum() > 0.95)) + 1
+    odd = spark.createDataFrame([(None,), ([],), ([1.0] * 65,), ([float("nan")] * 64,), ([None] * 64,)], vectors.schema)
+    vectors.union(odd).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [r.pc for r in catalogue.queries()["pca_k"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(x) + 5 and sum(pc is None for pc in got) == 5
+    pcs = np.array([pc for pc in got if pc is not None])
+    assert pcs.shape[1] == k and pcs.var(0, ddof=1) == pytest.approx(values[:k])
+    odd.where("size(embedding) < 1 OR embedding IS NULL").write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert [r.pc for r in catalogue.queries()["pca_k"](spark, f"{tmp_path}/none").collect()] == [None, None]
+
+
 def test_entry_imports_without_the_training_data_subpackage(tmp_path):
     """A copy of the repository without the optional folders still offers every other query."""
     for p in ("tidecast", "__spark_entry__.py"):

@@ -206,6 +206,25 @@ def test_prune_keeps_units_whole(spark):
     assert sum(shares) == pytest.approx(1) and len(pcs.first().pc) == 3
 
 
+def test_null_rows_in_prune_vif_and_components(spark):
+    rng = np.random.RandomState(16)
+    x = rng.randn(300, 3)
+    x[:, 1] = x[:, 0] + 0.2 * x[:, 1]
+    x[:200, 2], x[270:, 1] = np.nan, -x[270:, 0]
+    rows = [tuple(None if i % 2 and np.isnan(v) else float(v) for v in r) for i, r in enumerate(x)]
+    df, full = spark.createDataFrame(rows, "a double, b double, c double"), x[200:]
+    assert abs(np.corrcoef(full.T)[0, 1]) < 0.6 < np.corrcoef(x[:, :2].T)[0, 1] and x[:, 0].var() < x[:, 1].var()
+    assert selection.prune(df, {"a": ["a"], "b": ["b"], "c": ["c"]}, 0.6) == ["b", "c"]  # pairwise, as two columns alone would go
+    found = selection.variance_inflation(df, ["a", "b", "c"])
+    assert list(found.values()) == pytest.approx(np.diag(np.linalg.inv(np.corrcoef(full.T))))
+    pcs, shares = selection.components(df, ["a", "b", "c"])
+    got = [r.pc for r in pcs.collect()]
+    assert len(got) == 300 and sum(pc is None for pc in got) == 200
+    values = np.linalg.eigvalsh(np.cov(full.T))[::-1]
+    assert shares == pytest.approx(values / values.sum())
+    assert [r.pc for r in selection.components(df.limit(3), ["a", "b", "c"])[0].collect()] == [None] * 3
+
+
 def test_scorecard_equals_numpy(spark):
     r = np.random.RandomState(7).randn(60) * 0.01
     df = score.always_up(spark.createDataFrame([(k, float(v)) for k, v in enumerate(r)], "pos long, r double"))

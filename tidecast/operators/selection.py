@@ -6,6 +6,8 @@ Statistics are one aggregation each; what reaches the driver is a matrix over co
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -14,12 +16,15 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import nan_to_null
+
 
 def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df.select(*[F.col(c).cast("double") for c in columns])).select("features")
 
 
 def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> np.ndarray:
+    """The matrix over rows without a null or NaN in any of the columns."""
     return Correlation.corr(_vectors(df, columns), "features", method).first()[0].toArray()
 
 
@@ -32,9 +37,16 @@ def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def prune(df: DataFrame, units: Mapping[str, Sequence[str]], threshold: float = 0.95) -> list[str]:
     """Units (one column, or a sine and cosine pair) that stay. In order, each unit meets every earlier one; if their largest
-    absolute correlation reaches the threshold and both still stand, the one of lower variance goes, the earlier one at a tie."""
-    columns = [c for u in units.values() for c in u]
-    r = np.abs(np.nan_to_num(correlation(df, columns)))
+    absolute correlation reaches the threshold and both still stand, the one of lower variance goes, the earlier one at a tie.
+
+    A null or NaN leaves out its own value only: a correlation is over the rows where both columns have values, a variance over all
+    values of its column."""
+    columns = list(dict.fromkeys(c for u in units.values() for c in u))
+    df = nan_to_null(df.select(*columns))
+    r = np.eye(len(columns))
+    for a, b, value in correlation_table(df, columns).collect() if len(columns) > 1 else []:
+        i, j = columns.index(a), columns.index(b)
+        r[i, j] = r[j, i] = abs(np.nan_to_num(value or 0.0))
     row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
     at = {c: i for i, c in enumerate(columns)}
     var = {u: max(row[c] or 0.0 for c in cs) for u, cs in units.items()}
@@ -76,15 +88,26 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Diagonal of the inverse correlation matrix."""
+    """Diagonal of the inverse correlation matrix. It stands for regressions on all other columns, so only rows with a value in every
+    column (no null, no NaN) count."""
     return dict(zip(columns, np.diag(np.linalg.inv(correlation(df, columns))).tolist(), strict=True))
 
 
 def components(df: DataFrame, columns: Sequence[str], share: float = 0.95) -> tuple[DataFrame, list[float]]:
-    """(pc array<double>) of the fewest components whose variance passes the share, and all their shares; centred first."""
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    centred = df.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
-    model = PCA(k=len(columns), inputCol="features", outputCol="pc").fit(vectors := _vectors(centred, columns))
+    """(pc array<double>) of the fewest components whose variance passes the share, and all their shares; centred first.
+
+    Every row gets a row. Those with a null, NaN or infinite value take no part in the fit, and their pc is null; with fewer than two
+    others there are no components, and every pc is null.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    names = values.columns
+    values = values.select(*names, reduce(and_, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in names]).alias("usable"))
+    stats = values.where("usable").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    if stats.n < 2:
+        return values.select(F.lit(None).cast("array<double>").alias("pc")), []
+    centred = values.select("usable", *[(F.col(c) - F.lit(stats[c])).alias(c) for c in names])
+    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(centred).select("usable", "features")
+    model = PCA(k=len(names), inputCol="features", outputCol="pc").fit(vectors.where("usable"))
     shares = model.explainedVariance.toArray().tolist()
-    k = next((i + 1 for i, s in enumerate(np.cumsum(shares)) if s > share), len(columns))
-    return model.transform(vectors).select(F.slice(vector_to_array("pc"), 1, k).alias("pc")), shares
+    k = next((i + 1 for i, s in enumerate(np.cumsum(shares)) if s > share), len(names))
+    return model.transform(vectors).select(F.when(F.col("usable"), F.slice(vector_to_array("pc"), 1, k)).alias("pc")), shares

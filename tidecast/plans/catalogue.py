@@ -643,8 +643,12 @@ def vif(spark, sf):
 
 @query()
 def pca_k(spark, sf):
-    vectors = read_table(spark, sf, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(16)])
-    return selection.components(vectors, [f"e{k}" for k in range(16)])[0]
+    vectors = read_table(spark, sf, "embeddings")
+    sizes = vectors.where("size(embedding) > 0").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"))
+    usual = sizes.orderBy(F.desc("n"), F.desc("size")).first()
+    n = usual.size if usual else 1  # vectors of another size than the commonest have no components
+    element = lambda k: F.when(F.size("embedding") == n, F.get("embedding", F.lit(k)))
+    return selection.components(vectors.select(*[element(k).alias(f"e{k}") for k in range(n)]), [f"e{k}" for k in range(n)])[0]
 
 
 # --- rolling and legacy operators ----------------------------------------------------------------------------------
