@@ -206,6 +206,26 @@ def test_prune_keeps_units_whole(spark):
     assert sum(shares) == pytest.approx(1) and len(pcs.first().pc) == 3
 
 
+def test_rank_correlation_ranks_rows_in_many_tasks(spark, capsys):
+    rng = random.Random(17)
+    rows = [(rng.choice([None, float("nan"), *map(float, range(40))]), rng.choice([rng.random(), 0.5]), rng.randint(0, 3)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, t int")
+    key = lambda v: (v is not None, v != v, 0.0 if v is None or v != v else v)
+
+    def ranks(values):
+        keys = [key(v) for v in values]
+        return [sum(o < k for o in keys) + (sum(o == k for o in keys) + 1) / 2 for k in keys]
+
+    a, b, t = (ranks(c) for c in zip(*rows, strict=True))
+    found = selection.rank_correlation(df, ["a", "b"], "t")
+    got = {r["column"]: r.rho for r in found.collect()}
+    assert got == {"a": pytest.approx(np.corrcoef(a, t)[0, 1]), "b": pytest.approx(np.corrcoef(b, t)[0, 1])}
+    assert selection.rank_correlation(df.limit(0), ["a"], "t").first().rho is None
+    found.explain(extended=True)
+    lines = [x for x in capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines() if "Window [" in x]
+    assert lines and all("bucket" in x.split("windowspecdefinition", 1)[1] for x in lines)  # never a window over all rows
+
+
 def test_null_rows_in_prune_vif_and_components(spark):
     rng = np.random.RandomState(16)
     x = rng.randn(300, 3)

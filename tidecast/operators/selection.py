@@ -60,14 +60,30 @@ def prune(df: DataFrame, units: Mapping[str, Sequence[str]], threshold: float =
     return [u for u in names if u not in gone]
 
 
+def mean_ranks(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+    """(value, rank) of a numeric column's distinct values, ties at their mean rank; null is the smallest value, NaN the largest.
+
+    Values are counted, dealt into ranges of about equally many distinct values, and summed up inside each range in its own task;
+    in one task are only the totals of the ranges.
+    """
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    cuts = counts.agg(F.percentile_approx("value", [k / buckets for k in range(1, buckets)]).alias("cuts"))
+    bucket = F.when(F.col("value").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda x: x < F.col("value"))))
+    dealt = counts.crossJoin(F.broadcast(cuts)).select("value", "n", bucket.alias("bucket"))
+    totals = dealt.groupBy("bucket").agg(F.sum("n").alias("total"))
+    before = totals.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("value")) - F.col("n")
+    return dealt.join(F.broadcast(before), "bucket").select("value", (F.col("before") + inside + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def rank_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """(column, rho): Spearman's correlation with the target, ties at their mean rank."""
-    ranked = df.select(*columns, target)
-    ranks = []
-    for c in [*columns, target]:
-        same = Window.partitionBy(c)
-        ranks.append((F.rank().over(Window.orderBy(c)) + (F.count("*").over(same) - 1) / 2).alias(c))
-    return correlation_pairs(ranked.select(*ranks), columns, target, "rho")
+    """(column, rho): Spearman's correlation with the target, ties at their mean rank. Numeric columns."""
+    names = list(dict.fromkeys([*columns, target]))
+    rows = values = df.select(*names)
+    for k, c in enumerate(names):
+        ranks = mean_ranks(values, c).toDF(f"_value{k}", f"_rank{k}")
+        rows = rows.join(ranks, F.col(c).eqNullSafe(F.col(f"_value{k}")))
+    return correlation_pairs(rows.select(*[F.col(f"_rank{k}").alias(c) for k, c in enumerate(names)]), columns, target, "rho")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str], target: str, name: str) -> DataFrame:

@@ -622,6 +622,11 @@ def spearman_rank(spark, sf):
     return selection.rank_correlation(read_table(spark, sf, "part"), ["p_size", "p_partkey"], "p_retailprice").select("column", *_r("rho", digits=8))
 
 
+@query("WITH k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _COLS) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr(CAST({c} AS DOUBLE), CAST(l_extendedprice AS DOUBLE)), 8) + 0.0 AS rho FROM k" for c in _COLS if c != "l_extendedprice"))
+def spearman_lineitem(spark, sf):
+    return selection.rank_correlation(read_table(spark, sf, "lineitem"), [c for c in _COLS if c != "l_extendedprice"], "l_extendedprice").select("column", *_r("rho", digits=8))
+
+
 @query()
 def mi_rank(spark, sf):
     return selection.mutual_information(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").select("column", *_r("mi", digits=8))
