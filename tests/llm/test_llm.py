@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidecast.llm import bpe, hosts, jaccard, licenses, mixing, neighbours, pii, quality, rollups, words
+from tidecast.llm import queries as llm_queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, n int"
 LONG = "word " * 30_000
@@ -210,6 +211,21 @@ def test_nearest_equals_brute_force_and_its_relaxed_recall(spark):
     assert neighbours.nearest(frame.limit(0), asked).count() == 0 == neighbours.nearest(frame, asked.limit(0)).count()
 
 
+def test_nearest_recall_with_its_defaults(spark):
+    """The registered query on whole vectors and several full shards, against brute force in blocks."""
+    got = llm_queries.op8_nearest(spark, "/root/testdata/check_l").toPandas()
+    frame = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = frame.vec_id.to_numpy(), np.stack(frame.embedding.to_numpy()).astype(float)
+    assert x.shape[1] == 64 and len(x) > 6 * 8192
+    own, asked, hits = {q: g.score.to_numpy() for q, g in got.groupby("query_id")}, np.flatnonzero(ids % 20 == 0), []
+    for block in np.array_split(asked, 10):
+        score = x[block] @ x.T
+        score[ids[block][:, None] == ids[None, :]] = -np.inf
+        least = np.partition(score, -20)[:, -20]
+        hits += [min(20, (own[q] >= t - 1e-9).sum()) for q, t in zip(ids[block], least, strict=True)]
+    assert len(hits) == len(asked) and sum(hits) >= 0.99 * 20 * len(hits) and min(hits) >= 18
+
+
 # --- 6: rollups ----------------------------------------------------------------------------------------------------
 
 
