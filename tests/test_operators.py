@@ -253,6 +253,16 @@ def test_scorecard_equals_numpy(spark):
     assert got.max_drawdown == pytest.approx((np.exp(path - np.maximum(np.maximum.accumulate(path), 0)) - 1).min())
 
 
+def test_horizon_correlation_equals_numpy(spark):
+    x = np.random.RandomState(18).randn(80, 3)
+    x[:, 1] += x[:, 0]
+    df = spark.createDataFrame([(*map(float, r), 0.0) for r in x], "f_1 double, f_2 double, f_3 double, f_4 double")
+    got = {(r.step_a, r.step_b): r.r for r in score.horizon_correlation(df, ["f_1", "f_2", "f_3", "f_4"]).collect()}
+    want = np.corrcoef(x.T)
+    assert got == {(a, b): None if b == 4 else pytest.approx(want[a - 1, b - 1]) for a in range(1, 5) for b in range(a + 1, 5)}
+    assert selection.prune(df, {c: [c] for c in df.columns}) == df.columns  # a constant column correlates with nothing
+
+
 def test_boosted_stand_in_learns(spark):
     rng = np.random.RandomState(8)
     df = spark.createDataFrame([(float(a), float(3 * a), float(-a)) for a in rng.randn(200)], "x double, y_1 double, y_2 double")

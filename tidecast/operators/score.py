@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import correlation_table
+
 
 def always_up(df: DataFrame) -> DataFrame:
     """The baseline: a constant long position."""
@@ -44,6 +46,13 @@ def errors(df: DataFrame, truth: Sequence[str], forecast: Sequence[str]) -> Data
     return by.select("step", "rmse", F.try_divide("rmse", "sd").alias("nrmse"), "direction", F.try_divide("se", F.sum("se").over(Window.partitionBy())).alias("share"))
 
 
+def horizon_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(step_a, step_b, r): correlation of each pair of horizon columns, step_a before step_b; null where a column is constant."""
+    columns = list(columns)
+    step = lambda c: F.array_position(F.array(*map(F.lit, columns)), F.col(c)).cast("int")
+    return correlation_table(df, columns).select(step("a").alias("step_a"), step("b").alias("step_b"), F.nanvl("r", F.lit(None).cast("double")).alias("r"))
+
+
 def boosted_steps(train: DataFrame, features: Sequence[str], targets: Sequence[str], rounds: int = 10, depth: int = 3, seed: int = 1) -> list[PipelineModel]:
     """A stand-in for multi-output boosting: one gradient-boosted regressor per horizon step, on Spark's own trees."""
     data = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(train)

@@ -29,9 +29,10 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson")
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) of all pairs, a before b, in one aggregation."""
+    """(a, b, r) of all pairs, a before b, in one aggregation; null where one of the two is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    spread = lambda a, b: F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a)))
+    row = df.agg(*[F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
