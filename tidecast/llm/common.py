@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,30 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a session in one local process may leave it unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tidecast-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", spark.sparkContext.getCheckpointDir())
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidecast-"))
+        base = spark.sparkContext.getCheckpointDir()
+        spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder so that a lost executor costs a re-read only.
 
-    Tables that a lazily returned result still reads stay until the driver ends; drop() removes earlier ones.
+    drop() removes a table once its readers are saved, keep() all but those that a lazily returned result still reads;
+    what is left goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.paths: list[str] = []
         atexit.register(self.drop, self.root)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        path = f"{self.root}/{len(self.paths) + 1:03d}-{name}"
+        self.paths.append(path)
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")  # the written table stands for its shuffles
         try:
@@ -55,7 +59,10 @@ class Scratch:
         return out
 
     def drop(self, what) -> None:
-        path = what if isinstance(what, str) else what.scratch_path
+        """Removes a saved table, or a path; a DataFrame that isn't a saved table itself is left alone."""
+        path = what if isinstance(what, str) else getattr(what, "scratch_path", None)
+        if path is None:
+            return
         try:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -63,29 +70,39 @@ class Scratch:
         except Exception:  # the session may be gone at exit
             pass
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops every saved table but these."""
+        kept = {t.scratch_path for t in tables}
+        for path in self.paths:
+            if path not in kept:
+                self.drop(path)
+
 
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
     """df joined with a saved table of ids (or an id and a few numbers): broadcast where its counted rows are few, shuffled otherwise."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, how)
 
 
-def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) of every id in edges: comp is the smallest id reachable. Min-label rounds with pointer jumping.
 
     Every round hands on the smallest label across links (partially aggregated, so a hub doesn't meet in one task),
-    then lets each label jump to its own label's label; rounds grow with the logarithm of a chain's length.
+    then lets each label jump to its own label's label, until nothing changes; rounds grow with the logarithm of a
+    chain's length.
     """
     both = scratch.save(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").union(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct(), "links")
     labels = scratch.save(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("comp").alias("heard"))
         near = scratch.save(labels.join(heard, "id").select("id", F.least("comp", "heard").alias("near"), "comp"), "near")
         jump = near.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        new = scratch.save(near.join(jump, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("comp"), (F.least("near", F.coalesce("far", "near")) != F.col("comp")).alias("changed")), "labels")
-        done = new.where("changed").limit(1).count() == 0
+        far = F.least("near", F.coalesce("far", "near"))
+        new = scratch.save(near.join(jump, "near", "left").select("id", far.alias("comp"), (far != F.col("comp")).alias("changed")), "labels")
         scratch.drop(labels)
         scratch.drop(near)
+        if not new.where("changed").limit(1).count():
+            scratch.drop(both)
+            out = new.select("id", "comp")
+            out.scratch_path = new.scratch_path
+            return out
         labels = new
-        if done:
-            return labels.select("id", "comp")
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")

@@ -1,84 +1,97 @@
 """Operator 10: exact Jaccard metric-space join of shingle sets, with the groups that its links make.
 
 Jaccard distance is a metric, but sets of unrelated texts all lie at distance 1 from each other and from any sampled
-pivot, so Voronoi regions of sampled documents alone would replicate everything. Regions therefore start from the
-shingles themselves (a one-shingle set is a pivot that only the documents holding it are near to), and pivot documents
-split the large ones:
-
-1. Seeds. Two sets at distance <= 1 - t share one of the first floor((1-t)n) + 1 shingles of either in any common
-   order: a document's home and boundary replicas. The order is by hash, but shingles that more than LEAF documents
-   reach ("hot": shared passages, large groups of copies) come last, so documents that hold some reach further down
-   their own list until enough others are in. Seeds that aren't hot are leaves: their pairs are counted, bounded from
-   the counts and the sizes, and the rest verified on the whole sets.
-2. Documents of too few other shingles are in regions of their hot ones, rarest first. There a region's smallest id is
-   its pivot; distances to it are exact. Documents within the radius form its Voronoi cell and are linked by it. Others
-   that link with one of a few documents of the cell join it. What is left meets boundary documents of both inside the
-   triangle-inequality window, and itself: in the next round, with the next pivot, or at once if it is small.
-
-Every step loses no pair at distance <= 1 - t whose documents aren't linked otherwise.
+pivot: the radius of a link prunes nothing among them, and Voronoi regions of sampled documents would replicate the
+whole table. So the table is split in two steps.
+
+1. Seeds. The first pivots are sets of one shingle, at distance 1 from all documents but those that hold it. Two sets at
+   distance <= 1 - t share one of the first floor((1-t)n) + 1 shingles of either in any common order, so these are all
+   the pivots that a document needs. The order is by hash, but shingles that more than LEAF documents reach ("hot":
+   shared passages, groups of copies) come last, so documents that hold some reach down their whole list. A region of
+   at most LEAF documents is a leaf: shared seeds of its pairs are counted, pairs that the counts and sizes can't
+   exclude are verified on the whole sets.
+2. Pivots. Documents of too few other shingles meet in the regions of their rarest hot ones, and these are split by
+   pivot documents (`Regions`): exact distances to PIVOTS of them give every document's Voronoi cell, documents within
+   the link radius of a pivot are linked to it, and whatever isn't in the largest group of its region then supplies the
+   pivots of the next level, more at each level. A pivot meets a document only if no earlier link connects the two, all
+   earlier distances of both differ by the radius at most (the triangle inequality), and the hot shingles of both
+   could make a link, as all others are counted in step 1.
+
+Every step loses no pair at distance <= 1 - t whose documents aren't connected otherwise. Sets are made anew from the
+texts where they are needed, as they are larger than the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Scratch, components, with_ids
+from .common import Scratch, components, with_ids
 from .words import Words, chunks, lists, shingles
 
-#: Documents that a seed's region has at most to be a leaf, and that the rest of a region around a pivot has at most
-#: to be joined pair by pair.
-LEAF, REST = 32, 256
+#: Documents that the region of a seed has at most to be a leaf.
+LEAF = 8
 #: Every document's seeds hold all its shingles up to this one, a third of all hashes and a little more than the prefix
 #: rule asks for, so that what a document adds later can only meet what others hold beyond it.
 BOUND = int(0.35 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
-#: Documents of a cell that those outside try first; PROBES of them connect nearly all that link with the cell.
-PROBES = 16
-#: Pivots that a large region gets at most one after the other before its unlinked rest is joined pair by pair.
-ROUNDS = 6
+#: Pivots of a region at the first level, and how many times as many each next level has.
+PIVOTS, MORE = 4, 4
+#: Shingles that the sets of one side of a verification may have together to be broadcast (8 bytes each).
+BROADCAST_SHINGLES = 2_000_000
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, low, key, shingles) of (id, text): set size, how many shingles lie up to BOUND, a 128-bit key of the whole set,
-    and its sorted shingles."""
+def _shingled(docs: DataFrame, size: int, schema: str, make: Callable) -> DataFrame:
+    """docs (id, text, further columns) batch by batch: make(ids and further columns, shingles, offsets) gives the columns of schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in chunks(batch.column(1)):
                 s, at = shingles(Words(data, off), size)
-                keys = [xxhash.xxh3_128_digest(s[at[k] : at[k + 1]]) for k in range(j - i)]
-                low = np.diff(np.concatenate([[0], np.cumsum((s >= 0) & (s <= BOUND))])[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(low), pa.array(keys, pa.binary()), lists(s, at)], names=["id", "n", "low", "key", "shingles"])
+                columns = make([c.slice(i, j - i) for k, c in enumerate(batch.columns) if k != 1], s, at)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, low long, key binary, shingles array<long>")
+    names = [part.split()[0] for part in schema.split(", ")]
+    return docs.mapInArrow(run, schema.replace("ID", kind))
 
 
-def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
-    """percent/100 <= intersection / union, in whole numbers."""
-    return 100 * inter >= percent * (n + m - inter)
+def sizes(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, low, key) of (id, text): set size, how many shingles lie up to BOUND, and a 128-bit key of the whole set."""
+
+    def make(columns, s, at):
+        keys = [xxhash.xxh3_128_digest(s[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        low = np.diff(np.concatenate([[0], np.cumsum(s.view(np.uint64) <= np.uint64(BOUND))])[at])
+        return [columns[0], pa.array(np.diff(at)), pa.array(low), pa.array(keys, pa.binary())]
+
+    return _shingled(docs, size, "id ID, n long, low long, key binary", make)
+
 
+def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, shingles) of (id, text): sorted distinct shingles."""
+    return _shingled(docs, size, "id ID, n long, shingles array<long>", lambda columns, s, at: [columns[0], pa.array(np.diff(at)), lists(s, at)])
 
-def verify(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Saved pairs (a, b) with n_a, n_b and the exact intersection size inter of their sets."""
-    few = pairs.count() <= BROADCAST_IDS  # so are their ids
-    ids = {s: pairs.select(F.col(s).alias("id")).distinct() for s in "ab"}
-    left, right = (whole.join(F.broadcast(ids[s]) if few else ids[s], "id", "left_semi").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("inter"))
 
+def ranges(docs: DataFrame, size: int) -> DataFrame:
+    """(id, seed): the shingles from place `lo` up to `hi` of each document's sorted list; docs: (id, text, lo, hi)."""
 
-def _pairs(regions: DataFrame) -> DataFrame:
-    """(a, b, c): pairs of documents in the same leaf regions, once for each shared region; regions: (seed, id), few ids a seed."""
-    groups = regions.groupBy("seed").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    one = groups.select("ids", F.posexplode("ids").alias("k", "a"))
-    two = one.select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"))
-    return two.groupBy("a", "b").agg(F.count("*").alias("c"))
+    def make(columns, s, at):
+        lo, hi = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:3])
+        place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at))
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        take = (place >= lo[row]) & (place < hi[row])
+        return [columns[0].take(pa.array(row[take])), pa.array(s[take])]
+
+    return _shingled(docs.select("id", "text", "lo", "hi"), size, "id ID, seed long", make)
+
+
+def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
+    """percent/100 <= intersection / union, in whole numbers."""
+    return 100 * inter >= percent * (n + m - inter)
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -86,116 +99,211 @@ def _least(n: Column, percent: int) -> Column:
     return F.floor(n * (100 - percent) / 100) + 1
 
 
-def seeds(whole: DataFrame, scratch: Scratch, percent: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(seed, id, k) of the seeds that k > 1 documents reach, and (id, n, w, h) of every document: w, how far it reaches
-    into its list, and h, how many of those are hot. Either w - h is enough for the prefix rule, or w is all."""
-    need = _least(F.col("n"), percent)
-    reach = whole.select("id", "n", "shingles", F.greatest("low", need).alias("w"))
-    index = reach.select("id", F.explode(F.slice("shingles", 1, F.col("w").cast("int"))).alias("seed"))
-    regions = scratch.save(index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions")
-    many = scratch.save(regions.where("k > 2").select("seed", "k"), "many")
-    twos = regions.where("k = 2").select("seed", "k", F.explode(F.array("a", "b")).alias("id"))
-    members = scratch.save(with_ids(index, many, "seed", "inner").select("seed", "k", "id").unionByName(twos), "members")
-    reach, widths = reach.select("id", "n", "w"), None
-    for turn in range(12):
-        hot = scratch.save(members.where(F.col("k") > leaf).groupBy("id").agg(F.count("*").alias("h")), "hot")
-        now = reach.select("id", "n", "w") if widths is None else with_ids(reach.select("id", "n", F.col("w").alias("w0")), widths, "id", "left").select("id", "n", F.coalesce("w", "w0").alias("w"))
-        now = with_ids(now, hot, "id", "left").select("id", "n", "w", F.coalesce("h", F.lit(0)).alias("h"))
-        short = F.col("w") - F.col("h") < need
-        wider = F.when((F.col("h") * 2 > F.col("w")) | F.lit(turn > 0), F.col("n")).otherwise(F.least("n", F.col("w") + F.ceil((need + F.col("h") - F.col("w")) * 1.5) + 2))
-        grow = scratch.save(now.where(short & (F.col("w") < F.col("n"))).select("id", "w", wider.alias("to")), "grow")
-        if not grow.limit(1).count():
-            return members, scratch.save(now, "reach")
-        fresh = with_ids(whole.select("id", "shingles"), grow, "id", "inner").select("id", F.explode(F.slice("shingles", (F.col("w") + 1).cast("int"), (F.col("to") - F.col("w")).cast("int"))).alias("seed"))
-        fresh = scratch.save(fresh, "fresh")
-        touched = scratch.save(fresh.select("seed").distinct(), "touched")
-        both = scratch.save(with_ids(index.where((F.col("seed") > BOUND) | (F.col("seed") < 0)), touched, "seed").unionByName(fresh), "both")
-        counts = scratch.save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
-        members = scratch.save(with_ids(members, touched, "seed", "left_anti").unionByName(with_ids(both, counts, "seed", "inner").select("seed", "k", "id")), "members")
-        index = index.unionByName(fresh)
-        new = grow.select("id", F.col("to").alias("w"))
-        widths = scratch.save(new if widths is None else new.unionByName(with_ids(widths, new, "id", "left_anti")), "widths")
-    raise RuntimeError("the seeds did not settle")
-
-
-def links(whole: DataFrame, scratch: Scratch, percent: int, leaf: int = LEAF) -> DataFrame:
-    """(a, b) links among (id, n, shingles) documents of distinct sets that connect exactly what all links connect."""
-    share = (100 - percent) / 100
-    members, reach = seeds(whole, scratch, percent, leaf)
-    # 1. leaves: shared shingles that are counted, at most the fewer hot ones, and at most what lies beyond either reach
-    pairs = scratch.save(_pairs(members.where(F.col("k") <= leaf)), "pairs")
-    for side in "ab":
-        pairs = pairs.join(reach.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("w").alias(f"w_{side}"), F.col("h").alias(f"h_{side}")), side)
-    most = F.least("n_a", "n_b", F.col("c") + F.least("h_a", "h_b") + F.greatest(F.col("n_a") - F.col("w_a"), F.col("n_b") - F.col("w_b")))
-    pairs = scratch.save(pairs.where(linked(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "leaves")
-    found = [scratch.save(verify(pairs, whole), "verified")]
-
-    # 2. regions of hot seeds, for documents that lack others: rarest first, as many as the prefix rule still asks for
-    lacking = scratch.save(reach.select("id", "n", (_least(F.col("n"), percent) - F.col("w") + F.col("h")).alias("lack")).where("lack > 0"), "lacking")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("k", "seed"))
-    state = with_ids(members.where(F.col("k") > leaf), lacking, "id", "inner").withColumn("place", place).where("place <= lack").select("seed", "id", "n")
-    for _ in range(ROUNDS):
-        pivots = scratch.save(state.groupBy("seed").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1"), "pivots")
-        state = scratch.save(state.join(pivots, "seed").select("pivot", "id", "n").distinct(), "cells")
-        if not state.limit(1).count():
-            break
-        cells = verify(scratch.save(state.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "spokes"), whole)
-        cells = scratch.save(cells.withColumn("d", 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)), "verified")
-        found.append(cells.where("in").select("a", "b", "n_a", "n_b", "inter"))
-        # outside the cell: first against a few of its documents, as one link connects to all of them
-        fits = lambda x, y: (F.abs(F.col(f"d_{x}") - F.col(f"d_{y}")) <= share + 1e-9) & linked(F.least(f"n_{x}", f"n_{y}"), F.col(f"n_{x}"), F.col(f"n_{y}"), percent)
-        ends = lambda pairs: pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        outside = cells.where("NOT in").select("a", F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("d").alias("d_y"))
-        inside = cells.where("in").select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("d").alias("d_x"))
-        some = inside.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("x"), "x"))).where(F.col("turn") <= PROBES)
-        tried = scratch.save(outside.join(some, "a").where(fits("x", "y")).select("a", "x", "y"), "tried")
-        probes = scratch.save(verify(scratch.save(ends(tried), "probes"), whole), "verified")
-        found.append(probes)
-        hits = probes.where(linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("a").alias("p"), F.col("b").alias("q"))
-        joined = tried.join(hits, (F.least("x", "y") == F.col("p")) & (F.greatest("x", "y") == F.col("q")), "left_semi").select("a", "y").distinct()
-        joined = scratch.save(joined, "joined")
-        # the rest: pairs among them, and with boundary documents of the cell and of what joined it, in the window
-        # |d(x, pivot) - d(y, pivot)| <= radius
-        rest = scratch.save(outside.join(joined, ["a", "y"], "left_anti"), "outside")
-        around = inside.unionByName(outside.join(joined, ["a", "y"], "left_semi").select("a", F.col("y").alias("x"), F.col("n_y").alias("n_x"), F.col("d_y").alias("d_x")))
-        across = ends(around.join(rest, "a").where(fits("x", "y")))
-        rest = rest.select(F.col("a").alias("seed"), F.col("y").alias("id"), F.col("n_y").alias("n"))
-        rest = scratch.save(rest.join(rest.groupBy("seed").agg(F.count("*").alias("k")), "seed"), "rest")
-        pairs = scratch.save(across.union(_pairs(rest.where(F.col("k") <= REST)).select("a", "b")).distinct(), "leaves")
-        found.append(scratch.save(verify(pairs, whole), "verified"))
-        state = rest.where(F.col("k") > REST).select("seed", "id", "n")
-    else:
-        left, right = state.select("seed", F.col("id").alias("a"), F.col("n").alias("x")), state.select("seed", F.col("id").alias("b"), F.col("n").alias("y"))
-        pairs = left.join(right, "seed").where((F.col("a") < F.col("b")) & linked(F.least("x", "y"), F.col("x"), F.col("y"), percent))
-        found.append(scratch.save(verify(scratch.save(pairs.select("a", "b").distinct(), "leaves"), whole), "verified"))
-    out = None
-    for f in found:
-        f = f.where(linked(F.col("inter"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-        out = f if out is None else out.union(f)
-    return scratch.save(out.distinct(), "links")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
+class Join:
+    """One join: the texts of distinct sets (id, text), their sizes (id, n, low), and where its tables are kept."""
+
+    def __init__(self, texts: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int, size: int, leaf: int):
+        self.texts, self.sizes, self.scratch, self.percent, self.size, self.leaf = texts, sizes, scratch, percent, size, leaf
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Saved pairs (a, b) and their further columns with n_a, n_b, the exact intersection size inter, and `in`: they link."""
+        keep, save = self.scratch, self.scratch.save
+        ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        whole = save(whole_sets(with_ids(self.texts, ids, "id"), self.size), "whole")
+        left = whole.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+        few = (left.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
+        left, right = (side.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s, side in (("a", left), ("b", whole)))
+        both = pairs.join(right, "b").join(F.broadcast(left) if few else left, "a")
+        both = both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("inter"))
+        out = save(both.withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), self.percent)), "verified")
+        keep.drop(ids), keep.drop(whole)
+        return out
+
+    # --- step 1 ---
+
+    def seeds(self) -> tuple[DataFrame, DataFrame]:
+        """(seed, id, k) of the seeds that k > 1 documents reach, and (id, n, w, h) of every document: w, how far it reaches
+        into its list, and h, how many of those are hot. Either w - h is enough for the prefix rule, or w is all."""
+        save, drop, leaf = self.scratch.save, self.scratch.drop, self.leaf
+        need = _least(F.col("n"), self.percent)
+        reach = save(self.sizes.select("id", "n", "low", F.greatest("low", need).alias("w")), "reach")
+        index = self._prefixes()
+        regions = save(index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions")
+        many = save(regions.where("k > 2").select("seed", "k"), "many")
+        twos = regions.where("k = 2").select("seed", "k", F.explode(F.array("a", "b")).alias("id"))
+        members = save(with_ids(index, many, "seed", "inner").select("seed", "k", "id").unionByName(twos), "members")
+        drop(regions), drop(many)
+        # what documents reach beyond BOUND, where only few meet
+        far = save(reach.where("w > low").select("id", F.col("low").alias("lo"), F.col("w").alias("hi")), "far")
+        beyond = save(ranges(with_ids(self.texts, far, "id", "inner"), self.size), "beyond")
+        drop(far)
+        reach = reach.select("id", "n", "w")
+        while True:
+            hot = save(members.where(F.col("k") > leaf).groupBy("id").agg(F.count("*").alias("h")), "hot")
+            now = save(with_ids(reach, hot, "id", "left").select("id", "n", "w", F.coalesce("h", F.lit(0)).alias("h")), "reach")
+            drop(hot), drop(reach)
+            reach = now.select("id", "n", "w")
+            grow = save(now.where((F.col("w") - F.col("h") < need) & (F.col("w") < F.col("n"))).select("id", F.col("w").alias("lo"), F.col("n").alias("hi")), "grow")
+            if not grow.limit(1).count():
+                drop(grow), drop(beyond)
+                return members, now
+            fresh = save(ranges(with_ids(self.texts, grow, "id", "inner"), self.size), "fresh")
+            touched = save(fresh.select("seed").distinct(), "touched")
+            both = save(with_ids(beyond, touched, "seed").unionByName(fresh), "both")
+            counts = save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
+            more = with_ids(both, counts, "seed", "inner").select("seed", "k", "id")
+            new = save(with_ids(members, touched, "seed", "left_anti").unionByName(more), "members")
+            wide = save(beyond.unionByName(fresh), "beyond")
+            reach = save(with_ids(reach, grow, "id", "left").select("id", "n", F.coalesce("hi", "w").alias("w")), "reach")
+            for t in (now, members, beyond, fresh, touched, both, counts, grow):
+                drop(t)
+            members, beyond = new, wide
+
+    def _prefixes(self) -> DataFrame:
+        """(id, seed) of every document's first shingles: all up to BOUND, and at least as many as the prefix rule asks for."""
+        percent = self.percent
+
+        def make(columns, s, at):
+            n = np.diff(at)
+            low = np.diff(np.concatenate([[0], np.cumsum(s.view(np.uint64) <= np.uint64(BOUND))])[at])
+            reach = np.maximum(low, n * (100 - percent) // 100 + 1)
+            row = np.repeat(np.arange(len(n)), n)
+            take = np.arange(len(s)) - np.repeat(at[:-1], n) < reach[row]
+            return [columns[0].take(pa.array(row[take])), pa.array(s[take])]
+
+        return _shingled(self.texts, self.size, "id ID, seed long", make)
+
+    def leaves(self, members: DataFrame, reach: DataFrame) -> DataFrame:
+        """Verified pairs of the leaf regions: shared shingles are those counted, at most the fewer hot ones, and at most what
+        lies beyond either reach."""
+        groups = members.where(F.col("k") <= self.leaf).groupBy("seed").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        one = groups.select("ids", F.posexplode("ids").alias("i", "a"))
+        two = one.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
+        pairs = self.scratch.save(two.groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
+        both = pairs
+        for s in "ab":
+            both = both.join(reach.select(F.col("id").alias(s), *(F.col(x).alias(f"{x}_{s}") for x in "nwh")), s)
+        most = F.least("n_a", "n_b", F.col("c") + F.least("h_a", "h_b") + F.greatest(F.col("n_a") - F.col("w_a"), F.col("n_b") - F.col("w_b")))
+        kept = self.scratch.save(both.where(linked(most, F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b"), "leaves")
+        out = self.verify(kept)
+        self.scratch.drop(pairs), self.scratch.drop(kept)
+        return out
+
+    # --- step 2 ---
+
+    def crowded(self, members: DataFrame, reach: DataFrame) -> DataFrame:
+        """(head, id, n, h): regions of documents that lack seeds other than hot ones, rarest hot ones first, as many as the prefix
+        rule still asks for. Regions with the same smallest document, their head, are one."""
+        lacking = self.scratch.save(reach.select("id", "n", "h", (_least(F.col("n"), self.percent) - F.col("w") + F.col("h")).alias("lack")).where("lack > 0"), "lacking")
+        mine = with_ids(members.where(F.col("k") > self.leaf), lacking, "id", "inner")
+        first = F.slice(F.array_sort(F.collect_list(F.struct("k", "seed"))), 1, F.first("lack").cast("int"))
+        mine = mine.groupBy("id").agg(first.alias("s"), F.first("n").alias("n"), F.first("h").alias("h")).select("id", "n", "h", F.explode("s.seed").alias("seed"))
+        mine = self.scratch.save(mine, "homes")
+        heads = self.scratch.save(mine.groupBy("seed").agg(F.min("id").alias("head"), F.count("*").alias("k")).where("k > 1").select("seed", "head"), "heads")
+        out = self.scratch.save(mine.join(heads, "seed").select("head", "id", "n", "h").distinct(), "regions")
+        for t in (lacking, mine, heads):
+            self.scratch.drop(t)
+        return out
+
+    def split(self, regions: DataFrame, found: list[DataFrame]) -> None:
+        """Adds the links of regions to found, level by level."""
+        save, drop, share = self.scratch.save, self.scratch.drop, (100 - self.percent) / 100
+        if not regions.limit(1).count():
+            return
+        # the first level: exact distances of all documents to the region's pivots, of which the head is one
+        pivots = regions.groupBy("head", F.pmod(F.xxhash64("id"), F.lit(PIVOTS - 1)).alias("part")).agg(F.min("id").alias("a")).select("head", "a")
+        pivots = save(pivots.union(regions.select("head", "head")).distinct(), "pivots")
+        star = regions.join(pivots, "head").select("head", "a", F.col("id").alias("b"))
+        star = self.verify(save(star.where("a <> b").select("a", "b").distinct(), "star"))
+        found.append(star)
+        seen = star.select("a", "b", (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("d"))
+        seen = regions.join(pivots, "head").select("head", "a", F.col("id").alias("b"), "n", "h").join(seen, ["a", "b"], "left")
+        cells = seen.groupBy("head", F.col("b").alias("id")).agg(F.first("n").alias("n"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("a", F.coalesce("d", F.lit(0.0)).alias("d")))).alias("seen"))
+        nearest = F.array_min(F.transform("seen", lambda x: F.struct(x["d"].alias("d"), x["a"].alias("a"))))
+        cells = cells.withColumn("nearest", nearest)
+        # a linked document of another cell is at most twice the radius farther from this cell's pivot than from its own
+        around = F.transform(F.filter("seen", lambda x: x["d"] <= F.col("nearest")["d"] + 2 * share + 1e-9), lambda x: x["a"])
+        cells = save(cells.select("head", "id", "n", "h", F.col("seen.d").alias("d"), F.col("nearest")["a"].alias("home"), around.alias("around")), "cells")
+        least = cells.groupBy("head").agg(F.min("n").alias("smallest"))
+        used = pivots.select("head", F.col("a").alias("id"))
+        level = 1
+        while True:
+            # connected documents need no more links; the largest group of a region is settled, others are open
+            comps = components(self.scratch, self._links(found))
+            now = save(cells.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+            drop(comps)
+            counts = now.groupBy("head", "comp").agg(F.count("*").alias("k"))
+            top = counts.groupBy("head").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"))
+            able = linked(F.col("h"), F.col("n"), F.greatest("smallest", "h"), self.percent)  # h shingles could be shared with some set of the region
+            left = now.join(top, "head").join(least, "head").where((F.col("comp") != F.col("top")) & able).select("head", "home", "id")
+            left = save(left.join(used, ["head", "id"], "left_anti"), "open")
+            if not left.limit(1).count():
+                return
+            level *= MORE
+            chosen = save(left.groupBy("head", "home", F.pmod(F.xxhash64("id"), F.lit(level)).alias("part")).agg(F.min("id").alias("id")).select("head", "id"), "pivots")
+            p = now.join(chosen, ["head", "id"], "left_semi").select("head", F.col("home").alias("cell"), F.col("id").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("d").alias("e"))
+            rest = now.join(used, ["head", "id"], "left_anti").select("head", "id", "n", "h", "d", "comp", F.explode("around").alias("cell"))
+            near = F.forall(F.zip_with("d", "e", lambda x, y: F.abs(x - y)), lambda x: x <= share + 1e-9)
+            meet = rest.join(p, ["head", "cell"]).where((F.col("comp") != F.col("c")) & near & linked(F.least("g", "h"), F.col("m"), F.col("n"), self.percent))
+            star = save(meet.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a").groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b")), "star")
+            found.append(self.verify(star))
+            used = save(used.unionByName(chosen), "used")
+            drop(now), drop(left)
+
+    def _links(self, found: list[DataFrame]) -> DataFrame:
+        out = found[0].where("in").select("a", "b")
+        for f in found[1:]:
+            out = out.union(f.where("in").select("a", "b"))
+        return out
+
+    def links(self) -> DataFrame:
+        """(a, b) links that connect exactly what all links connect."""
+        members, reach = self.seeds()
+        found = [self.leaves(members, reach)]
+        self.split(self.crowded(members, reach), found)
+        return self.scratch.save(self._links(found).distinct(), "links")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, key: str = "doc_id", text: str = "text", leaf: int = LEAF, scratch: Scratch | None = None) -> DataFrame:
     """key, n_shingles, component_id of every row: documents link at Jaccard >= percent/100, a component is what links connect.
 
     component_id is the smallest key reachable, itself included. Texts are lower-cased (A-Z), cut into words at ASCII
     white space and read whole; fewer than `size` words make one shingle. Null, empty and wordless texts have an empty
-    set and link with nothing. Equal sets are one class, joined once, so copies make no pairs; rows that repeat a key
-    stay. An empty table gives an empty result; other columns are ignored. Null keys stay single.
+    set and link with nothing. Equal sets are one class, joined once, so copies make no pairs. Rows that repeat a key
+    are documents of their own: each is linked by its own text and gets the smallest key that it reaches. Null keys
+    stay single. An empty table gives an empty result; other columns are ignored. docs is read several times, so give a
+    table rather than a long plan. The result reads two small saved tables; a caller's own scratch keeps them.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    own = scratch or Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    meta = scratch.save(sets(texts, size), "meta")
-    classes = scratch.save(meta.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("copies")), "classes")
+    meta = own.save(sizes(texts, size), "meta")
+    kept = meta.where("n > 0 AND id IS NOT NULL")
+    if kept.groupBy("id").count().where("count > 1").limit(1).count():
+        return _repeated(texts, meta, percent, size, key, leaf, own)
+    classes = own.save(kept.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     # all but each class's smallest id stand aside
-    several = classes.where("copies > 1")
-    aside = scratch.save(with_ids(meta.where("n > 0").select("key", "id"), several.select("key", "rep"), "key", "inner").where("id <> rep").select("id").distinct(), "aside")
-    alone = with_ids(meta.where("n > 0 AND id IS NOT NULL").select("id", "n", "low", "shingles"), aside, "id", "left_anti")
-    if several.where("rep = last").limit(1).count():
-        alone = alone.dropDuplicates(["id"])  # a row repeated with its key
-    found = links(alone, scratch, percent, leaf)
-    comps = components(scratch, found).withColumnRenamed("id", "rep")
-    moved = scratch.save(classes.join(comps, "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("key", F.coalesce("comp", "rep").alias("comp")), "moved")
+    several = own.save(classes.where("copies > 1").select("key", "rep"), "several")
+    alone = own.save(with_ids(kept.select("id", "n", "low", "key"), several, "key", "left").where("rep IS NULL OR rep = id").select("id", "n", "low"), "alone")
+    aside = own.save(with_ids(kept.select("id", "key"), several, "key", "inner").where("rep <> id").select("id"), "aside")
+    found = Join(with_ids(texts.where("id IS NOT NULL"), aside, "id", "left_anti"), alone, own, percent, size, leaf).links()
+    comps = components(own, found).withColumnRenamed("id", "rep")
+    moved = own.save(classes.join(comps, "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("key", F.coalesce("comp", "rep").alias("comp")), "moved")
+    own.keep(meta, moved)
     out = with_ids(meta.select("id", "n", "key"), moved, "key", "left")
-    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("comp", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    mine = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("comp", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), mine.alias("component_id"))
+
+
+def _repeated(texts: DataFrame, meta: DataFrame, percent: int, size: int, key: str, leaf: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates of rows that repeat keys: each key and text is a document, named by the key and a digest of the text."""
+    named = F.concat_ws(":", F.col("id").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = scratch.save(texts.where("id IS NOT NULL").select("id", named.alias("name")), "rows")
+    once = scratch.save(texts.where("id IS NOT NULL").select(named.alias("name"), "text").dropDuplicates(["name"]), "once")
+    deep = Scratch(texts.sparkSession, "jaccard")
+    groups = scratch.save(near_duplicates(once, percent, size, "name", "text", leaf, deep), "groups")
+    deep.drop(deep.root)
+    least = groups.join(rows.distinct(), "name").groupBy("component_id").agg(F.min("id").alias("least"))
+    told = scratch.save(groups.join(least, "component_id").select("name", "n_shingles", "least"), "told")
+    scratch.keep(rows, meta, told)
+    out = rows.join(told, "name").select("id", "n_shingles", "least").union(meta.where("id IS NULL").select("id", "n", "id"))
+    return out.toDF(key, "n_shingles", "component_id")
