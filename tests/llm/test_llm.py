@@ -245,6 +245,25 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
     assert "b-4" not in r.committed() and r.commit("b-4", second.limit(0))
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path):
+    kind = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
+    ten = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], kind)
+
+    class Racing(rollups.Rollup):
+        def _read(self):
+            out = super()._read()
+            self.commit("late", ten)
+            return out
+
+    r = Racing(spark, f"file://{tmp_path}/r")
+    r.commit("early", ten)
+    r.compact()
+    plain = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    assert [(x.docs, x.tokens) for x in plain.totals().collect()] == [(2, 20)]
+    plain.compact()
+    assert [(x.docs, x.tokens) for x in plain.totals().collect()] == [(2, 20)] and plain.committed() == {"early", "late"}
+
+
 # --- 7: mixing -----------------------------------------------------------------------------------------------------
 
 

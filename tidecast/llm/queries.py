@@ -81,20 +81,26 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under two tokenizer versions; toxic ones deleted, low-quality ones recounted without symbols; every batch sent twice."""
-    from .common import Scratch
+    from .common import Scratch, with_ids
     from .rollups import COUNTERS, Rollup, count_tokens
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rollup = Rollup(spark, Scratch(spark, "rollups").root)
-    counts = F.array(*[F.struct(F.lit(v).alias("version"), count_tokens(F.col("text"), v).alias("n")) for v in COUNTERS])
-    plain = F.array(*[F.struct(F.lit(v).alias("version"), count_tokens(F.col("text"), v).alias("old"), count_tokens(F.regexp_replace("text", r"[!#$%&*|]+", " "), v).alias("n")) for v in COUNTERS])
-    each = docs.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select("doc_id", "source", "lang", "c.version", F.col("c.n").alias("n_tokens"), F.lit(0).alias("old_tokens"))
-    toxic = each.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    poor = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").select("source", "lang", F.explode(plain).alias("c"))
-    poor = poor.select("source", "lang", "c.version", F.col("c.n").alias("n_tokens"), F.col("c.old").alias("old_tokens"))
-    for name, op, rows in (("load", "insert", each), ("toxic", "delete", toxic), ("symbols", "revise", poor)):
+    scratch = Scratch(spark, "rollups")
+    rollup = Rollup(spark, f"{scratch.root}/totals")
+    # every text is counted once, in one narrow pass; labels meet the counts, so no text moves
+    plain = F.regexp_replace("text", r"[!#$%&*|]+", " ")
+    counts = F.array(*[F.struct(F.lit(v).alias("version"), count_tokens(F.col("text"), v).alias("n"), count_tokens(plain, v).alias("plain")) for v in COUNTERS])
+    each = scratch.save(docs.select("doc_id", "source", "lang", F.explode(counts).alias("c")).select("doc_id", "source", "lang", "c.*"), "counts")
+    toxic = scratch.save(labels.where("toxic = 1").select("doc_id").distinct(), "toxic")
+    poor = scratch.save(labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti"), "poor")
+    load = each.select("source", "lang", "version", F.col("n").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+    gone = with_ids(each, toxic, "doc_id").select("source", "lang", "version", F.col("n").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+    fewer = with_ids(each, poor, "doc_id").select("source", "lang", "version", F.col("plain").alias("n_tokens"), F.col("n").alias("old_tokens"))
+    for name, op, rows in (("load", "insert", load), ("toxic", "delete", gone), ("symbols", "revise", fewer)):
         for _ in range(2):
             rollup.commit(name, rows.select(F.lit(op).alias("op"), "source", "lang", "version", "n_tokens", "old_tokens"))
+    for t in (each, toxic, poor):
+        scratch.drop(t)
     rollup.compact()
     return rollup.totals()
 

@@ -67,25 +67,32 @@ class Rollup:
         """Applies a batch of changes once; False if its name is committed already, whatever the changes hold."""
         if not batch or not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"batch names are letters, digits, - and _: {batch!r}")
-        if batch in self.committed():
+        if self._exists(f"{self.folder}/batches/{batch}/_SUCCESS"):
             return False
         deltas(changes).write.mode("overwrite").parquet(f"{self.folder}/batches/{batch}")
         return True
 
-    def totals(self) -> DataFrame:
-        """(source, lang, version, docs, tokens) over all committed batches; groups that came back to nothing are left out."""
+    def _read(self) -> tuple[DataFrame, list[str]]:
+        """Totals, and the names of the batches in them: one listing serves both."""
         base, covered = self._snapshot()
-        paths = [f"{self.folder}/batches/{b}" for b in self._children("batches") if b not in covered]
+        fresh = [b for b in self._children("batches") if b not in covered]
         kind = "source string, lang string, version string, docs long, tokens long"
-        parts = [self.spark.read.schema(kind).parquet(*paths)] if paths else []
+        parts = [self.spark.read.schema(kind).parquet(*[f"{self.folder}/batches/{b}" for b in fresh])] if fresh else []
         parts += [base] if base is not None else []
         out = parts[0] if parts else self.spark.createDataFrame([], kind)
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        out = out.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        return out, sorted(covered | set(fresh))
+
+    def totals(self) -> DataFrame:
+        """(source, lang, version, docs, tokens) over all committed batches; groups that came back to nothing are left out."""
+        return self._read()[0]
 
     def compact(self) -> None:
-        """A new snapshot of everything committed. Its member list is written before it, so it never counts a batch twice."""
-        names, version = sorted(self.committed()), f"{len(self._children('snapshots')):08d}"
+        """A new snapshot: the totals of exactly the batches that it lists as members, so a batch committed meanwhile is read beside
+        it and counts once. Members are written first; a snapshot counts from its _SUCCESS on. One compaction at a time."""
+        totals, names = self._read()
+        version = f"{len(self._children('snapshots')):08d}"
         self.spark.createDataFrame([(n,) for n in names], "batch string").write.mode("overwrite").parquet(f"{self.folder}/members/{version}")
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/snapshots/{version}")
+        totals.write.mode("overwrite").parquet(f"{self.folder}/snapshots/{version}")
