@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, with_ids
 
 #: Rows of a tile's side; larger cells are joined tile by tile, so a task holds two sides at most.
 TILE = 2000
@@ -66,10 +66,9 @@ def rotate(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Blocks:
     """The pigeonhole: unit vectors at cosine >= c lie within d2 = 2 - 2c, so within d2 * width / dim in some block."""
 
-    def __init__(self, dim: int, cosine: float, blocks: int, grid: int):
+    def __init__(self, dim: int, cosine: float, blocks: int):
         self.edges = [round(k * dim / blocks) for k in range(blocks + 1)]
-        self.grid = grid
-        d2 = 2 - 2 * cosine
+        d2 = max(0.0, 2 - 2 * cosine)
         self.budget = np.array([d2 * (b - a) / dim for a, b in zip(self.edges, self.edges[1:])]) * (1 + 1e-9) + 1e-12
         self.reach = np.sqrt(self.budget) * (1 + 1e-9) + 1e-9  # farther than any pair within budget can lie on an axis
 
@@ -77,80 +76,131 @@ class Blocks:
         """Squared length of difference vectors by block."""
         return np.stack([(d[:, a:b] ** 2).sum(1) for a, b in zip(self.edges, self.edges[1:])], 1)
 
-    def cells(self, y: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cells(self, y: np.ndarray, block: int, axes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, is home) of the cells, two reaches wide on the block's first axes, that hold a vector or a point in its reach."""
         r, first = self.reach[block], self.edges[block]
-        axes = y[:, first : min(first + self.grid, self.edges[block + 1])]
-        home = np.floor(axes / (2 * r)).astype(np.int64)
-        side = np.where(axes - home * 2 * r < r, -1, 1)  # the one neighbour on each axis that may be in reach
-        gap = np.where(side < 0, axes - home * 2 * r, (home + 1) * 2 * r - axes)
+        half = math.ceil(1 / (2 * r)) + 2
+        bits = (2 * half).bit_length()
+        part = y[:, first : first + min(axes, self.edges[block + 1] - first, 62 // bits)]
+        home = np.floor(part / (2 * r)).astype(np.int64)
+        side = np.where(part - home * 2 * r < r, -1, 1)  # the one neighbour on each axis that may be in reach
+        gap = np.where(side < 0, part - home * 2 * r, (home + 1) * 2 * r - part)
         rows, cells, own = [], [], []
-        for mask in range(1 << axes.shape[1]):
-            pick = np.array([(mask >> k) & 1 for k in range(axes.shape[1])], bool)
+        for mask in range(1 << part.shape[1]):
+            pick = np.array([(mask >> k) & 1 for k in range(part.shape[1])], bool)
             near = (gap[:, pick] ** 2).sum(1) <= r * r * (1 + 1e-6)
-            c = np.where(pick[None, :], home + side, home)[near] + (1 << 12)
+            c = np.where(pick[None, :], home + side, home)[near] + half
             code = np.zeros(len(c), np.int64)
             for k in range(c.shape[1]):
-                code = code << 14 | c[:, k]
+                code = code << bits | c[:, k]
             rows.append(np.flatnonzero(near))
             cells.append(code)
             own.append(np.full(len(c), mask == 0))
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
 
 
+def within(h: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, budget: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which rows of h and of o have a partner of the other side within the squared distance, with a < b; and how many pairs were
+    looked at. Both sides are sorted along the first axis, and a strip of h only meets the o in its reach there."""
+    hit_h, hit_o, looked = np.zeros(len(h), bool), np.zeros(len(o), bool), 0
+    reach = math.sqrt(budget)
+    in_h, in_o = np.argsort(h[:, 0], kind="stable"), np.argsort(o[:, 0], kind="stable")
+    along, ho, oo = o[in_o, 0], (h * h).sum(1), (o * o).sum(1)
+    for s in range(0, len(h), strip):
+        i = in_h[s : s + strip]
+        lo, hi = np.searchsorted(along, [h[i[0], 0] - reach, h[i[-1], 0] + reach])
+        j = in_o[lo:hi]
+        near = (ho[i][:, None] + oo[j][None, :] - 2 * (h[i] @ o[j].T) <= budget) & (a[i][:, None] < b[j][None, :])
+        hit_h[i] |= near.any(1)
+        hit_o[j] |= near.any(0)
+        looked += len(i) * len(j)
+    return hit_h, hit_o, looked
+
+
 def _dim(df: DataFrame, vector: str) -> int:
     row = df.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
     return row["n"] if row else 1
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, blocks: int = 4, grid: int = 2, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, blocks: int = 8, key: str = "vec_id", vector: str = "embedding", label: str = "label", tile: int = TILE) -> DataFrame:
     """key, n_links, component_id, kept of every row: vectors of one label link at cosine >= `cosine`, in double precision.
 
-    Vectors are rotated and cut into blocks; each block is range-joined on a grid of its first axes under its share of
-    the squared-distance budget, every candidate is verified on the whole vectors, and a pair counts in the first block
-    that admits it, in its smaller id's cell, so exactly once. Null labels, and vectors that are null, zero, hold null or
-    non-finite components (or another length than most) link with nothing. Equal vectors of a label are one class, joined
-    once. Links are summed and connected inside a tile, so neither copies nor dense groups make a row for each pair.
-    Rows that repeat a key are separate vectors whose links count for each; an empty table gives an empty result.
+    Vectors are rotated and cut into blocks. First only ids and a block's coordinates are range-joined, under the block's
+    share of the squared-distance budget: by label, and in larger labels by a grid over as many of the block's axes as
+    bring a cell to about `tile` rows. Vectors without a partner in any block end there. The others meet once more, in the
+    same cells, with whole vectors: every candidate is verified exactly, and a pair counts in the first block that admits
+    it, in its smaller id's cell, so exactly once. Null labels, and vectors that are null, zero, hold null or non-finite
+    components (or another length than most) link with nothing. Equal vectors of a label are one class, joined once.
+    Links are summed and connected inside a tile, so neither copies nor dense groups make a row for each pair. Rows that
+    repeat a key are separate vectors whose links count for each row; an empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession, "vectors")
     rows = scratch.save(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("label")), "rows")
     good = usable(rows, "v").where("label IS NOT NULL AND id IS NOT NULL")
     dim = _dim(good, "v")
-    classes = scratch.save(good.where(F.size("v") == dim).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    plan, q = Blocks(dim, cosine, min(blocks, dim), grid), rotation(dim)
+    classes = good.where(F.size("v") == dim).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    repeated = bool(good.groupBy("id").count().where("count > 1").limit(1).count())
+    name = F.concat_ws(":", "rep", F.col("label").cast("string"), F.sha2(F.to_json("v"), 256)) if repeated else F.col("rep")
+    classes = scratch.save(classes.withColumn("name", name), "classes")
+    plan, q = Blocks(dim, cosine, min(blocks, dim)), rotation(dim)
+    axes = classes.groupBy("label").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / tile))).cast("int").alias("axes"))
+    axes = scratch.save(axes, "axes")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, x = _matrix(batch.column(3))
+            at, x = _matrix(batch.column(2))
             if not len(at):
                 continue
-            y = rotate(x, q)
-            for b in range(len(plan.budget)):
-                row, cell, home = plan.cells(y, b)
-                take = pa.array(at[row])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(row), b, np.int32)), pa.array(cell), pa.array(home), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take)], names=["label", "block", "cell", "home", "rep", "copies", "v"])
+            y, grid = rotate(x, q), batch.column(3).to_numpy()[at]
+            for g in np.unique(grid):
+                mine = np.flatnonzero(grid == g)
+                for b, (lo, hi) in enumerate(zip(plan.edges, plan.edges[1:])):
+                    row, cell, home = plan.cells(y[mine], b, int(g))
+                    row = mine[row]
+                    take, part = pa.array(at[row]), y[row, lo:hi].astype(np.float32)
+                    coords = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * (hi - lo)), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.full(len(row), b, np.int32)), pa.array(cell), pa.array(home), batch.column(1).take(take), coords], names=["label", "block", "cell", "home", "name", "y"])
 
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
-    schema = f"label {kinds['label']}, block int, cell long, home boolean, rep {kinds['rep']}, copies long, v {kinds['v']}"
-    placed = scratch.save(classes.select("label", "rep", "copies", "v").mapInArrow(place, schema), "placed")
-    where = ["label", "block", "cell"]
+    where, tiled = ["label", "block", "cell"], ["label", "block", "cell", "i", "j"]
+    placed = with_ids(classes.select("label", "name", "v"), axes, "label", "inner").select("label", "name", "v", "axes").mapInArrow(place, f"label {kinds['label']}, block int, cell long, home boolean, name {kinds['name']}, y array<float>")
+    placed = scratch.save(placed, "placed")
     # cells without a home vector, or with one vector, join nothing; large ones are cut into tiles of both sides
-    sizes = placed.groupBy(*where).agg(F.count("*").alias("k"), F.sum(F.col("home").cast("long")).alias("homes")).where("homes > 0 AND k > 1")
-    sizes = scratch.save(sizes.select(*where, F.ceil(F.col("k") / tile).cast("int").alias("parts")), "sizes")
-    parted = placed.join(sizes, where)
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    cells = placed.groupBy(*where).agg(F.count("*").alias("k"), F.sum(F.col("home").cast("long")).alias("homes")).where("homes > 0 AND k > 1")
+    cells = scratch.save(cells.select(*where, F.ceil(F.col("k") / tile).cast("int").alias("parts")), "cells")
+    part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
-    home = parted.where("home").select(*where, part.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("home"), "rep", "copies", "v")
-    other = parted.select(*where, F.explode(every).alias("i"), part.alias("j"), F.lit(False).alias("home"), "rep", "copies", "v")
+    first = F.transform(every, lambda p: F.struct(part.alias("i"), p.alias("j"), F.lit(1).alias("side")))
+    second = F.transform(every, lambda p: F.struct(p.alias("i"), part.alias("j"), F.lit(2).alias("side")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("home"), 3).otherwise(2).alias("side")))
+    sides = F.when(F.col("parts") == 1, alone).when(F.col("home"), F.concat(first, second)).otherwise(second)
+    dealt = placed.join(cells, where).select(*where, F.explode(sides).alias("t"), "name", "y").select(*where, "t.*", "name", "y")
+
+    def candidates(table: pa.Table) -> pa.Table:
+        side, name = table["side"].to_numpy(), table["name"].to_numpy()
+        h, o = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        hit = np.zeros(len(side), np.int32)
+        if len(h) and len(o):
+            y = table["y"].combine_chunks()
+            y = y.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
+            block = table["block"][0].as_py()
+            in_h, in_o, _ = within(y[h], y[o], name[h], name[o], plan.budget[block] + 1e-5)  # coordinates are in single precision here
+            hit[h[in_h]] |= 1
+            hit[o[in_o]] |= 2
+        keep = np.flatnonzero(hit)
+        return table.select([*tiled, "name"]).take(pa.array(keep)).append_column("side", pa.array(hit[keep]))
+
+    kept = dealt.groupBy(*tiled).applyInArrow(candidates, f"label {kinds['label']}, block int, cell long, i int, j int, name {kinds['name']}, side int")
+    kept = scratch.save(kept, "candidates")
+    scratch.drop(placed)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, o = pdf[pdf.home.to_numpy()], pdf[~pdf.home.to_numpy()]
+        h, o = pdf[(pdf.side & 1) > 0], pdf[(pdf.side & 2) > 0]
         if not len(h) or not len(o):
-            return pd.DataFrame({"rep": [], "links": [], "root": []})
+            return pd.DataFrame({"name": [], "links": [], "root": []})
         block = int(pdf.block.iloc[0])
         x, y = (np.stack([np.asarray(v, np.float64) for v in side.v]) for side in (h, o))
-        a, b = h.rep.to_numpy(), o.rep.to_numpy()
+        a, b = h.name.to_numpy(), o.name.to_numpy()
         length = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
         i, j = np.nonzero((x @ y.T >= (cosine - 1e-9) * length) & (a[:, None] < b[None, :]))
         rx, ry = rotate(x, q), rotate(y, q)
@@ -175,14 +225,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, blocks: int = 4, grid
             if (new == root).all():
                 break
             root = new
-        return pd.DataFrame({"rep": ids, "links": links.astype(np.int64), "root": ids[root]})
-
-    tiles = home.union(other).groupBy(*where, "i", "j").applyInPandas(join, f"rep {kinds['rep']}, links long, root {kinds['rep']}")
-    tiles = scratch.save(tiles, "tiles")
-    counts = tiles.groupBy("rep").agg(F.sum("links").alias("links"))
-    comps = components(scratch, tiles, "rep", "root").withColumnRenamed("id", "rep")
-    told = classes.join(counts, "rep", "left").join(comps, "rep", "left").where("copies > 1 OR links IS NOT NULL")
-    told = scratch.save(told.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("comp", "rep").alias("comp")), "told")
+        return pd.DataFrame({"name": ids, "links": links.astype(np.int64), "root": ids[root]})
+
+    whole = kept.join(classes.select("name", "copies", "v"), "name")
+    tiles = scratch.save(whole.groupBy(*tiled).applyInPandas(join, f"name {kinds['name']}, links long, root {kinds['name']}"), "tiles")
+    scratch.drop(kept), scratch.drop(cells), scratch.drop(axes)
+    counts = tiles.groupBy("name").agg(F.sum("links").alias("links"))
+    comps = components(scratch, tiles, "name", "root").withColumnRenamed("id", "name")
+    told = classes.join(counts, "name", "left").join(comps, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+    if repeated:
+        told = told.join(told.groupBy("comp").agg(F.min("rep").alias("least")), "comp").withColumn("comp", F.col("least"))
+    told = told.where("copies > 1 OR links IS NOT NULL OR comp <> rep")
+    told = scratch.save(told.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "comp"), "told")
+    scratch.keep(rows, told)
     out = rows.join(told, ["label", "v"], "left").select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))
 
