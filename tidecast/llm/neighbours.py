@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -245,53 +246,140 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, blocks: int = 8, key:
 # --- operator 8 ----------------------------------------------------------------------------------------------------
 
 
+def _distance(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - p) ** 2).sum(1))
+
+
+def _vantage(y: np.ndarray, rows: np.ndarray, rng: np.random.RandomState) -> int:
+    """Of a few rows the one from which the distances to a few others spread most."""
+    tries, seen = rng.choice(rows, min(5, len(rows)), False), rng.choice(rows, min(64, len(rows)), False)
+    return tries[np.argmax([_distance(y[seen], y[t]).std() for t in tries])]
+
+
+class Regions:
+    """The top of the tree, over a sample: `depth` levels of vantage points and median radii, whose leaves are the shards."""
+
+    def __init__(self, sample: np.ndarray, depth: int, seed: int = 31):
+        rng = np.random.RandomState(seed)
+        self.depth, self.points, self.radii = depth, np.zeros((1 << depth, sample.shape[1])), np.zeros(1 << depth)
+        parts = {1: np.arange(len(sample))}  # node n has children 2n (near) and 2n + 1 (far)
+        for node in range(1, 1 << depth):
+            rows = parts.pop(node)
+            if len(rows):
+                self.points[node] = sample[_vantage(sample, rows, rng)]
+                d = _distance(sample[rows], self.points[node])
+                self.radii[node] = np.median(d)
+                rows = rows[d <= self.radii[node]], rows[d > self.radii[node]]
+            parts[2 * node], parts[2 * node + 1] = rows if isinstance(rows, tuple) else (rows, rows)
+
+    def of(self, y: np.ndarray) -> np.ndarray:
+        """The shard of each row."""
+        node = np.ones(len(y), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (np.sqrt(((y - self.points[node]) ** 2).sum(1)) > self.radii[node])
+        return node - (1 << self.depth)
+
+    def near(self, y: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard) of every shard that the triangle inequality can't put beyond the row's reach."""
+        row, node = np.arange(len(y)), np.ones(len(y), np.int64)
+        for _ in range(self.depth):
+            gap = np.sqrt(((y[row] - self.points[node]) ** 2).sum(1)) - self.radii[node]
+            left, right = gap <= reach[row], -gap <= reach[row]
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+        return row, node - (1 << self.depth)
+
+
 class Tree:
-    """A vantage-point tree over the rows of y: inner nodes (vantage point, median radius, near side, far side), leaves of rows."""
-
-    def __init__(self, y: np.ndarray, leaf: int, seed: int = 23):
-        self.y, self.leaf, self.rng = y, leaf, np.random.RandomState(seed)
-        self.root = self._build(np.arange(len(y)))
-
-    def _build(self, rows: np.ndarray):
-        if len(rows) <= self.leaf:
-            return rows
-        # the vantage point of widest spread among a few, seen from a few
-        tries, sample = self.rng.choice(rows, min(5, len(rows)), False), self.rng.choice(rows, min(64, len(rows)), False)
-        vp = tries[np.argmax([np.sqrt(((self.y[sample] - self.y[t]) ** 2).sum(1)).std() for t in tries])]
-        d = np.sqrt(np.maximum(((self.y[rows] - self.y[vp]) ** 2).sum(1), 0))
-        order = np.argsort(d, kind="stable")
-        half = len(rows) // 2
-        near, far = rows[order[:half]], rows[order[half:]]
-        ds = d[order]
-        return vp, (ds[0], ds[half - 1]), (ds[half], ds[-1]), self._build(near), self._build(far)
-
-    def search(self, queries: np.ndarray, visit, radius: np.ndarray, factor: float) -> None:
-        """Calls visit(query rows, rows of a leaf) for leaves that may hold nearer points; visit lowers radius in place.
-
-        A side is skipped when the triangle inequality puts it beyond factor times the query's current radius: one is
-        exact, less skips more.
-        """
-        stack = [(self.root, np.arange(len(queries)), np.zeros(len(queries)))]
+    """A vantage-point tree over a shard. Rows are kept leaf by leaf; a node has a vantage point and, of either side, the least and
+    largest distance from it and the largest norm. Sides are nodes, or leaves as (first, end) of their rows."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int, seed: int = 23):
+        rng, order = np.random.RandomState(seed), []
+        norms, at = np.sqrt((x * x).sum(1)), 0
+        self.points, self.spans, self.sides = [], [], []
+        todo = [(np.arange(len(x)), None)]
+        while todo:
+            rows, place = todo.pop()
+            if len(rows) <= leaf:
+                own = (-at - 1, at + len(rows))
+                order.append(rows)
+                at += len(rows)
+            else:
+                vp = _vantage(x, rows, rng)
+                d = _distance(x[rows], x[vp])
+                by = np.argsort(d, kind="stable")
+                sides = by[: len(rows) // 2], by[len(rows) // 2 :]
+                own = (len(self.points), 0)
+                self.points.append(x[vp])
+                self.spans.append([(d[i[0]], d[i[-1]], norms[rows[i]].max()) for i in sides])
+                self.sides.append([None, None])
+                todo += [(rows[sides[k]], (own[0], k)) for k in (1, 0)]
+            if place is None:
+                self.root = own
+            else:
+                self.sides[place[0]][place[1]] = own
+        order = np.concatenate(order)
+        self.ids, self.x = ids[order], x[order]
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, x=self.x, points=np.array(self.points), spans=np.array(self.spans), sides=np.array(self.sides, np.int64), root=np.array(self.root))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Tree:
+        tree, held = cls.__new__(cls), np.load(io.BytesIO(data))
+        for name in held.files:
+            setattr(tree, name, held[name])
+        return tree
+
+    def search(self, qids: np.ndarray, qx: np.ndarray, floor: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query id, id, score) of at most k best rows of each query by inner product, its own row excepted, and how many pairs were
+        scored. floor: a score that k rows elsewhere reach, or -inf. A side is skipped when the triangle inequality puts it beyond factor
+        times what reach() allows for the k-th best score so far: one is exact, less skips more."""
+        q2, least, scored = (qx * qx).sum(1), floor.copy(), 0
+        best_score, best_id = np.full((len(qx), k), -np.inf), np.full((len(qx), k), np.iinfo(np.int64).max)
+        stack = [(tuple(self.root), np.arange(len(qx)), np.zeros(len(qx)), np.inf)]
         while stack:
-            node, q, bound = stack.pop()
-            live = bound <= factor * radius[q] + 1e-9
-            q = q[live]
+            (node, end), q, bound, norm = stack.pop()
+            live = bound <= factor * reach(q2[q], norm, least[q]) + 1e-9
+            q, bound = q[live], bound[live]
             if not len(q):
                 continue
-            if isinstance(node, np.ndarray):
-                visit(q, node)
+            if node >= 0:
+                d = _distance(qx[q], self.points[node])
+                bounds = [np.maximum(bound, np.maximum(lo - d, d - hi)) for lo, hi, _ in self.spans[node]]
+                first = bounds[0] <= bounds[1]  # each query looks into its nearer side first
+                for side, mask in ((1, first), (0, ~first), (0, first), (1, ~first)):
+                    if mask.any():
+                        stack.append((tuple(self.sides[node][side]), q[mask], bounds[side][mask], self.spans[node][side][2]))
+                continue
+            rows = slice(-node - 1, end)
+            scored += len(q) * (end + node + 1)
+            approx = qx[q] @ self.x[rows].T
+            edge = np.where(np.isfinite(least[q]), least[q] - 1e-9 * (1 + np.abs(least[q])), -np.inf)  # the product's rounding is finer
+            a, b = np.nonzero((approx >= edge[:, None]) & (qids[q][:, None] != self.ids[rows][None, :]))
+            if not len(a):
                 continue
-            vp, *sides = node
-            d = np.sqrt(np.maximum(((queries[q] - self.y[vp]) ** 2).sum(1), 0))
-            bounds = [np.maximum(0, np.maximum(lo - d, d - hi)) for lo, hi in sides[:2]]
-            bounds = [np.maximum(b, bound[live]) for b in bounds]
-            first = bounds[0] <= bounds[1]  # each query looks into its nearer side first
-            for side, mask in ((1, first), (0, ~first)):
-                if mask.any():
-                    stack.append((sides[2 + side], q[mask], bounds[side][mask]))
-            for side, mask in ((0, first), (1, ~first)):
-                if mask.any():
-                    stack.append((sides[2 + side], q[mask], bounds[side][mask]))
+            touched, group = np.unique(a, return_inverse=True)
+            own, at = q[touched], b + rows.start
+            s = np.concatenate([best_score[own].ravel(), exact_scores(qx[q[a]], self.x[at])])
+            i = np.concatenate([best_id[own].ravel(), self.ids[at]])
+            g = np.concatenate([np.repeat(np.arange(len(own)), k), group])
+            order = np.lexsort((i, -s, g))
+            g = g[order]
+            rank = np.arange(len(g)) - np.searchsorted(g, g)
+            top = rank < k
+            best_score[own[g[top]], rank[top]] = s[order][top]
+            best_id[own[g[top]], rank[top]] = i[order][top]
+            least[own] = np.maximum(least[own], best_score[own, -1])
+        r, c = np.nonzero(np.isfinite(best_score))
+        return qids[r], best_id[r, c], best_score[r, c], scored
+
+
+def reach(q2: np.ndarray, norm: float, least: np.ndarray) -> np.ndarray:
+    """How far from a query a row of at most this norm can be if their inner product is to be `least`: 2 q.x = |q|^2 + |x|^2 - |q - x|^2."""
+    return np.where(np.isfinite(least), np.sqrt(np.maximum((q2 + norm * norm) * (1 + 1e-12) - 2 * np.where(np.isfinite(least), least, 0), 0)), np.inf)
 
 
 def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -302,78 +390,80 @@ def exact_scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, factor: float, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the shard's k best rows for each query by inner product, its own row excepted.
-
-    One more coordinate turns the largest inner product into the nearest point: rows get sqrt(M^2 - |x|^2) with M the
-    shard's largest norm, queries 0, and |q' - x'|^2 = |q|^2 + M^2 - 2 q.x.
-    """
-    norms = np.sqrt((x * x).sum(1))
-    m = norms.max()
-    y = np.concatenate([x, np.sqrt(np.maximum(m * m - norms * norms, 0))[:, None]], 1)
-    q2 = (qx * qx).sum(1)
-    queries = np.concatenate([qx, np.zeros((len(qx), 1))], 1)
-    radius = np.full(len(qx), np.inf)
-    best_score, best_id = np.full((len(qx), k), -np.inf), np.full((len(qx), k), np.iinfo(np.int64).max)
-
-    def visit(q: np.ndarray, rows: np.ndarray) -> None:
-        approx = qx[q] @ x[rows].T
-        floor = best_score[q, -1]
-        least = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), -np.inf)  # the product's rounding is finer
-        a, b = np.nonzero((approx >= least[:, None]) & (qids[q][:, None] != ids[rows][None, :]))
-        if not len(a):
-            return
-        touched, group = np.unique(a, return_inverse=True)
-        score = exact_scores(qx[q[a]], x[rows[b]])
-        own = q[touched]
-        s = np.concatenate([best_score[own].ravel(), score])
-        i = np.concatenate([best_id[own].ravel(), ids[rows[b]]])
-        g = np.concatenate([np.repeat(np.arange(len(own)), k), group])
-        order = np.lexsort((i, -s, g))
-        g = g[order]
-        rank = np.arange(len(g)) - np.searchsorted(g, g)
-        top = rank < k
-        best_score[own[g[top]], rank[top]] = s[order][top]
-        best_id[own[g[top]], rank[top]] = i[order][top]
-        full = np.isfinite(best_score[own, -1])
-        radius[own] = np.where(full, np.sqrt(np.maximum(q2[own] + m * m - 2 * np.where(full, best_score[own, -1], 0), 0)), np.inf)
-
-    Tree(y, leaf).search(queries, visit, radius, factor)
-    r, c = np.nonzero(np.isfinite(best_score))
-    return qids[r], best_id[r, c], best_score[r, c]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.9, shard_rows: int = 8192, query_rows: int = 1024, leaf: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.18, shard_rows: int = 8192, query_rows: int = 16384, leaf: int = 64, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, key, score: each query's k nearest rows of vectors by inner product, nearest first, ties to the smaller key.
 
-    Rows are dealt by hash over shards of about shard_rows, queries over blocks of about query_rows; a shard and a block
-    meet in a task, where a vantage-point tree over the shard prunes by the triangle inequality, relaxed by `factor`
-    (one: exact). Only k rows a query and shard leave the task. Every row is indexed; a query's own key is no candidate;
-    vectors that are null, zero, or hold null or non-finite components (or another length than most) take no part.
-    Fewer candidates than k: all of them. Rows that repeat a key are separate candidates of the same key. Empty tables
-    give an empty result.
+    The top levels of a vantage-point tree, fitted on about `sample` rows, deal every row to a shard; a shard of over
+    `shard_rows` rows is cut by hash. Each part's tree is built once and saved. A query searches its own shard first,
+    which gives its radius (see reach); then the other shards that the triangle inequality doesn't put beyond factor times
+    that radius (one: exact), in blocks of about `query_rows` queries. Only k rows a query and part leave a task. Every row is indexed;
+    a query's own key is no candidate; vectors that are null, zero, or hold null or non-finite components (or another
+    length than most) take no part. Fewer candidates than k: all of them. Rows that repeat a key are separate candidates
+    of the same key; as queries they are one, of the smallest vector. Empty tables give an empty result. Integer keys.
     """
     scratch = Scratch(vectors.sparkSession, "nearest")
-    rows = usable(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), "v").where("id IS NOT NULL")
-    rows = scratch.save(rows, "rows")
-    asked = scratch.save(usable(queries.select(F.col(key).alias("id"), F.col(vector).alias("v")), "v").where("id IS NOT NULL"), "queries")
+    pick = lambda df: usable(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")), "v").where("id IS NOT NULL")
+    rows = pick(vectors)
     dim = _dim(rows, "v")
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    shards, blocks = max(1, math.ceil(rows.count() / shard_rows)), max(1, math.ceil(asked.count() / query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit("deal")), F.lit(n)).cast("int")
-    left = rows.select(deal(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal(blocks).alias("block"), F.lit(True).alias("asks"), "id", "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf.asks.to_numpy()
-        if asks.all() or not asks.any():
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        x = np.stack([np.asarray(v, np.float64) for v in pdf.v])
-        ids = pdf.id.to_numpy()
-        q, i, s = search_shard(ids[~asks], x[~asks], ids[asks], x[asks], k, factor, leaf)
-        return pd.DataFrame({"query_id": q, "id": i, "score": s})
-
-    found = left.union(right).groupBy("shard", "block").applyInPandas(run, "query_id long, id long, score double")
+    rows, asked = rows.where(F.size("v") == dim), pick(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    n, norm = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    norm, depth = (norm or 1.0) * (1 + 1e-12), max(0, math.ceil(math.log2(max(1, n / shard_rows))))
+    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1_000_000 * sample / max(1, n))).limit(2 * sample)
+    drawn = np.array([r.v for r in drawn.select("v").collect()]).reshape(-1, dim) if depth else np.zeros((0, dim))
+    regions = Regions(drawn, depth)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(regions.of(x))], names=["id", "v", "shard"])
+
+    dealt = scratch.save(rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(deal, "id long, v array<double>, shard long"), "dealt")
+    asked = scratch.save(asked.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(deal, "id long, v array<double>, shard long"), "asked")
+    parts = scratch.save(dealt.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts")), "parts")
+
+    def build(table: pa.Table) -> pa.Table:
+        x = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        return pa.table({"shard": table["shard"][:1], "part": table["part"][:1], "tree": [Tree(table["id"].to_numpy(), x, leaf).dump()]})
+
+    parted = with_ids(dealt, parts, "shard", "inner").select("shard", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("part"), "id", "v")
+    trees = scratch.save(parted.groupBy("shard", "part").applyInArrow(build, "shard long, part int, tree binary"), "trees")
+    scratch.drop(dealt)
+    blocks = max(1, math.ceil(asked.count() / query_rows))
+
+    def run(asks: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asks) or not len(held):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x = asks["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        q, i, s, _ = Tree.load(held["tree"][0].as_py()).search(asks["id"].to_numpy(), x, asks["floor"].to_numpy(), k, factor)
+        return pa.table({"query_id": q, "id": i, "score": s})
+
+    def visit(visits: DataFrame, name: str) -> DataFrame:
+        """The best k of each visit (id, v, floor, shard), saved."""
+        at = with_ids(visits, parts, "shard", "inner").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        at = at.select("shard", "part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v", "floor")
+        held = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        where = ["shard", "part", "block"]
+        return scratch.save(at.groupBy(*where).cogroup(held.groupBy(*where)).applyInArrow(run, "query_id long, id long, score double"), name)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", F.col("id").alias(key), "score")
+    best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    home = visit(asked.withColumn("floor", F.lit(float("-inf"))), "home")
+    if not depth:
+        scratch.keep(home)
+        return best(home).select("query_id", "rank", F.col("id").alias(key), "score")
+    floor = best(home).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    known = asked.join(floor, "id", "left").select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "shard")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
+                x, floor, own = part.column(1).flatten().to_numpy().reshape(-1, dim), part.column(2).to_numpy(), part.column(3).to_numpy()
+                row, shard = regions.near(x, factor * reach((x * x).sum(1), norm, floor) + 1e-9)
+                row, shard = row[shard != own[row]], shard[shard != own[row]]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns[:3]), pa.array(shard)], names=["id", "v", "floor", "shard"])
+
+    rest = visit(known.mapInArrow(others, "id long, v array<double>, floor double, shard long"), "rest")
+    scratch.keep(home, rest)
+    return best(home.union(rest)).select("query_id", "rank", F.col("id").alias(key), "score")
