@@ -73,6 +73,53 @@ def test_field_finds_unseen_examples():
     assert hit >= 0.9 * want and extra <= 0.12 * want
 
 
+def test_field_finds_forms_outside_its_made_up_lines():
+    weights = pii.train()
+    added = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, weights)[1]]
+    assert added("call 555 123 4567 now") == [("phone", "555 123 4567")]
+    assert added("ring 0033 1 23 45 67 89 or") == [("phone", "0033 1 23 45 67 89")]
+    assert added("tel 01 23 45 67 89 soon") == [("phone", "01 23 45 67 89")]
+
+
+def best_segmentation(tokens, lo, hi, weights, margin):
+    """The best total over all sets of candidates that don't share a token, by trying each."""
+    by_start = {}
+    for i, j, _, _, f in tokens.candidates(lo, hi):
+        by_start.setdefault(i, []).append((j, float((weights[:, f].sum(1) - margin).max())))
+
+    def best(i):
+        if i >= hi - lo:
+            return 0.0
+        return max([best(i + 1)] + [v + best(j) for j, v in by_start.get(i, ())])
+
+    return best(0)
+
+
+def test_dynamic_program_equals_every_segmentation_tried():
+    rng, tried = random.Random(8), 0
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("12(.@-a") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))
+        weights = np.array([[rng.gauss(0, 1) for _ in range(pii.BUCKETS)] for _ in pii.KINDS]) if tried % 50 == 0 else weights
+        tokens = pii.Tokens(text, [])
+        for lo, hi in tokens.windows():
+            spans, tried = pii.decode(tokens, lo, hi, weights, 2.0), tried + 1
+            scores = {(a, b): float((weights[:, f].sum(1) - 2.0).max()) for _, _, a, b, f in tokens.candidates(lo, hi)}
+            assert sum(scores[a, b] for _, a, b in spans) == pytest.approx(best_segmentation(tokens, lo, hi, weights, 2.0), abs=1e-6)
+            assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
+    assert tried > 150
+
+
+def test_field_needs_little_memory_for_a_long_run_of_numbers():
+    import tracemalloc
+
+    weights, rng = pii.train(), random.Random(6)
+    text = " ".join(str(rng.randint(0, 99999)) for _ in range(20_000))
+    tracemalloc.start()
+    pii.find(text, weights)
+    assert tracemalloc.get_traced_memory()[1] < 12e6
+    tracemalloc.stop()
+
+
 def test_personal_data_over_a_table(spark):
     got = {r.doc_id: r for r in pii.scan(docs_frame(spark, EDGE)).collect()}
     assert got[6].base == "email:5:13,phone:17:32" and got[1].spans == got[2].spans == got[5].spans == "" and got[6].n_phone == 1

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,11 @@ def base_spans(text: str) -> list[Span]:
 
 # --- the semi-Markov CRF -------------------------------------------------------------------------------------------
 
-#: Words that a span has at most, context tokens around a trigger, and buckets of hashed features per kind.
-MAX_WORDS, CONTEXT, BUCKETS = 5, 3, 1 << 12
+#: The bounds of an entity, which make the dynamic program linear: words, characters and digits that a candidate span has at
+#: most (a card has 19 digits, a phone number in pairs 8 words). CONTEXT: tokens around a trigger. BUCKETS: of hashed features a kind.
+MAX_WORDS, MAX_CHARS, MAX_DIGITS, CONTEXT, BUCKETS = 8, 120, 24, 3, 1 << 12
+#: Candidates whose features are held at a time.
+BATCH = 1024
 _TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
 _TOKEN = re.compile(r"\S+")
 _EDGE = "\"'.,;:!?"
@@ -80,94 +84,109 @@ def _features(span: str, words: int, before: str) -> list[int]:
     digits = "".join(c for c in span if "0" <= c <= "9")
     n = len(digits)
     shape = _shape(span)
-    named = [f"n{n}", f"w{words}", f"s{shape[:40]}", f"t{re.sub(r'[^(9a]', '', shape)[:12]}", f"cue{_CUES.get(before.lower().strip(':'), '-')}", f"at{span.count('@')}", f"obf{bool(re.search(r'[\[(](at|AT)[\])]', span))}.{bool(re.search(r'[\[(](dot|DOT)[\])]', span))}"]
+    named = [f"n{n}", f"w{words}", f"s{shape}", f"t{re.sub(r'[^(9a]', '', shape)}", f"cue{_CUES.get(before.lower().strip(':'), '-')}", f"at{span.count('@')}", f"obf{bool(re.search(r'[\[(](at|AT)[\])]', span))}.{bool(re.search(r'[\[(](dot|DOT)[\])]', span))}"]
     named += [f"luhn{13 <= n <= 19 and luhn(digits)}", f"letters{any(c.isalpha() for c in span)}.{n > 0}", f"first{span[0] if not span[0].isalnum() else 'x'}", f"last{span[-1] if not span[-1].isalnum() else 'x'}"]
     parts = span.split(".")
     named.append(f"quad{len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}")
-    named += [f"n{n}w{words}s{shape[:40]}"]
+    named += [f"n{n}w{words}s{shape}"]
     return [zlib.crc32(x.encode()) % BUCKETS for x in named]
 
 
-class Window:
-    """Tokens around triggers and their candidate segments: (first token, end token, start, end, features)."""
-
-    def __init__(self, text: str, tokens: list[tuple[int, int]]):
-        self.n, self.tokens = len(tokens), tokens
-        trig = [bool(_TRIGGER.search(text, a, b)) for a, b in tokens]
-        self.segments = []
-        for i in range(self.n):
-            any_trigger = False
-            for j in range(i, min(self.n, i + MAX_WORDS)):
-                any_trigger |= trig[j]
+class Tokens:
+    """Places of a text's words, 18 bytes each: start, end, whether a taken span covers them, and their digits if they hold a trigger."""
+
+    def __init__(self, text: str, taken: list[Span]):
+        self.text, self.start, self.end, self.free, self.digits = text, array("q"), array("q"), bytearray(), array("q")
+        covered, k = sorted((a, b) for _, a, b in taken), 0
+        for m in _TOKEN.finditer(text):
+            a, b = m.span()
+            while k < len(covered) and covered[k][1] <= a:
+                k += 1
+            self.start.append(a)
+            self.end.append(b)
+            self.free.append(not (k < len(covered) and covered[k][0] < b))
+            word = m[0]
+            self.digits.append(sum("0" <= c <= "9" for c in word) if _TRIGGER.search(word) else -1)
+
+    def windows(self) -> Iterator[tuple[int, int]]:
+        """(first, end) of the runs of free tokens around triggers; taken tokens end a run."""
+        lo = last = -1
+        for i in range(len(self.start)):
+            if not self.free[i]:
+                if lo >= 0:
+                    yield lo, min(i, last + 1 + CONTEXT)
+                lo = -1
+            elif self.digits[i] >= 0:
+                if lo >= 0 and i - last > 2 * CONTEXT:
+                    yield lo, last + 1 + CONTEXT
+                    lo = -1
+                if lo < 0:
+                    lo = i
+                    while lo > 0 and i - lo < CONTEXT and self.free[lo - 1]:
+                        lo -= 1
+                last = i
+        if lo >= 0:
+            yield lo, min(len(self.start), last + 1 + CONTEXT)
+
+    def candidates(self, lo: int, hi: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
+        """(first token, end token, start, end, features) of the spans inside the bounds that hold a trigger, by end token."""
+        text, start, end = self.text, self.start, self.end
+        for j in range(lo, hi):
+            digits, any_trigger = 0, False
+            for i in range(j, max(lo, j - MAX_WORDS + 1) - 1, -1):
+                a, b = start[i], end[j]
+                if self.digits[i] >= 0:
+                    any_trigger, digits = True, digits + self.digits[i]
+                if b - a > MAX_CHARS or digits > MAX_DIGITS:
+                    break
                 if not any_trigger:
                     continue
-                a, b = tokens[i][0], tokens[j][1]
-                if b - a > 120:
-                    break
                 while a < b and text[a] in _EDGE:
                     a += 1
                 while b > a and text[b - 1] in _EDGE:
                     b -= 1
                 if a < b:
-                    before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
-                    self.segments.append((i, j + 1, a, b, _features(text[a:b], j + 1 - i, before)))
+                    before = text[start[i - 1] : end[i - 1]] if i > lo else ""
+                    yield i - lo, j + 1 - lo, a, b, _features(text[a:b], j + 1 - i, before)
+
+
+class Window:
+    """The candidates of one run with their features, for training on short lines."""
+
+    def __init__(self, tokens: Tokens, lo: int, hi: int):
+        self.n, self.tokens = hi - lo, list(zip(tokens.start[lo:hi], tokens.end[lo:hi], strict=True))
+        self.segments = list(tokens.candidates(lo, hi))
         self.matrix = np.array([s[4] for s in self.segments], np.int64).reshape(len(self.segments), -1)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return weights[:, self.matrix].sum(2).T  # segments x kinds
 
 
-def windows(text: str, taken: list[Span]) -> Iterator[Window]:
-    """Windows over the triggers that no taken span covers; taken tokens end a window."""
-    covered = sorted((a, b) for _, a, b in taken)
-    tokens, free = [], []
-    k = 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while k < len(covered) and covered[k][1] <= a:
-            k += 1
-        tokens.append((a, b))
-        free.append(not (k < len(covered) and covered[k][0] < b))
-    marks = [i for i, (a, b) in enumerate(tokens) if free[i] and _TRIGGER.search(text, a, b)]
-    i = 0
-    while i < len(marks):
-        j = i
-        while j + 1 < len(marks) and marks[j + 1] - marks[j] <= 2 * CONTEXT and all(free[marks[j] : marks[j + 1]]):
-            j += 1
-        lo, hi = marks[i], marks[j] + 1
-        while lo > 0 and marks[i] - lo < CONTEXT and free[lo - 1]:
-            lo -= 1
-        while hi < len(tokens) and hi - marks[j] <= CONTEXT and free[hi]:
-            hi += 1
-        yield Window(text, tokens[lo:hi])
-        i = j + 1
-
-
-def decode(window: Window, weights: np.ndarray, margin: float) -> list[Span]:
-    """Best segmentation: a token outside scores 0, a span its kind's score less the margin; dynamic program over ends."""
-    if not window.segments:
-        return []
-    s = window.scores(weights) - margin
-    kind, top = s.argmax(1), s.max(1)
-    ending: dict[int, list[int]] = {}
-    for k, seg in enumerate(window.segments):
-        if top[k] > 0:
-            ending.setdefault(seg[1], []).append(k)
-    best, back = [0.0] * (window.n + 1), [-1] * (window.n + 1)
-    for j in range(1, window.n + 1):
-        best[j] = best[j - 1]
-        for k in ending.get(j, ()):
-            v = best[window.segments[k][0]] + top[k]
-            if v > best[j]:
-                best[j], back[j] = v, k
-    out, j = [], window.n
+def decode(tokens: Tokens, lo: int, hi: int, weights: np.ndarray, margin: float) -> list[Span]:
+    """Best segmentation of a run: a token outside scores 0, a span its kind's score less the margin; dynamic program over ends.
+
+    Candidates come by their end, so a state is final when the next end is reached, and features of BATCH candidates are
+    held at a time, however long the run is.
+    """
+    best, back = array("d", [0.0]), {}
+    source = tokens.candidates(lo, hi)
+    while batch := list(islice(source, BATCH)):
+        s = weights[:, np.array([c[4] for c in batch], np.int64)].sum(2).T - margin
+        kind, top = s.argmax(1), s.max(1)
+        for k in np.flatnonzero(top > 0):
+            i, j, a, b, _ = batch[k]
+            while len(best) <= j:
+                best.append(best[-1])
+            if (v := best[i] + float(top[k])) > best[j]:
+                best[j], back[j] = v, (i, KINDS[kind[k]], a, b)
+    out, j = [], len(best) - 1
     while j > 0:
-        k = back[j]
-        if k < 0:
-            j -= 1
+        if j in back:
+            i, name, a, b = back[j]
+            out.append((name, a, b))
+            j = i
         else:
-            out.append((KINDS[kind[k]], window.segments[k][2], window.segments[k][3]))
-            j = window.segments[k][0]
+            j -= 1
     return out[::-1]
 
 
@@ -230,13 +249,14 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[str, str]]]:
         if k == 5:
             return f"+{rng.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", "phone"
         if k == 6:
-            return rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]), "phone"
+            return rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)} {num(3)} {num(4)}"]), "phone"
         if k == 7:
             return f"+{num(rng.randint(10, 12))}", "phone"
-        return f"00{rng.randint(30, 49)} {num(3)} {num(4)} {num(3)}", "phone"
+        pairs = " ".join(num(2) for _ in range(4))
+        return rng.choice([f"00{rng.randint(30, 49)} {num(3)} {num(4)} {num(3)}", f"00{rng.randint(30, 49)} {num(1)} {pairs}", f"0{num(1)} {pairs}"]), "phone"
 
     def decoy() -> str:
-        return rng.choice([num(rng.randint(1, 8)), num(16), f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), f"{word()}{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"@{word()}", f"#{num(4)}", f"{num(1)},{num(3)}", f"{num(2)}%", f"${num(3)}.{num(2)}", num(24), f"{num(1)} {num(1)} {num(1)} {num(1)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(5)} {num(5)} {num(5)}"])
+        return rng.choice([num(rng.randint(1, 8)), num(16), f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}", f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), f"{word()}{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"@{word()}", f"#{num(4)}", f"{num(1)},{num(3)}", f"{num(2)}%", f"${num(3)}.{num(2)}", num(24), f"{num(1)} {num(1)} {num(1)} {num(1)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(5)} {num(5)} {num(5)}", f"{num(2)} {num(2)}", f"{num(3)} {num(3)}"])
 
     parts, gold = [], []
     for _ in range(rng.randint(1, 2)):
@@ -253,7 +273,7 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[str, str]]]:
 
 
 @lru_cache(maxsize=2)
-def train(examples: int = 900, epochs: int = 8, seed: int = 11, rate: float = 0.3) -> np.ndarray:
+def train(examples: int = 1500, epochs: int = 8, seed: int = 11, rate: float = 0.3) -> np.ndarray:
     """Weights (kinds x buckets) fitted on made-up labelled lines; bounded by `examples`, the same in every process."""
     rng = random.Random(seed)
     data = []
@@ -264,7 +284,8 @@ def train(examples: int = 900, epochs: int = 8, seed: int = 11, rate: float = 0.
             a = text.index(entity, at)
             at = a + len(entity)
             spans.append((a, at, KINDS.index(kind)))
-        for w in windows(text, []):
+        tokens = Tokens(text, [])
+        for w in (Window(tokens, lo, hi) for lo, hi in tokens.windows()):
             starts, ends = {a: i for i, (a, _) in enumerate(w.tokens)}, {}
             for j, (a, b) in enumerate(w.tokens):
                 ends.update({e: j + 1 for e in range(a + 1, b + 1)})
@@ -282,7 +303,8 @@ def train(examples: int = 900, epochs: int = 8, seed: int = 11, rate: float = 0.
 def find(text: str, weights: np.ndarray, margin: float = 2.0) -> tuple[list[Span], list[Span]]:
     """(base spans, spans that the field adds clear of them), each by kind, then start."""
     base = base_spans(text)
-    added = [s for w in windows(text, base) for s in decode(w, weights, margin)]
+    tokens = Tokens(text, base)
+    added = [s for lo, hi in tokens.windows() for s in decode(tokens, lo, hi, weights, margin)]
     return base, sorted(added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -315,7 +337,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float
 
     Null and empty texts have none. Texts are searched whole; offsets are code points. Repeated rows count each; an empty
     table gives an empty result; other columns are ignored. Only the key and the text reach Python, and only texts that
-    hold a digit, an @ or a written "(at)" are looked at there one by one.
+    hold a digit, an @ or a written "(at)" are looked at there one by one. Spans of the field are bounded (MAX_WORDS,
+    MAX_CHARS, MAX_DIGITS), texts are not: memory is some 50 bytes a word of the longest text.
     """
     weights = train()
 
@@ -353,7 +376,3 @@ def redact(docs: DataFrame, text: str = "text", margin: float = 2.0) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def digest(written: str) -> str:
-    return hashlib.sha256(written.encode()).hexdigest()
