@@ -56,6 +56,31 @@ def test_query_without_sql_gives_rows(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
+def test_pruned_units_vif_and_components_equal_numpy(spark, data):
+    """The three queries that SQL can't say, against NumPy over the whole tables."""
+    li = pd.read_parquet(f"{data}/lineitem.parquet", columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).astype(float)
+    r = np.corrcoef(li.to_numpy().T)
+    got = {x["column"]: x.vif for x in catalogue.queries()["vif"](spark, data).collect()}
+    assert [got[c] for c in li.columns] == pytest.approx(np.diag(np.linalg.inv(r)), abs=1e-6)
+    theta = 2 * np.pi * li.l_quantity / 50
+    units = {"l_quantity": [li.l_quantity], "twice": [2 * li.l_quantity + 1e-3 * li.l_tax], "cycle": [np.sin(theta), np.cos(theta)], "l_discount": [li.l_discount], "l_tax": [li.l_tax]}
+    var, gone, names = {u: max(np.var(c, ddof=1) for c in cs) for u, cs in units.items()}, set(), list(units)
+    for i, u in enumerate(names):
+        for v in names[:i]:
+            if not {u, v} & gone and max(abs(np.corrcoef(a, b)[0, 1]) for a in units[u] for b in units[v]) >= 0.95:
+                gone.add(u if var[u] < var[v] else v)
+    assert [x.unit for x in catalogue.queries()["corr_pruned"](spark, data).collect()] == [u for u in names if u not in gone]
+    x = np.stack(pd.read_parquet(f"{data}/embeddings.parquet", columns=["embedding"]).embedding.to_numpy()).astype(float)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    shares = np.cumsum(values[::-1]) / values.sum()
+    mine = np.array([p.pc for p in catalogue.queries()["pca_k"](spark, data).collect()])
+    assert mine.shape == (len(x), int((shares <= 0.95).sum()) + 1)
+    k = mine.shape[1]
+    assert np.sort(mine.var(0, ddof=1))[::-1] == pytest.approx(values[::-1][:k], rel=1e-6)
+    want = (x - x.mean(0)) @ axes[:, ::-1][:, :k]
+    assert np.sort((mine**2).sum(1)) == pytest.approx(np.sort((want**2).sum(1)), rel=1e-6)
+
+
 def test_components_of_whole_vectors_and_of_every_row(spark, data, tmp_path):
     vectors = spark.read.parquet(f"{data}/embeddings.parquet").select("embedding")
     x = np.array([r.embedding for r in vectors.collect()])

@@ -301,3 +301,73 @@ def test_stream_equals_batch(spark, tmp_path, data):
     want = events.windowed_counts(batch).select("start", "event_type", "n")
     got = spark.read.parquet(f"{tmp_path}/out").where("event_type <> 'end'").select("start", "event_type", "n")
     assert want.exceptAll(got).count() == 0 == got.exceptAll(want).count()
+
+
+def test_head_tail_complete_rows_and_sorted_sets(spark):
+    rows = spark.createDataFrame([(k, (k * 7) % 5, None if k == 3 else float("nan") if k == 4 else 1.0) for k in range(9)], "k long, g long, v double")
+    assert [r.k for r in schema.head(rows, ["g", "k"], 3).collect()] == [0, 5, 3] and [r.k for r in schema.tail(rows, ["k"], 2).collect()] == [8, 7]
+    assert {r.k for r in schema.complete_rows(rows, ["v"]).collect()} == {0, 1, 2, 5, 6, 7, 8} and schema.complete_rows(rows, ["k"]).count() == 9
+    assert {r.g: r["values"] for r in schema.sorted_sets(rows, ["g"], "k").collect()}[0] == [0, 5]
+
+
+def test_apply_raises_for_consumed_columns_that_are_missing(spark):
+    rows = spark.range(2).withColumn("a", F.lit(1.0))
+    assert schema.apply(rows, {"b": F.col("a") + 1}, drop=["a"]).columns == ["id", "b"]
+    with pytest.raises(ValueError, match="no such source columns: x"):
+        schema.apply(rows, {"b": F.col("a")}, drop=["a", "x"])
+
+
+def test_quantiles_and_medians_are_exact(spark):
+    rng = np.random.RandomState(3)
+    x = np.round(rng.randn(997) * 5, 1)
+    frame = spark.createDataFrame([(float(v), None) for v in x] + [(None, None)] * 5, "x double, empty double")
+    steps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert selection.quantiles(frame, "x", steps) == pytest.approx(np.quantile(x, steps))
+    assert selection.quantiles(frame, "empty", [0.5]) == [None]
+    filled = encoding.impute_median(frame, ["x", "empty"])
+    assert filled.where("x IS NULL").count() == 0 and filled.where("empty IS NULL").count() == 1002
+    assert filled.agg(F.sum("x")).first()[0] == pytest.approx(x.sum() + 5 * np.median(x))
+
+
+def test_transitions_over_ranges_equal_a_plain_walk(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, float(rng.randint(0, 300))]), k, rng.randint(1, 3)) for k in range(2000) for g in "ab"]
+    frame = spark.createDataFrame(rows, "g string, at double, k long, v long").repartition(5)
+    got = {r.g: r.transitions for r in windows.transitions(frame, "v", ["at", "k"], 3, 1, ["g"]).collect()}
+    for g in "ab":
+        path = [v for *_, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+        assert got[g] == sum(a == 3 and b == 1 for a, b in zip(path, path[1:]))
+
+
+def test_rates_survival_duplicates_and_spread(spark):
+    n = 400
+    turn = [k * 41 + 15 * math.sin(k / 11) for k in range(n)]
+    rows = spark.createDataFrame([(k, t % 360, 41 + 15 / 11 * math.cos(k / 11), float(k % 7)) for k, t in enumerate(turn)], "pos long, angle double, good double, bad double")
+    good, bad = (audit.rate_consistency(rows, "angle", c, "pos").first() for c in ("good", "bad"))
+    assert good.consistent and good.slope == pytest.approx(1, abs=0.01) and good.n == n - 2 and not bad.consistent
+    waves = rows.select("*", F.sin("pos").alias("s"), F.cos("pos").alias("c"), (F.sin("pos") * 3).alias("copy"), (F.sin("pos") + 1e-9).alias("near"))
+    alive = {r.body: r.survives for r in audit.prune_survival(waves, "copy", {"wave": ("s", "c"), "other": ("bad", "good")}).collect()}
+    assert alive == {"wave": False, "other": True}
+    assert [r.duplicate for r in audit.duplicates(waves, [("s", "near"), ("s", "c")]).collect()] == [True, False]
+    spread = {r.fold: (r.mean, r.std, r.n) for r in score.per_fold(spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0)], "fold int, r double"), "r").collect()}
+    assert spread[1] == (2.0, pytest.approx(2**0.5), 2) and spread[2][1] is None
+
+
+def test_ranking_units_and_builders(spark):
+    ranking = spark.createDataFrame([("a", 0.1), ("b", -0.9), ("c", 0.5), ("d", None)], "column string, rho double")
+    assert [(r.column, r.place) for r in selection.top(ranking, "rho", 2).collect()] == [("b", 1), ("c", 2)]
+    assert selection.pair_units(["x", "m_sin", "m_cos", "y_sin"]) == {"x": ["x"], "m": ["m_sin", "m_cos"], "y_sin": ["y_sin"]}
+    assert encoding.takes_no_data(lambda: {}) and not encoding.takes_no_data(lambda df: {})
+
+
+def test_folds_of_a_short_history_raise(spark):
+    from tidecast.plans import catalogue
+
+    short = spark.range(3).select(F.col("id").alias("pos"), F.current_date().alias("d"))
+    saved = catalogue._origins, catalogue.D.history
+    catalogue._origins, catalogue.D.history = (lambda *a: short), (lambda *a: spark.createDataFrame([(dt.date(1990 + y, 1, 1 + k), 1.0) for y in range(4) for k in range(20)], "d date, c double"))
+    try:
+        with pytest.raises(ValueError, match="too few"):
+            catalogue._folds(spark, "")
+    finally:
+        catalogue._origins, catalogue.D.history = saved

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.circular import close
+from .windows import central_difference, unwrap
+
 
 def dependency_violations(df: DataFrame, by: Sequence[str], target: str) -> DataFrame:
     """Groups of `by` that take more than one target value: empty if the target depends on them."""
@@ -67,6 +70,28 @@ def tail_share(df: DataFrame, columns: Sequence[str], threshold: float) -> DataF
     return df.agg((F.sum(total) / (F.count("*") * len(columns))).alias("cell_share"), F.avg(any_).alias("row_share"), F.count("*").alias("n"))
 
 
+def rate_consistency(df: DataFrame, angle: str, reported: str, order: str, least: float = 0.999, period: float = 360.0, partition_by: Sequence[str] = ()) -> DataFrame:
+    """(n, r, slope, consistent): the reported rate against the central difference of the unwrapped angle."""
+    path = unwrap(df, angle, order, period, partition_by)
+    rates = central_difference(path, f"{angle}_unwrapped", order, partition_by)
+    out = rates.groupBy(*partition_by).agg(F.count("*").alias("n"), F.corr("rate", reported).alias("r"), F.regr_slope("rate", reported).alias("slope"))
+    return out.withColumn("consistent", F.coalesce(F.col("r") >= least, F.lit(False)))
+
+
+def prune_survival(df: DataFrame, column: str, bodies: Mapping[str, tuple[str, str]], threshold: float = 0.95) -> DataFrame:
+    """(body, strength, survives): whether a column stays beside each body's sine and cosine, in one aggregation."""
+    row = df.agg(*[F.greatest(F.abs(F.corr(column, s)), F.abs(F.corr(column, c))).alias(b) for b, (s, c) in bodies.items()])
+    cells = F.array(*[F.struct(F.lit(b).alias("body"), F.col(b).alias("strength")) for b in bodies])
+    return row.select(F.explode(cells).alias("c")).select("c.*").withColumn("survives", F.coalesce(F.col("strength") < threshold, F.lit(True)))
+
+
+def duplicates(df: DataFrame, pairs: Sequence[tuple[str, str]], rtol: float = 0.0, atol: float = 1e-6) -> DataFrame:
+    """(a, b, max_difference, duplicate) of column pairs: duplicates agree within the tolerance in every row."""
+    row = df.agg(*[e for k, (a, b) in enumerate(pairs) for e in (F.max(F.abs(F.col(a) - F.col(b))).alias(f"m{k}"), F.every(close(F.col(a), F.col(b), rtol, atol)).alias(f"d{k}"))])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"m{k}").alias("max_difference"), F.col(f"d{k}").alias("duplicate")) for k, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def verdicts(df: DataFrame) -> DataFrame:
     """(verdict, n) of a long (family, item, verdict) table, with the total under verdict null."""
     return df.rollup("verdict").agg(F.count("*").alias("n"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import quantiles
+
 VIEWS = ("tree", "network")
 
 
@@ -89,10 +92,15 @@ def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
     return Scaler({c: (row[f"m{k}"], row[f"s{k}"]) for k, c in enumerate(columns)})
 
 
+def takes_no_data(builder: Callable) -> bool:
+    """Whether a global builder has no parameter that could hand it data: its encoding is then the same on every split."""
+    return not inspect.signature(builder).parameters
+
+
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls become the exact median of the column."""
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return df.fillna({c: row[c] for c in columns if row[c] is not None})
+    """Nulls become the exact median of the column; a column without values keeps its nulls."""
+    median = {c: quantiles(df, c, [0.5])[0] for c in columns}
+    return df.fillna({c: m for c, m in median.items() if m is not None})
 
 
 def log_scaled(x: Column) -> Column:

@@ -72,8 +72,9 @@ def bounds_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
 
 
 def membership(origins: DataFrame, bounds: DataFrame, index: str = "i") -> DataFrame:
-    """(fold, role, origin columns): origins within the inclusive bounds; the bounds are a few rows a fold, so broadcast."""
-    return origins.join(F.broadcast(bounds), (F.col(index) >= F.col("lo")) & (F.col(index) <= F.col("hi"))).drop("lo", "hi")
+    """(fold, role, origin columns): origins within the inclusive bounds; a range join whose bounds, as bounds_table makes them, are four
+    rows a fold; Spark broadcasts them by their size."""
+    return origins.join(bounds, (F.col(index) >= F.col("lo")) & (F.col(index) <= F.col("hi"))).drop("lo", "hi")
 
 
 def oos(members: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def effective_size(n: int, horizon: int) -> int:
 def gap_audit(bounds: DataFrame, breaks: DataFrame, reach: int) -> DataFrame:
     """(fold, role, edge, boundary, break_pos, distance): discontinuities near a block's ends; bounds in positions."""
     edges = bounds.select("fold", "role", F.explode(F.array(F.struct(F.lit("start").alias("edge"), F.col("lo").alias("at")), F.struct(F.lit("end").alias("edge"), F.col("hi").alias("at")))).alias("e")).select("fold", "role", "e.edge", F.col("e.at").alias("boundary"))
-    near = breaks.select(F.col("pos").alias("break_pos")).join(F.broadcast(edges), F.abs(F.col("break_pos") - F.col("boundary")) <= reach)
+    near = breaks.select(F.col("pos").alias("break_pos")).join(edges, F.abs(F.col("break_pos") - F.col("boundary")) <= reach)
     return near.select("fold", "role", "edge", "boundary", "break_pos", F.abs(F.col("break_pos") - F.col("boundary")).alias("distance"))
 
 

@@ -99,11 +99,35 @@ def availability(df: DataFrame, columns: Sequence[str], date: str, cutoff: str,
 
 
 def apply(df: DataFrame, exprs: Mapping[str, object], drop: Sequence[str] = ()) -> DataFrame:
-    """df without `drop` and with the derived columns, in one projection; a name that exists is replaced."""
+    """df without `drop` and with the derived columns, in one projection; a name that exists is replaced. Consumed columns that
+    df doesn't have raise."""
+    missing = sorted(set(drop) - set(df.columns))
+    if missing:
+        raise ValueError(f"no such source columns: {', '.join(missing)}")
     kept = [F.col(c) for c in df.columns if c not in drop and c not in exprs]
     return df.select(*kept, *[e.alias(n) for n, e in exprs.items()])
 
 
+def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows along the order, which should break ties: each task hands on n rows only."""
+    return df.orderBy(*order).limit(n)
+
+
+def tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The last n rows along the order."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def complete_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
+    """Rows without a null or NaN in the subset."""
+    return df.dropna(subset=list(subset))
+
+
+def sorted_sets(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(by, values): each group's distinct values in order, for columns of few levels."""
+    return df.groupBy(*by).agg(F.array_sort(F.collect_set(column)).alias("values"))
+
+
 def matrix_to_long(df: DataFrame, keys: Sequence[str], prefix: str, horizon: int) -> DataFrame:
     """(keys, step, value) of <prefix>_1 .. <prefix>_horizon."""
     return df.select(*keys, F.posexplode(F.array(*[F.col(f"{prefix}_{k}") for k in range(1, horizon + 1)])).alias("step", "value")).withColumn("step", F.col("step") + 1)

@@ -61,8 +61,9 @@ def prune(df: DataFrame, units: Mapping[str, Sequence[str]], threshold: float =
     return [u for u in names if u not in gone]
 
 
-def mean_ranks(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """(value, rank) of a numeric column's distinct values, ties at their mean rank; null is the smallest value, NaN the largest.
+def value_places(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+    """(value, n, before) of a numeric column's distinct values: rows that hold it, and rows of smaller values; null is the smallest
+    value, NaN the largest.
 
     Values are counted, dealt into ranges of about equally many distinct values, and summed up inside each range in its own task;
     in one task are only the totals of the ranges.
@@ -74,7 +75,41 @@ def mean_ranks(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
     totals = dealt.groupBy("bucket").agg(F.sum("n").alias("total"))
     before = totals.select("bucket", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("value")) - F.col("n")
-    return dealt.join(F.broadcast(before), "bucket").select("value", (F.col("before") + inside + (F.col("n") + 1) / 2).alias("rank"))
+    return dealt.join(F.broadcast(before), "bucket").select("value", "n", (F.col("before") + inside).alias("before"))
+
+
+def mean_ranks(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+    """(value, rank) of a numeric column's distinct values, ties at their mean rank; null is the smallest value, NaN the largest."""
+    return value_places(df, column, buckets).select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def quantiles(df: DataFrame, column: str, steps: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a numeric column by linear interpolation; nulls are left out, and without values each is None. The
+    values come from counts by range (value_places), so no task holds all distinct values; the few asked for reach the driver."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = rows.count()
+    if not n:
+        return [None] * len(steps)
+    at = [p * (n - 1) for p in steps]
+    wanted = sorted({int(f) for x in at for f in (np.floor(x), np.ceil(x))})
+    places = value_places(rows, "v").withColumn("k", F.explode(F.array(*map(F.lit, wanted)))).where((F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("n")))
+    value = {r.k: r.value for r in places.select("k", "value").collect()}
+    return [value[int(np.floor(x))] + (x - np.floor(x)) * (value[int(np.ceil(x))] - value[int(np.floor(x))]) for x in at]
+
+
+def top(ranking: DataFrame, by: str, n: int, name: str = "column") -> DataFrame:
+    """The n columns of a ranking of largest magnitude, ties by name, with their place."""
+    order = ranking.where(F.col(by).isNotNull()).orderBy(F.abs(by).desc(), name).limit(n)
+    return order.withColumn("place", F.row_number().over(Window.orderBy(F.abs(by).desc(), name)))  # n rows
+
+
+def pair_units(columns: Sequence[str]) -> dict[str, list[str]]:
+    """Units for prune: a sine and its cosine (stem_sin, stem_cos) are one, every other column one of its own, in order."""
+    units: dict[str, list[str]] = {}
+    for c in columns:
+        stem = c[:-4] if c.endswith(("_sin", "_cos")) and {f"{c[:-4]}_sin", f"{c[:-4]}_cos"} <= set(columns) else c
+        units.setdefault(stem, []).append(c)
+    return units
 
 
 def rank_correlation(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -93,9 +128,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], target: str, name:
 
 
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins: int = 8) -> DataFrame:
-    """(column, mi) in nats over equal-frequency bins of both sides; bin edges are exact percentiles, fetched once."""
+    """(column, mi) in nats over equal-frequency bins of both sides; bin edges are exact quantiles, fetched once."""
     steps = [k / bins for k in range(1, bins)]
-    cuts = df.agg(*[F.percentile(c, F.array(*map(F.lit, steps))).alias(c) for c in [*columns, target]]).first()
+    cuts = {c: quantiles(df, c, steps) for c in [*columns, target]}
     code = lambda c: sum((F.col(c) > F.lit(e)).cast("int") for e in sorted(set(cuts[c])))
     rows = df.select(code(target).alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), code(c).alias("x")) for c in columns])).alias("p")).select("t", "p.*")
     joint = rows.groupBy("column", "x", "t").agg(F.count("*").alias("n"))

@@ -63,7 +63,8 @@ def position_of(sessions: DataFrame, date: str) -> int:
 def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, value: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """left with the value of the first right row at or after it, null where there is none.
 
-    One sort of both sides together in place of a range join, so a large left side costs a window, not a product.
+    One sort of both sides together in place of a range join, so a large left side costs a window, not a product. A task per
+    partition_by group: without one, both sides are sorted in one task, which suits session-sized frames.
     """
     tagged = left.select(*[F.col(c) for c in left.columns], F.col(left_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     fill = [F.col(c) if c in partition_by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]

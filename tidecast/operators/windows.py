@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PAST, FUTURE, HORIZON = 60, 30, 10
+#: Ranges that transitions() deals its rows into.
+RANGES = 64
 
 
 def along(order: Sequence[str] | str, partition_by: Sequence[str] = ()) -> WindowSpec:
@@ -141,9 +143,22 @@ def central_difference(df: DataFrame, value: str, order: str, partition_by: Sequ
 
 
 def transitions(df: DataFrame, value: str, order: Sequence[str], before: object, after: object, partition_by: Sequence[str] = ()) -> DataFrame:
-    """How often `after` directly follows `before` along the order."""
-    stepped = df.withColumn("_prev", F.lag(value).over(along(order, partition_by)))
-    return stepped.groupBy(*partition_by).agg(F.count_if((F.col("_prev") == F.lit(before)) & (F.col(value) == F.lit(after))).alias("transitions"))
+    """How often `after` directly follows `before` along the order, whose first column is a number.
+
+    Rows are dealt into ranges of that column, so a group is no single task: transitions inside a range are counted there,
+    those between ranges from each range's first and last value, a row a group and range.
+    """
+    by, place = list(partition_by), F.struct(*order)
+    hit = lambda prev, now: (prev == F.lit(before)) & (now == F.lit(after))
+    cuts = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [k / RANGES for k in range(1, RANGES)]).alias("_cuts"))
+    bucket = F.when(F.col(order[0]).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(order[0]))))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", bucket)
+    stepped = dealt.withColumn("_prev", F.lag(value).over(along(order, [*by, "_bucket"])))
+    inside = stepped.groupBy(*by).agg(F.count_if(hit(F.col("_prev"), F.col(value))).alias("n"))
+    ends = dealt.groupBy(*by, "_bucket").agg(F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"))
+    ends = ends.withColumn("_prev", F.lag("_last").over(along("_bucket", by)))
+    between = ends.groupBy(*by).agg(F.count_if(hit(F.col("_prev"), F.col("_first"))).alias("n"))
+    return inside.unionByName(between).groupBy(*by).agg(F.sum("n").alias("transitions"))
 
 
 def monotone_violations(df: DataFrame, code: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:

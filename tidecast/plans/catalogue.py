@@ -473,13 +473,12 @@ def _origins(spark, sf):
 
 
 def _folds(spark, sf):
-    """Geometry from two scalars; fewer training years where the history is short."""
+    """Geometry from two scalars; a history too short for two training years and five origins raises."""
     origins = _origins(spark, sf)
     n, per_year = origins.count(), folds.sessions_per_year(D.history(spark, sf)).first()[0]
-    for years in (2, 1):
-        if n - years * per_year - windows.HORIZON >= 5:
-            return origins, folds.geometry(n, per_year, windows.HORIZON, train_years=years)
-    return origins, folds.geometry(n, max(2, n // 4), windows.HORIZON, train_years=1)
+    if n - 2 * per_year - windows.HORIZON < 5:
+        raise ValueError(f"{n} origins are too few for two training years of {per_year}")
+    return origins, folds.geometry(n, per_year, windows.HORIZON, train_years=2)
 
 
 _ORIG = """, o AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, pos, d FROM idx WHERE pos BETWEEN 59 AND n_history - 11 AND d < DATE '2000-01-01'),
@@ -627,11 +626,21 @@ def spearman_lineitem(spark, sf):
     return selection.rank_correlation(read_table(spark, sf, "lineitem"), [c for c in _COLS if c != "l_extendedprice"], "l_extendedprice").select("column", *_r("rho", digits=8))
 
 
-@query()
+_MI = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query("WITH q AS (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {k / 8}) AS {c}_{k}" for c in [*_MI, "l_extendedprice"] for k in range(1, 8)) + " FROM lineitem), x AS (SELECT " + ", ".join("CASE " + " ".join(f"WHEN {c} > {c}_{k} THEN {k}" for k in range(7, 0, -1)) + f" ELSE 0 END AS {c}" for c in [*_MI, "l_extendedprice"]) + " FROM lineitem, q), j AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS x, l_extendedprice AS t, count(*) AS n FROM x GROUP BY ALL" for c in _MI)
+    + """), p AS (SELECT "column", n, sum(n) OVER (PARTITION BY "column", x) AS nx, sum(n) OVER (PARTITION BY "column", t) AS nt, sum(n) OVER (PARTITION BY "column") AS s FROM j) SELECT "column", round(sum(n / s * ln(n * s / (nx * nt))), 8) + 0.0 AS mi FROM p GROUP BY 1""")
 def mi_rank(spark, sf):
     return selection.mutual_information(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").select("column", *_r("mi", digits=8))
 
 
+@query("""SELECT "column", rho, row_number() OVER (ORDER BY abs(rho) DESC, "column") AS place FROM (WITH k AS (SELECT """ + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _COLS) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr(CAST({c} AS DOUBLE), CAST(l_extendedprice AS DOUBLE)), 8) + 0.0 AS rho FROM k" for c in _COLS if c != "l_extendedprice") + ") x ORDER BY place LIMIT 2")
+def top_features(spark, sf):
+    return selection.top(spearman_lineitem(spark, sf), "rho", 2)
+
+
 @query()
 def corr_pruned(spark, sf):
     s, c = C.sin_cos(F.col("l_quantity"), 50)
@@ -656,6 +665,46 @@ def pca_k(spark, sf):
     return selection.components(vectors.select(*[element(k).alias(f"e{k}") for k in range(n)]), [f"e{k}" for k in range(n)])[0]
 
 
+def _rates(spark, sf):
+    turn = F.col("pos") * 37 + 20 * F.sin(F.col("pos") / 9)
+    return D.index(spark, sf).select("pos", C.modulo(turn, 360).alias("angle"), (37 + 20 / 9 * F.cos(F.col("pos") / 9)).alias("reported"))
+
+
+@query(""", p AS (SELECT pos, ((pos * 37 + 20 * sin(pos / 9.0)) % 360 + 360) % 360 AS a, 37 + 20 / 9.0 * cos(pos / 9.0) AS reported FROM idx), s AS (SELECT *, a - lag(a) OVER (ORDER BY pos) AS st FROM p), t AS (SELECT *, coalesce(CASE WHEN st > 180 THEN -ceil((st - 180) / 360) WHEN st < -180 THEN ceil((-st - 180) / 360) END, 0) AS turns FROM s),
+u AS (SELECT *, a + 360 * sum(turns) OVER (ORDER BY pos) AS w FROM t), v AS (SELECT reported, (lead(w) OVER (ORDER BY pos) - lag(w) OVER (ORDER BY pos)) / 2 AS rate FROM u)
+SELECT count(*) AS n, round(corr(rate, reported), 6) AS r, round(regr_slope(rate, reported), 5) AS slope, corr(rate, reported) >= 0.999 AS consistent FROM v WHERE rate IS NOT NULL""", shared=True)
+def rate_consistency(spark, sf):
+    return audit.rate_consistency(_rates(spark, sf), "angle", "reported", "pos").select("n", *_r("r", digits=6), *_r("slope", digits=5), "consistent")
+
+
+def _cycles(spark, sf):
+    """Sines and cosines of the size in two cycles beside a column that follows one of them."""
+    pairs = {k: C.sin_cos(F.col("p_size"), k) for k in (50, 7)}
+    cells = [c.alias(f"{n}{k}") for k, p in pairs.items() for n, c in zip(("s", "c"), p, strict=True)]
+    return read_table(spark, sf, "part").select("*", *cells, (2 * C.sin_cos(F.col("p_size"), 50)[0] + 1).alias("follows"))
+
+
+_CYCLES = "WITH k AS (SELECT *, " + ", ".join(f"{f}(2 * pi() * p_size / {k}) AS {f[0]}{k}" for k in (50, 7) for f in ("sin", "cos")) + ", 2 * sin(2 * pi() * p_size / 50) + 1 AS follows FROM part) "
+
+
+@query(_CYCLES + "SELECT body, round(strength, 8) AS strength, strength < 0.95 AS survives FROM (" + " UNION ALL ".join(f"SELECT 'cycle_{k}' AS body, greatest(abs(corr(follows, s{k})), abs(corr(follows, c{k}))) AS strength FROM k" for k in (50, 7)) + ") x")
+def prune_survival(spark, sf):
+    found = audit.prune_survival(_cycles(spark, sf), "follows", {f"cycle_{k}": (f"s{k}", f"c{k}") for k in (50, 7)})
+    return found.select("body", *_r("strength", digits=8), "survives")
+
+
+@query(_CYCLES + "SELECT 's50' AS a, 'c50' AS b, round(max(abs(s50 - c50)), 8) AS max_difference, false AS duplicate FROM k UNION ALL SELECT 's50', 'half', round(max(abs(s50 - (follows - 1) / 2)), 8), true FROM k")
+def duplicate_columns(spark, sf):
+    rows = _cycles(spark, sf).withColumn("half", (F.col("follows") - 1) / 2)
+    return audit.duplicates(rows, [("s50", "c50"), ("s50", "half")]).select("a", "b", *_r("max_difference", digits=8), "duplicate")
+
+
+@query("SELECT verdict, count(*) AS n FROM (SELECT p_brand, p_type, CASE WHEN count(DISTINCT p_size) = 1 THEN 'determined' WHEN count(DISTINCT p_size) < 5 THEN 'few' ELSE 'free' END AS verdict FROM part GROUP BY 1, 2) x GROUP BY ROLLUP (verdict)")
+def verdict_rollup(spark, sf):
+    found = read_table(spark, sf, "part").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("item")).agg(F.count_distinct("p_size").alias("k"))
+    return audit.verdicts(found.withColumn("verdict", F.when(F.col("k") == 1, "determined").when(F.col("k") < 5, "few").otherwise("free")))
+
+
 # --- rolling and legacy operators ----------------------------------------------------------------------------------
 
 
@@ -670,6 +719,24 @@ def lags(spark, sf):
     return windows.lags(sessions.positions(D.history(spark, sf)), "c", order="pos").drop("d", "c")
 
 
+@query(", w AS (SELECT pos, c, lag(c, 20) OVER (ORDER BY pos) AS c_lag20 FROM hist) SELECT pos, c, c_lag20 FROM w WHERE c_lag20 IS NOT NULL", shared=True)
+def complete_lags(spark, sf):
+    lagged = windows.lags(sessions.positions(D.history(spark, sf)), "c", [20], order="pos")
+    return schema.complete_rows(lagged, ["c_lag20"]).select("pos", "c", "c_lag20")
+
+
+@query("SELECT * FROM ((SELECT 'head' AS side, o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 5) UNION ALL (SELECT 'tail', o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5)) x")
+def head_tail(spark, sf):
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    order = ["o_orderdate", "o_orderkey"]
+    return schema.head(orders, order, 5).select(F.lit("head").alias("side"), "*").unionByName(schema.tail(orders, order, 5).select(F.lit("tail").alias("side"), "*"))
+
+
+@query("SELECT p_type, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS brands FROM part GROUP BY 1")
+def sorted_sets(spark, sf):
+    return schema.sorted_sets(read_table(spark, sf, "part"), ["p_type"], "p_brand").select("p_type", F.array_join("values", ",").alias("brands"))
+
+
 @query("SELECT d, last_value(c IGNORE NULLS) OVER (ORDER BY d) AS c_filled FROM daily", shared=True)
 def ffill(spark, sf):
     return windows.forward_fill(D.daily(spark, sf), "c").select("d", "c_filled")
@@ -725,6 +792,14 @@ def long_frame(spark, sf):
     return steps.select(F.lit("orders").alias("series_id"), F.col("pos").alias("time_idx"), F.col("d").alias("trade_date"), (F.round(F.col("r").cast("float").cast("double"), 6) + 0.0).alias("log_ret"), C.weekday_index(F.col("d")).alias("weekday"))
 
 
+@query(_ORIG + " SELECT fold, round(avg(s.r), 9) + 0.0 AS mean, round(stddev_samp(s.r), 9) AS std, count(*) AS n FROM o JOIN b ON o.i BETWEEN b.lo AND b.hi JOIN steps s ON s.pos = o.pos WHERE role = 'val' GROUP BY fold", shared=True)
+def fold_spread(spark, sf):
+    origins, f = _folds(spark, sf)
+    val = folds.oos(folds.membership(origins, folds.bounds_table(spark, f)))
+    rows = val.join(windows.step_returns(D.history(spark, sf)).select("d", "r"), "d")
+    return score.per_fold(rows, "r").select("fold", *_r("mean", "std"), "n")
+
+
 # --- extensions beyond parity --------------------------------------------------------------------------------------
 
 
