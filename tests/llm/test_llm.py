@@ -206,6 +206,36 @@ def test_licenses(spark):
         licenses.scan(docs_frame(spark, rows), {"x": "All rights reserved."})
 
 
+def test_partial_licences_equal_brute_force(spark):
+    """Templates of which random runs of words are left out or replaced, against the exact containment of each template's shingles
+    in any window of two strides."""
+    rng = random.Random(14)
+    noise = lambda k: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k)]
+    templates = licenses.TEXTS | {n: licenses.TEMPLATES[n] for n in ("apache-2.0-warranty", "gpl-3.0-header")}
+    rows = []
+    for k in range(300):
+        words_ = templates[rng.choice(list(templates))].split()
+        a = rng.randint(0, len(words_) - 1)
+        cut = rng.randint(0, len(words_) // 2)
+        rows.append((k, " ".join(noise(rng.randint(0, 40)) + words_[:a] + noise(rng.randint(0, 2)) + words_[a + cut :] + noise(rng.randint(0, 40))), "a"))
+    rows += [(300, rows[0][1], "a"), (300, rows[0][1], "a"), (301, " ".join(noise(50_000)) + " " + templates["mit-text"], "a")]
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan(docs_frame(spark, rows), templates).collect()}
+    norm = lambda t: [w.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum())) or w for w in t.lower().split()]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    sure, possible = set(), set()
+    for k, text, _ in rows:
+        held = grams(norm(text))
+        for name, template in templates.items():
+            want = set(grams(norm(template)))
+            if len(want & set(held)) / len(want) >= 0.75:
+                possible.add((k, name))
+            n = len(grams(norm(template)))
+            if any(len(want & set(held[i : i + n])) / len(want) >= 0.75 for i in range(0, max(1, len(held) - n + 1))):
+                sure.add((k, name))  # one window of two strides, each as long as the longest template, holds this run
+    assert len(sure) > 60 and set(got) <= possible and len(set(got) & sure) >= 0.98 * len(sure) and (301, "mit-text") in got
+    assert all(0.75 <= c <= 1 for c in got.values()) and sum(r.doc_id == 300 for r in licenses.scan(docs_frame(spark, rows[-3:]), templates).collect()) % 2 == 0
+
+
 # --- 5 and 8: vectors ----------------------------------------------------------------------------------------------
 
 
@@ -410,6 +440,38 @@ def test_quality_edge_cases(spark):
     assert quality.grade(frame, empty, least=1, keep_columns=True).columns[: len(frame.columns)] == frame.columns
 
 
+def test_quality_results_take_clashing_names_and_repeats_stay_bounded(spark):
+    rows = [(k, f"good words number {k % 7} here" if k % 2 else f"bad things {k % 5} there", k % 2) for k in range(60)]
+    frame = spark.createDataFrame([(k, t, "mine", 9.0) for k, t, _ in rows] + [(1, "good words number 1 here", "mine", 9.0)] * 300, "doc_id long, text string, kept string, p_ge_1 double")
+    ratings = spark.createDataFrame([(k, 2 * g) for k, _, g in rows], "doc_id long, grade int")
+    model = quality.train(frame, ratings, levels=3)
+    out = quality.grade(frame, model, least=2, keep_columns=True)
+    assert out.columns == ["doc_id", "text", "expected_grade", "p_ge_1", "p_ge_2", "kept"] and out.schema["kept"].dataType.simpleString() == "boolean"
+    once = quality.train(frame.dropDuplicates(["doc_id"]), ratings, levels=3)
+    assert np.allclose(model.weights, once.weights) and out.where("kept").count() > 0
+
+
+def test_fit_comes_near_the_plain_maximum_of_the_likelihood():
+    """Mean log-likelihood of the fitted model against plain gradient ascent over all rows."""
+    rng = np.random.RandomState(12)
+    x = rng.rand(600, 6) < 0.4
+    score = x @ np.array([1.5, -1.5, 1.0, -1.0, 0.7, 0.0])
+    grades = (score + rng.logistic(size=600) > -0.5).astype(int) + (score + rng.logistic(size=600) > 0.8).astype(int)
+    model = quality.fit([np.flatnonzero(r) for r in x], grades, 3, epochs=60)
+
+    def loss(w, t):
+        edge = np.concatenate([np.zeros((600, 1)), 1 / (1 + np.exp(-(t[None, :] - (x @ w)[:, None]))), np.ones((600, 1))], 1)
+        return -np.log(np.maximum(edge[np.arange(600), grades + 1] - edge[np.arange(600), grades], 1e-12)).mean()
+
+    w, t, step = np.zeros(6), np.array([-0.5, 0.8]), 1e-5
+    for _ in range(1500):
+        p = np.concatenate([w, t])
+        g = np.array([(loss((q := p + step * e)[:6], q[6:]) - loss((r := p - step * e)[:6], r[6:])) / (2 * step) for e in np.eye(8)])
+        w, t = (p - 1.0 * g)[:6], (p - 1.0 * g)[6:]
+    plain, mine = loss(w, t), loss(model.weights[:6], model.thresholds)
+    assert model.thresholds[0] < model.thresholds[1] and mine <= plain + 0.03
+
+
 # --- 10: the shingle join ------------------------------------------------------------------------------------------
 
 

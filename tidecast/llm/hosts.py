@@ -34,10 +34,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def levels(df: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """df with domain (registered: one label before the suffix) and suffix of its host; a bare suffix is its own domain."""
-    last_two = F.substring_index("host", ".", -2)
+    """df with domain (registered: one label before the suffix) and suffix of its host, a port left out; a bare suffix is its own domain."""
+    name = F.regexp_replace("host", r":[0-9]*$", "")
+    last_two = F.substring_index(name, ".", -2)
     two = last_two.isin(*suffixes) if suffixes else F.lit(False)
-    return df.withColumn("suffix", F.when(two, last_two).otherwise(F.substring_index("host", ".", -1))).withColumn("domain", F.when(two, F.substring_index("host", ".", -3)).otherwise(last_two))
+    return df.withColumn("suffix", F.when(two, last_two).otherwise(F.substring_index(name, ".", -1))).withColumn("domain", F.when(two, F.substring_index(name, ".", -3)).otherwise(last_two))
 
 
 def _strength(lowest: float = 1.0, highest: float = 1000.0) -> Column:
@@ -76,16 +77,17 @@ def bound(mean: Column, strength: Column, z: float) -> Column:
     return F.greatest(F.lit(0.0), mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (strength + 1)))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, z: float = 1.645, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES, threshold: float = 0.5, z: float = 1.645, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, host, path, rule, verdict, score, level) of every page; outcomes: (key, good 0/1) of labelled pages.
 
     The longest fitting rule decides; else the lower posterior bound (z: one-sided 95 %) of the host's reputation, or
     that of its domain, suffix or the whole where the host, domain or suffix has no labelled page, against threshold.
+    suffixes: those of more than one label, for example from the public suffix list.
     Null urls and urls without :// have an empty host and are judged like it. Repeated pages count each; outcomes of
     unknown pages or with null are left out. No pages: no rows. No outcomes: the root prior judges.
     """
     host, path = host_and_path(F.col(url))
-    seen = levels(pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")))
+    seen = levels(pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")), suffixes)
     scratch = Scratch(pages.sparkSession, "judge")
     seen = scratch.save(seen)
     good = outcomes.select(F.col(key).alias("key"), F.col("good").cast("int").alias("good")).where("good is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from .words import Words, chunks
 
-# Notices and sentences of well-known public licences.
+# Notices, sentences and whole short texts of well-known public licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -23,6 +23,27 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Whole texts of short public licences, some of which hold a notice above.
+TEXTS = {
+    "mit-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS "
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+        "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE "
+        "OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+}
 
 
 def _shingles(text: str, size: int) -> np.ndarray:
@@ -72,7 +93,7 @@ class Bands:
         return out
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = 0.75, certainty: float = 0.999, size: int = 5, key: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES | TEXTS, containment: float = 0.75, certainty: float = 0.999, size: int = 5, key: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:
     """key, license, containment, first_word: a row for each document and template it holds; no shuffle.
 
     Words are lower-cased (A-Z) and stripped of ASCII punctuation at their edges. containment is the largest share of the

@@ -139,11 +139,13 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 24000,
     """A model and its cut from the documents of ratings (key, grade 0..levels-1; null grades and keys are left out).
 
     At most `sample` ratings, those of lowest seeded hash, are used: the bound of what reaches the driver, where the
-    fit runs (about 400 feature numbers a document). A key rated or present twice counts twice.
+    fit runs (about 400 feature numbers a document). A key rated twice counts twice; of a key that docs hold more than
+    once, the smallest text counts, so repeats in docs don't pass the bound.
     """
     picked = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     picked = picked.orderBy("h", "grade").limit(sample).select("key", "grade")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").select("key", "grade", "text")
+    held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked.select("key").distinct()), "key", "left_semi")
+    rows = held.groupBy("key").agg(F.min("text").alias("text")).join(F.broadcast(picked), "key").select("key", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,15 +166,17 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 24000,
 def grade(docs: DataFrame, model: Ordinal, least: int, probability: float | None = None, key: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
     """key, expected_grade, p_ge_1 .. p_ge_<levels-1>, kept (P(grade >= least) >= probability) of every row; no shuffle.
 
-    Without a probability it is the model's cut for the top grade and one half for others. With keep_columns, docs' own columns in place of the key. Null and empty texts have no features and are graded by
-    the thresholds alone. Whole texts; repeated rows count each; an empty table gives an empty result.
+    Without a probability it is the model's cut for the top grade and one half for others. With keep_columns, docs' own
+    columns in place of the key, but those whose names clash with a result's: the result takes the name. Null and empty
+    texts have no features and are graded by the thresholds alone. Whole texts; repeated rows count each; an empty table
+    gives an empty result.
     """
     tails = len(model.thresholds)
     if probability is None:
         probability = model.cut if least == tails else 0.5
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     names = ["expected_grade", *(f"p_ge_{k + 1}" for k in range(tails)), "kept"]
-    source = docs if keep_columns else docs.select(key, text)
+    source = docs.select([c for c in docs.columns if c not in names or c == text] if keep_columns else [key, text])
     at, width = source.columns.index(text), len(source.columns) if keep_columns else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hp AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-lv AS (SELECT *, string_split(host, '.') AS p FROM hp),
+lv AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS p FROM hp),
 seen AS (SELECT page_id, host, path, CASE WHEN array_to_string(p[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix,
          CASE WHEN array_to_string(p[-2:], '.') IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'gov.uk', 'org.uk') THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain FROM lv),
 lab AS (SELECT s.*, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM seen s JOIN labels l ON l.doc_id = s.page_id),
