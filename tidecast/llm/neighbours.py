@@ -100,7 +100,7 @@ class Blocks:
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
 
 
-def within(h: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, budget: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+def within(h: np.ndarray, o: np.ndarray, a: np.ndarray, b: np.ndarray, budget: float, strip: int = 32) -> tuple[np.ndarray, np.ndarray, int]:
     """Which rows of h and of o have a partner of the other side within the squared distance, with a < b; and how many pairs were
     looked at. Both sides are sorted along the first axis, and a strip of h only meets the o in its reach there."""
     hit_h, hit_o, looked = np.zeros(len(h), bool), np.zeros(len(o), bool), 0
