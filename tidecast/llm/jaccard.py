@@ -40,7 +40,7 @@ LEAF = 8
 #: rule asks for, so that what a document adds later can only meet what others hold beyond it.
 BOUND = int(0.35 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
 #: Pivots of a region at the first level, and how many times as many each next level has.
-PIVOTS, MORE = 4, 4
+PIVOTS, MORE = 4, 16
 #: Shingles that the sets of one side of a verification may have together to be broadcast (8 bytes each).
 BROADCAST_SHINGLES = 2_000_000
 
