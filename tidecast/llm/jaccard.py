@@ -36,9 +36,9 @@ from .words import Words, chunks, lists, shingles
 
 #: Documents that the region of a seed has at most to be a leaf.
 LEAF = 8
-#: Every document's seeds hold all its shingles up to this one, a third of all hashes and a little more than the prefix
-#: rule asks for, so that what a document adds later can only meet what others hold beyond it.
-BOUND = int(0.35 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
+#: Every document's seeds hold all its shingles up to this one, 30 % of all hashes and a little more than the prefix rule
+#: asks for, so that what a document adds later can only meet what others hold beyond it.
+BOUND = int(0.3 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
 #: Pivots of a region at the first level, and how many times as many each next level has.
 PIVOTS, MORE = 4, 16
 #: Shingles that the sets of one side of a verification may have together to be broadcast (8 bytes each).
