@@ -145,6 +145,15 @@ def test_host_rules_and_shrinkage(spark):
     assert hosts.judge(pages.limit(0), outcomes).count() == 0 and hosts.judge(pages, outcomes.limit(0)).count() == len(urls)
 
 
+def test_hosts_of_repeated_and_long_urls_with_clashing_columns(spark):
+    long_url = "http://a.b.example.com:8080/fr/" + "x/" * 50_000
+    rows = [(1, "http://a.com/fr/", "h", "p", 0.0), (1, "http://a.com/fr/", "h", "p", 0.0), (2, long_url, "h", "p", 0.0), (None, "http://b.com:80/", "h", "p", 0.0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, score double")
+    got = hosts.judge(pages, spark.createDataFrame([(2, 1)], "page_id long, good int")).select("page_id", "host", "path", "rule", "level").collect()
+    assert sorted((r.page_id is None, r.page_id, r.host, r.rule) for r in got) == [(False, 1, "a.com", "com/fr/")] * 2 + [(False, 2, "a.b.example.com:8080", None), (True, None, "b.com:80", None)]
+    assert {r.page_id: len(r.path) for r in got}[2] == len("/fr/" + "x/" * 50_000) and {r.page_id: r.level for r in got}[None] == "suffix"
+
+
 # --- 3: byte-level BPE ---------------------------------------------------------------------------------------------
 
 
@@ -327,6 +336,15 @@ def test_the_default_factor_prunes(spark):
     assert shares[1] < 0.9 < shares[0] <= 1
 
 
+def test_vectors_that_repeat_a_key(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (1, [1.0, 0.0], 0), (4, [-1.0, 0.0], 0)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(frame).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)]
+    near = neighbours.nearest(frame, frame.where("vec_id = 2"), k=9, factor=1.0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in near][:2] == [(2, 1, 1), (2, 2, 1)] and len(near) == 5
+
+
 # --- 6: rollups ----------------------------------------------------------------------------------------------------
 
 
@@ -346,6 +364,12 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
     assert "b-4" not in r.committed() and r.commit("b-4", second.limit(0))
 
 
+def test_counts_of_long_and_empty_texts(spark):
+    rows = docs_frame(spark, EDGE).select("doc_id", *[rollups.count_tokens(F.col("text"), v).alias(v) for v in ("words-1", "pieces-1")]).collect()
+    got = {r.doc_id: (r["words-1"], r["pieces-1"]) for r in rows}
+    assert got[1] == got[2] == got[3] == (0, 0) and got[5] == (30_000, 30_000) and got[4] == (2, 2)
+
+
 def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path):
     kind = "op string, source string, lang string, version string, n_tokens long, old_tokens long"
     ten = spark.createDataFrame([("insert", "a", "en", "v1", 10, None)], kind)
@@ -525,6 +549,29 @@ def test_near_duplicates_equal_brute_force(spark, leaf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_crowded_regions_end_level_by_level(spark):
+    """A large group whose members mostly don't link with its first pivots, and chains through it, with leaves of two documents."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    base = [word() for _ in range(90)]
+    rows = []
+    for k in range(260):
+        out = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            out[rng.randrange(90)] = word() if rng.random() < 0.5 else "shared"
+        rows.append((k, " ".join(out[: rng.choice([90, 90, 75, 60])])))
+    got = jaccard.near_duplicates(docs_frame(spark, [(k, t, "a") for k, t in rows]), leaf=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_near_duplicates_of_repeated_keys(spark):
+    """Rows of one key and different texts are documents of their own; each gets the smallest key that it reaches."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, "s"), (5, b, "s"), (5, a, "s"), (3, b, "s"), (9, a, "s"), (7, c, "s"), (None, c, "s"), (None, None, "s"), (8, None, "s")]
+    got = sorted(map(tuple, jaccard.near_duplicates(docs_frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 26, 5), (5, 26, 3), (5, 26, 5), (3, 26, 3), (9, 26, 5), (7, 26, 7), (None, 26, None), (None, 0, None), (8, 0, 8)], key=str)
+
+
 def test_near_duplicates_edge_cases(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_frame(spark, EDGE)).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[4] == (1, 4) and got[5] == (1, 5)
@@ -565,6 +612,17 @@ def test_pipeline_stages_take_effect(spark, data):
     assert out.count() == plan and out.where("n_tokens > 0").count() > 0.9 * plan
 
 
+def test_pipeline_run_is_its_stages_one_after_the_other(spark):
+    import corpus_pipeline as C
+
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, small).toPandas(), docs.schema)
+    texts = [(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id, r.decoded_sha256) for r in C.run(spark, small).collect()) == sorted(texts) and texts
+
+
 def brute_kept(rows):
     """One of each group by an inverted index over shingles."""
     s = {k: shingle_set(t) for k, t in rows}

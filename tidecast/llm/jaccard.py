@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, key: str
     set and link with nothing. Equal sets are one class, joined once, so copies make no pairs. Rows that repeat a key
     are documents of their own: each is linked by its own text and gets the smallest key that it reaches. Null keys
     stay single. An empty table gives an empty result; other columns are ignored. docs is read several times, so give a
-    table rather than a long plan. The result reads two small saved tables; a caller's own scratch keeps them.
+    table rather than a long plan. The result reads two small saved tables, which stay until the driver
+    ends or the caller drops the (new) scratch that it gave.
     """
     own = scratch or Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
