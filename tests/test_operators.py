@@ -371,3 +371,24 @@ def test_folds_of_a_short_history_raise(spark):
             catalogue._folds(spark, "")
     finally:
         catalogue._origins, catalogue.D.history = saved
+
+
+def test_a_bundle_of_checks_names_those_that_fail(spark):
+    rows = spark.createDataFrame([(1, 2.0, 3.0), (2, None, None), (3, 1.0, 2.5)], "k long, a double, b double")
+    good = schema.formula_violations(rows.where("k < 3"), "b", F.col("a") + 1)
+    bad = schema.formula_violations(rows, "b", F.col("a") + 1, 0.1)
+    assert good.count() == 0 and [r.k for r in bad.collect()] == [3]
+    assert schema.uncovered(["a", "b", "k"], {"x": ["a", "b"], "y": ["b", "z"]}) == ["missing k", "unknown z", "repeated b"]
+    schema.require({"formula": good, "coverage": schema.uncovered(["a"], {"x": ["a"]})})
+    with pytest.raises(ValueError, match="checks failed: formula, coverage"):
+        schema.require({"null rule": encoding.null_rule_violations(rows, "a", "k", 2), "formula": bad, "coverage": ["missing a"]})
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(spark.createDataFrame([(float(k), 2.0 * k + k % 3) for k in range(20)], "x double, y double"))
+    model = PCA(k=1, inputCol="features", outputCol="pc").fit(rows)
+    io.save_model(model, f"file://{tmp_path}/m")
+    io.save_model(model, f"file://{tmp_path}/m")
+    assert [r.pc for r in io.load_model(f"file://{tmp_path}/m").transform(rows).collect()] == [r.pc for r in model.transform(rows).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,26 @@ def apply(df: DataFrame, exprs: Mapping[str, object], drop: Sequence[str] = ())
     return df.select(*kept, *[e.alias(n) for n, e in exprs.items()])
 
 
+def uncovered(columns: Sequence[str], families: Mapping[str, Sequence[str]]) -> list[str]:
+    """What keeps the families from covering the columns once each: missing, unknown and repeated names."""
+    held = [c for cs in families.values() for c in cs]
+    out = [f"missing {c}" for c in columns if c not in held] + [f"unknown {c}" for c in dict.fromkeys(held) if c not in columns]
+    return out + [f"repeated {c}" for c in dict.fromkeys(held) if held.count(c) > 1]
+
+
+def formula_violations(df: DataFrame, column: str, expected: Column, tolerance: float = 0.0) -> DataFrame:
+    """Rows whose column isn't what the formula says; both null agree."""
+    near = F.abs(F.col(column) - expected) <= tolerance
+    return df.where(~F.coalesce(near, F.col(column).isNull() & expected.isNull()))
+
+
+def require(checks: Mapping[str, DataFrame | Sequence[str]]) -> None:
+    """A bundle of checks, each a frame or list of violations: raises with the names of those that have any."""
+    failed = [n for n, v in checks.items() if (bool(v.limit(1).count()) if isinstance(v, DataFrame) else len(v) > 0)]
+    if failed:
+        raise ValueError(f"checks failed: {', '.join(failed)}")
+
+
 def head(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first n rows along the order, which should break ties: each task hands on n rows only."""
     return df.orderBy(*order).limit(n)

@@ -7,6 +7,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,15 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def save_model(model: Model, path: str) -> None:
+    """A fitted model (components, boosted steps), as Spark's own files, so that any session can load it."""
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+
+
+def load_model(path: str) -> Model:
+    return PipelineModel.load(path).stages[0]
+
+
 def markdown(rows: Sequence[Sequence[object]], header: Sequence[str]) -> str:
     """A small report table."""
     line = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
