@@ -145,7 +145,9 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = 24000,
     picked = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(grade).cast("int").alias("grade"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     picked = picked.orderBy("h", "grade").limit(sample).select("key", "grade")
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked.select("key").distinct()), "key", "left_semi")
-    rows = held.groupBy("key").agg(F.min("text").alias("text")).join(F.broadcast(picked), "key").select("key", "grade", "text")
+    if held.groupBy("key").count().where("count > 1").limit(1).count():  # else no text needs to move
+        held = held.groupBy("key").agg(F.min("text").alias("text"))
+    rows = held.join(F.broadcast(picked), "key").select("key", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
