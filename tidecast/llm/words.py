@@ -35,14 +35,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _make_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_kept_powers = lru_cache(maxsize=1)(_make_powers)
+
+
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a chunk's places: kept for chunks of the usual size, made anew for the rare longer text, so that they don't stay."""
+    return _kept_powers(bits) if bits <= 20 else _make_powers(bits)
+
+
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `limit` bytes, or of one longer row; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -59,6 +66,8 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    del column, data, offsets, raw, off
+    pa.default_memory_pool().release_unused()  # a worker lives on between stages
 
 
 class Words:
