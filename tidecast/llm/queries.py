@@ -150,9 +150,52 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of 8 KiB, as these pages are small: about one in forty is then put together from several."""
+    from .warc import round_trip
+
+    back = round_trip(table(spark, sf_dir, "pages"), segment=8192)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to, CAST(NULL AS VARCHAR) AS problem FROM q
+"""
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).drop("looked")
+
+
+def _op13_sql() -> str:
+    """Every round over all centroids, unrolled; all numbers are whole and below 2**53."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "c0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM v) x WHERE c < 40)"]
+    for k in range(6):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(CAST(list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS BIGINT) * 64 + c) AS k FROM v, c{k} GROUP BY vec_id)")
+        if k < 5:
+            parts.append(f"m{k} AS (SELECT c, list(mean ORDER BY i) AS m FROM (SELECT c, i, floor(sum(x) / count(*)) AS mean FROM (SELECT k % 64 AS c, unnest(range(64)) AS i, unnest(v) AS x FROM a{k}) x GROUP BY c, i) y GROUP BY c)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c)")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, k // 64 AS distance, CAST(sum(k // 64) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(k // 64) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.c = a5.k % 64
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_url_reputation, op3_byte_bpe, op4_license_scan, op5_embedding_pairs, op6_token_rollups, op7_source_mix, op8_nearest, op9_quality_grades, op10_shingle_join)}
+    each = (op1_personal_data, op2_url_reputation, op3_byte_bpe, op4_license_scan, op5_embedding_pairs, op6_token_rollups, op7_source_mix, op8_nearest, op9_quality_grades, op10_shingle_join)
+    return {f.__name__: f for f in (*each, op11_spelling_variants, op12_warc_round_trip, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_reputation": OP2_SQL, "op6_token_rollups": OP6_SQL}
+    return {"op2_url_reputation": OP2_SQL, "op6_token_rollups": OP6_SQL, "op12_warc_round_trip": OP12_SQL, "op13_centroid_clusters": _op13_sql()}
