@@ -819,3 +819,6 @@ def order_cube(spark, sf):
     t = lambda n: read_table(spark, sf, n)
     rows = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.cube("n_regionkey", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+from . import learned  # noqa: E402, F401  registers its queries here
