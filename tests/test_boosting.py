@@ -88,7 +88,9 @@ def test_many_models_in_one_pass_equal_single_fits_and_never_see_validation_rows
 
 
 def test_one_forest_forecasts_no_worse_than_single_target_forests(spark):
+    """Targets of one cause, as the steps of a horizon are: what they share tells the splits from noise."""
     x, y = made(1200, 8)
+    y = y[:, :1] * np.array([1.0, 0.8, -1.2]) + 0.6 * np.random.RandomState(1).randn(1200, 3)
     df, s = frame(spark, x, y), B.Setting("s", rounds=12, depth=3, rate=0.3)
     error = []
     joint = B.Model("joint", s, (0, 899))
@@ -100,7 +102,7 @@ def test_one_forest_forecasts_no_worse_than_single_target_forests(spark):
         m = B.Model(t, s, (0, 899))
         B.fit(df, FEATURES, [t], [m], edges=edges, bins=16)
         error.append(B.predict(df.where("i >= 900"), FEATURES, m, edges, ["f"]).agg(F.avg(F.pow(F.col(t) - F.col("f"), 2))).first()[0])
-    assert sum(joint_error) <= 1.15 * sum(error) and sum(joint_error) < 0.5 * y[900:].var(0).sum()
+    assert sum(joint_error) <= 1.02 * sum(error) and sum(joint_error) < 0.9 * y[900:].var(0).sum()
     shares = B.importance(joint, FEATURES)
     assert shares["a"] == max(shares.values())
 

@@ -8,6 +8,7 @@ import pickle
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +207,28 @@ def test_prune_keeps_units_whole(spark):
     assert sum(shares) == pytest.approx(1) and len(pcs.first().pc) == 3
 
 
+def test_pair_moments_of_240_columns_equal_pandas(spark, tmp_path):
+    """Nulls by pair, far offsets, a constant column, an empty one and a near copy, across column blocks; one pass, and pruning over it."""
+    import time
+
+    rng = np.random.RandomState(2)
+    x = rng.randn(4000, 240) * 10.0 ** rng.randint(-3, 4, 240) + 1000 * rng.randn(240)
+    x[:, 200] = x[:, 3] * 2 + 1e-4 * x[:, 3].std() * rng.randn(4000)
+    x[rng.rand(*x.shape) < 0.05] = np.nan
+    x[:, 9], x[:, 11] = 7, np.nan
+    frame = pd.DataFrame(x, columns=[f"k{i}" for i in range(240)])
+    frame.to_parquet(f"{tmp_path}/x.parquet", row_group_size=500)
+    df = spark.read.parquet(f"{tmp_path}/x.parquet").repartition(4)
+    began = time.time()
+    r, v = selection.correlation_matrix(df, df.columns)
+    assert time.time() - began < 60
+    want = frame.corr().to_numpy()
+    assert (np.isnan(r) == np.isnan(want)).all() and np.nanmax(np.abs(r - want)) < 1e-6
+    assert np.nanmax(np.abs(v / frame.var().to_numpy() - 1)[np.arange(240) != 9]) < 1e-9
+    kept = selection.prune(df, {c: [c] for c in df.columns})
+    assert len(kept) == 239 and "k3" not in kept  # of the pair the one of lower variance goes
+
+
 def test_rank_correlation_ranks_rows_in_many_tasks(spark, capsys):
     rng = random.Random(17)
     rows = [(rng.choice([None, float("nan"), *map(float, range(40))]), rng.choice([rng.random(), 0.5]), rng.randint(0, 3)) for _ in range(900)]

@@ -5,19 +5,18 @@ Statistics are one aggregation each; what reaches the driver is a matrix over co
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import nan_to_null
-
 
 def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip").transform(df.select(*[F.col(c).cast("double") for c in columns])).select("features")
@@ -36,6 +35,60 @@ def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
+def pair_moments(df: DataFrame, columns: Sequence[str], block: int = 128) -> DataFrame:
+    """(i, j, n, r, v) of every pair i <= j of columns (by place): rows where both have a value, their correlation over those rows, and for
+    i = j the sample variance. Nulls, NaN and infinities leave out their own value only.
+
+    One pass: each task adds up the cross products, sums, squares and joint counts of its rows by blocks of columns, as matrix
+    products, so a task holds five matrices of columns squared; Spark sums the pairs over tasks. Values are shifted by the
+    means of some first rows, which changes nothing but rounding.
+    """
+    names = list(columns)
+    p = len(names)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c))
+    first = rows.limit(200).agg(*[F.avg(finite(f"c{k}")).alias(f"c{k}") for k in range(p)]).first()
+    shift = np.array([v or 0.0 for v in first])
+    at = range(0, p, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((5, p, p))  # joint count; sum of i, sum of j's square, sum of i's square, product: all over joint rows
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float)
+            has = np.isfinite(x)
+            x, m = np.where(has, x - shift, 0.0), has.astype(float)
+            for a in at:
+                for b in at:
+                    i, j = slice(a, a + block), slice(b, b + block)
+                    for k, (left, right) in enumerate(((m, m), (x, m), (m, x * x), (x * x, m), (x, x))):
+                        if b >= a or k == 1:  # the sum of j is the transposed sum of i
+                            sums[k, i, j] += left[:, i].T @ right[:, j]
+        i, j = np.triu_indices(p)
+        n, si, sjj, sii, sij = sums[:, i, j]
+        sj = sums[1, j, i]
+        keep = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (i.astype(np.int32), j.astype(np.int32), n, si, sj, sii, sjj, sij)], names=["i", "j", "n", "si", "sj", "sii", "sjj", "sij"])
+
+    parts = rows.mapInArrow(run, "i int, j int, n double, si double, sj double, sii double, sjj double, sij double")
+    whole = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sii", "sjj", "sij")])
+    ss = lambda s, q: F.greatest(F.lit(0.0), F.col(q) - F.col(s) * F.col(s) / F.col("n"))
+    spread = F.sqrt(ss("si", "sii") * ss("sj", "sjj"))
+    r = F.when(spread > 1e-12 * F.sqrt(F.col("sii") * F.col("sjj")), (F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / spread)
+    return whole.select("i", "j", F.col("n").cast("long").alias("n"), r.alias("r"), F.when((F.col("i") == F.col("j")) & (F.col("n") > 1), ss("si", "sii") / (F.col("n") - 1)).alias("v"))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairwise-complete correlations (NaN where a column is constant or no rows are shared) and variances, on the driver: columns
+    squared, never rows."""
+    p = len(columns)
+    r, v = np.full((p, p), np.nan), np.full(p, np.nan)
+    for row in pair_moments(df, columns).collect():
+        r[row.i, row.j] = r[row.j, row.i] = np.nan if row.r is None else row.r
+        if row.i == row.j:
+            v[row.i] = np.nan if row.v is None else row.v
+    return r, v
+
+
 def prune(df: DataFrame, units: Mapping[str, Sequence[str]], threshold: float = 0.95) -> list[str]:
     """Units (one column, or a sine and cosine pair) that stay. In order, each unit meets every earlier one; if their largest
     absolute correlation reaches the threshold and both still stand, the one of lower variance goes, the earlier one at a tie.
@@ -43,14 +96,10 @@ def prune(df: DataFrame, units: Mapping[str, Sequence[str]], threshold: float =
     A null or NaN leaves out its own value only: a correlation is over the rows where both columns have values, a variance over all
     values of its column."""
     columns = list(dict.fromkeys(c for u in units.values() for c in u))
-    df = nan_to_null(df.select(*columns))
-    r = np.eye(len(columns))
-    for a, b, value in correlation_table(df, columns).collect() if len(columns) > 1 else []:
-        i, j = columns.index(a), columns.index(b)
-        r[i, j] = r[j, i] = abs(np.nan_to_num(value or 0.0))
-    row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
+    r, v = correlation_matrix(df, columns)
+    r, v = np.abs(np.nan_to_num(r)), np.nan_to_num(v)
     at = {c: i for i, c in enumerate(columns)}
-    var = {u: max(row[c] or 0.0 for c in cs) for u, cs in units.items()}
+    var = {u: max(v[at[c]] for c in cs) for u, cs in units.items()}
     names, gone = list(units), set()
     for i, u in enumerate(names):
         for v in names[:i]:

@@ -641,7 +641,23 @@ def top_features(spark, sf):
     return selection.top(spearman_lineitem(spark, sf), "rho", 2)
 
 
-@query()
+def _pruned_sql() -> str:
+    """Pruning in SQL: one step of the ordered pairwise comparison a subquery."""
+    units = {"l_quantity": ["l_quantity"], "twice": ["twice"], "cycle": ["q_sin", "q_cos"], "l_discount": ["l_discount"], "l_tax": ["l_tax"]}
+    names, cells = list(units), []
+    for i, u in enumerate(names):
+        cells.append("greatest(" + ", ".join(f"var_samp({c})" for c in units[u]) + f") AS v{i}, false AS g{i}")
+        for j in range(i):
+            cells.append("greatest(" + ", ".join(f"abs(corr({a}, {b}))" for a in units[u] for b in units[names[j]]) + f") AS r{i}_{j}")
+    sql = "SELECT " + ", ".join(cells) + " FROM (SELECT *, l_quantity * 2 + l_tax * 1e-3 AS twice, sin(2 * pi() * l_quantity / 50) AS q_sin, cos(2 * pi() * l_quantity / 50) AS q_cos FROM lineitem) x"
+    for i in range(len(names)):
+        for j in range(i):
+            hit = f"NOT g{i} AND NOT g{j} AND r{i}_{j} >= 0.95"
+            sql = f"SELECT * REPLACE (g{i} OR ({hit} AND v{i} < v{j}) AS g{i}, g{j} OR ({hit} AND v{i} >= v{j}) AS g{j}) FROM ({sql}) x"
+    return f"WITH k AS ({sql}) " + " UNION ALL ".join(f"SELECT '{u}' AS unit FROM k WHERE NOT g{i}" for i, u in enumerate(names))
+
+
+@query(_pruned_sql())
 def corr_pruned(spark, sf):
     s, c = C.sin_cos(F.col("l_quantity"), 50)
     li = read_table(spark, sf, "lineitem").select("*", (F.col("l_quantity") * 2 + F.col("l_tax") * 1e-3).alias("twice"), s.alias("q_sin"), c.alias("q_cos"))
@@ -649,7 +665,22 @@ def corr_pruned(spark, sf):
     return spark.createDataFrame([(u,) for u in kept], "unit string")
 
 
-@query()
+def _vif_sql() -> str:
+    """The diagonal of the inverse as minors over the determinant, written out."""
+    cell = lambda a, b: "1.0" if a == b else f"r_{min(a, b)}_{max(a, b)}"
+
+    def det(rows: list[int], cols: list[int]) -> str:
+        if not rows:
+            return "1.0"
+        return "(" + " ".join(f"{'+' if k % 2 == 0 else '-'} {cell(rows[0], c)} * {det(rows[1:], cols[:k] + cols[k + 1:])}" for k, c in enumerate(cols)) + ")"
+
+    every = list(range(len(_COLS)))
+    corr = ", ".join(f"corr({_COLS[a]}, {_COLS[b]}) AS r_{a}_{b}" for a in every for b in every if a < b)
+    rest = lambda k: [x for x in every if x != k]
+    return f"WITH k AS (SELECT {corr} FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round({det(rest(k), rest(k))} / {det(every, every)}, 8) AS vif FROM k""" for k, c in enumerate(_COLS))
+
+
+@query(_vif_sql())
 def vif(spark, sf):
     found = selection.variance_inflation(read_table(spark, sf, "lineitem"), _COLS)
     return spark.createDataFrame([(c, round(v, 8)) for c, v in found.items()], "column string, vif double")
