@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Saved
+
 #: Ranges at least and at most, rows of a range between them, and order values that are sampled for each.
 RANGES, MOST, ROWS, SAMPLED = 64, 4096, 1_000_000, 64
 
@@ -128,22 +130,35 @@ def over_halo(df: DataFrame, order: Sequence[str], columns: Mapping[str, object]
     return out.where("_own").select(*df.columns, *columns)
 
 
-def runs(df: DataFrame, order: Sequence[str], flag: str, partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def runs(df: DataFrame, order: Sequence[str], flag: str, partition_by: Sequence[str] = (), ranges: int | None = None, cuts: list | None = None, saved: Saved | None = None) -> DataFrame:
     """df with run_start and run_rows: place (from 0) of the first row of the unbroken run of equal flags that the row is in, and the
-    run's length. A run may cover many ranges: its ends are the nearest breaks on either side, one carry each way."""
-    by, order = list(partition_by), list(order)
-    cuts = cut_points(df, order, ranges)
-    stepped = over_halo(df, order, {"_before": lambda w: F.lag(F.struct(flag)).over(w)}, 1, 0, by, cuts=cuts)  # a struct tells a null flag from no row
-    numbered = running(stepped, order, {"_place": ("count", flag)}, by, cuts=cuts)
-    first = F.col("_before").isNull() | ~F.struct(flag).eqNullSafe(F.col("_before"))
-    broken = numbered.withColumn("_place", F.col("_place") - 1).withColumn("_break", F.when(first, F.col("_place")))
-    ends = running(broken, order, {"run_start": ("max", "_break")}, by, cuts=cuts)
-    # the break after a row: that of the row itself doesn't count, so look from the row behind it
-    behind = over_halo(ends, order, {"_behind": lambda w: F.lead("_break").over(w)}, 0, 1, by, cuts=cuts)
-    found = running(behind, order, {"_end": ("ahead_min", "_behind")}, by, cuts=cuts)
-    total = df.groupBy(*by).agg(F.count("*").alias("_all")) if by else df.select(F.lit(1).alias("_one")).groupBy("_one").agg(F.count("*").alias("_all"))
-    keys = [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by] if by else [F.lit(True)]
-    return found.alias("f").join(F.broadcast(total.alias("t")) if not by else total.alias("t"), keys).select(*[f"f.{c}" for c in df.columns], "run_start", (F.coalesce("_end", "_all") - F.col("run_start")).alias("run_rows"))
+    run's length. A run may cover many ranges.
+
+    Rows are dealt and saved once. A range is then one row: how many rows it has, its first and last flag, and its first and
+    last break inside. From those come each range's start, whether its first row breaks the run before it, and the nearest
+    breaks on either side; a second pass over the saved rows puts both together.
+    """
+    by, order, own = list(partition_by), list(order), saved or Saved(df.sparkSession, "runs")
+    cuts = cut_points(df, order, ranges) if cuts is None else cuts
+    w = Window.partitionBy(*by, "_range").orderBy(*order)
+    now = F.struct(F.col(flag).alias("flag"))  # a struct tells a null flag from no row
+    base = own.save(dealt(df, order, cuts=cuts).select("*", F.row_number().over(w).alias("_rn"), (~now.eqNullSafe(F.lag(now).over(w))).alias("_breaks")))
+    inner = F.when((F.col("_rn") > 1) & F.col("_breaks"), F.col("_rn"))
+    summary = own.save(base.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.min_by(now, "_rn").alias("_first"), F.max_by(now, "_rn").alias("_last"), F.min(inner).alias("_lo"), F.max(inner).alias("_hi")))
+    keys = [*by, "_range"]
+    joined = lambda a, b: a.alias("l").join(b.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], "left").select("l.*", *[F.col(f"r.{c}") for c in b.columns if c not in keys])
+    past = _later(summary, by, len(cuts)).groupBy(*keys).agg(F.sum("_n").alias("_start"), F.max_by("_last", "_from").alias("_before"))
+    placed = joined(summary, past).withColumn("_start", F.coalesce("_start", F.lit(0))).withColumn("_new", ~F.col("_first").eqNullSafe(F.col("_before")))
+    at = lambda c: F.col("_start") + F.col(c) - 1
+    placed = own.save(placed.select(*keys, "_start", "_new", "_n", F.when(F.col("_new"), F.col("_start")).otherwise(at("_lo")).alias("_least"), F.coalesce(at("_hi"), F.when(F.col("_new"), F.col("_start"))).alias("_most")))
+    back = _later(placed, by, len(cuts)).groupBy(*keys).agg(F.max("_most").alias("_back"))
+    on = _later(placed, by, len(cuts), backwards=True).groupBy(*keys).agg(F.min("_least").alias("_on"), F.max(F.col("_start") + F.col("_n")).alias("_end"))
+    carry = joined(joined(placed.select(*keys, "_start", "_new", (F.col("_start") + F.col("_n")).alias("_own_end")), back), on)
+    rows = joined(base, carry).withColumn("_break", F.when(F.when(F.col("_rn") == 1, F.col("_new")).otherwise(F.col("_breaks")), F.col("_start") + F.col("_rn") - 1))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*by, "_range").orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    start, end = F.coalesce(F.max("_break").over(upto), F.col("_back")), F.coalesce(F.min("_break").over(behind), F.col("_on"), F.col("_end"), F.col("_own_end"))
+    return rows.select(*df.columns, start.alias("run_start"), (end - start).alias("run_rows"))
 
 
 def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, value: str, partition_by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
