@@ -229,6 +229,41 @@ def test_pair_moments_of_240_columns_equal_pandas(spark, tmp_path):
     assert len(kept) == 239 and "k3" not in kept  # of the pair the one of lower variance goes
 
 
+def test_span_components_equal_numpy_on_each_span_and_ignore_other_rows(spark):
+    rng = np.random.RandomState(6)
+    x = rng.randn(500, 5) @ rng.randn(5, 5) + 100
+    x[:, 4] = 3.0
+    x[7, 2] = np.nan
+    spans = {"a": (0, 199), "b": (100, 349), "c": (50, 399), "none": (900, 950)}
+    make = lambda x: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(None, *[9e9] * 5)], "i long, a double, b double, c double, d double, e double").repartition(4)
+    df, names = make(x), list("abcde")
+    for scaled in (True, False):
+        fitted = selection.span_components(df, names, spans, scaled=scaled)
+        for k, (lo, hi) in list(spans.items())[:3]:
+            own = np.array([r for i, r in enumerate(x) if lo <= i <= hi and np.isfinite(r).all()])
+            sd = np.where(own.std(0) > 1e-9, own.std(0, ddof=1), 1.0) if scaled else np.ones(5)
+            values = np.linalg.eigvalsh(np.cov(((own - own.mean(0)) / sd).T))[::-1]
+            shares = values / values.sum()
+            assert fitted[k].shares == pytest.approx(shares, abs=1e-9) and fitted[k].axes.shape[1] == int((np.cumsum(shares) <= 0.95).sum()) + 1
+            got = np.array([r.pc for r in selection.project(df.where(F.col("i").between(lo, hi) & (F.col("i") != 7)), names, fitted[k]).collect()])
+            assert got.mean(0) == pytest.approx(0, abs=1e-8) and got.var(0, ddof=1) == pytest.approx(values[: got.shape[1]])
+        assert fitted["none"].axes.shape == (5, 0)
+    changed = x.copy()
+    changed[400:] = 1e6
+    again = selection.span_components(make(changed), names, spans)
+    first = selection.span_components(df, names, spans)
+    assert all(np.allclose(first[k].axes, again[k].axes) and np.allclose(first[k].mean, again[k].mean) for k in "abc")
+    assert [r.pc for r in selection.project(df.where("i = 7"), names, first["a"]).collect()] == [None]
+
+
+def test_levels_are_counted_without_shuffling_cells(spark, capsys):
+    df = spark.createDataFrame([(k, 5.0 + k * 1e-9, "same", None, k % 2, float(k % 2), str(k % 3), 3 if k % 5 else None, float("nan")) for k in range(60)], "id int, near double, text string, none int, flag int, half double, three string, gap int, odd double")
+    assert {(r.column, r.levels) for r in schema.constant_columns(df).collect()} == {("near", 60), ("text", 1), ("none", 0), ("gap", 1), ("odd", 1)}
+    assert [(r.column, r.levels) for r in schema.degenerate_columns(df).collect()] == [("near", 60)]
+    assert [r.column for r in schema.binary_columns(df, df.columns).collect()] == ["flag"]
+    assert schema.constant_columns(df.limit(0)).count() == 9 and schema.binary_columns(df.limit(0), ["id"]).count() == 0
+
+
 def test_rank_correlation_ranks_rows_in_many_tasks(spark, capsys):
     rng = random.Random(17)
     rows = [(rng.choice([None, float("nan"), *map(float, range(40))]), rng.choice([rng.random(), 0.5]), rng.randint(0, 3)) for _ in range(900)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,23 +25,44 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return rows.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | F.isnan("number")).alias("nulls"), F.count_distinct("text").alias("levels"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"))
 
 
+def extremes(df: DataFrame, columns: Sequence[str]) -> list[Row]:
+    """Rows (column, first, last, low, high, mean, std) on the driver, one a column: first and last are the least and greatest value
+    as text. One aggregation without keys: a task hands on one row, whatever the columns hold."""
+    cells = []
+    for k, c in enumerate(columns):
+        text, numeric = F.col(c).cast("string"), isinstance(df.schema[c].dataType, T.NumericType)
+        number = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if numeric else F.lit(None).cast("double")
+        cells.append(F.struct(F.lit(c).alias("column"), F.min(text).alias("first"), F.max(text).alias("last"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std")).alias(f"c{k}"))
+    return list(df.agg(*cells).first()) if cells else []
+
+
+def _tight(df: DataFrame, columns: Sequence[str] | None, tolerance: float) -> list[tuple[Row, int]]:
+    """Columns that may be constant, with their number of levels. Cells are told apart only in columns whose numbers lie within the
+    tolerance; a column whose least text is its greatest has one level."""
+    found = [e for e in extremes(df, columns or df.columns) if e.first == e.last or (e.low is not None and e.high - e.low < tolerance)]
+    several = [e.column for e in found if e.first != e.last]
+    counts = {r.column: r.k for r in long_form(df, several).groupBy("column").agg(F.count_distinct("text").alias("k")).collect()} if several else {}
+    return [(e, counts.get(e.column, int(e.first is not None))) for e in found]
+
+
 def constant_columns(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(column, levels, span): at most one level, or numbers within the tolerance."""
-    p = profile(df, columns).withColumn("span", F.col("high") - F.col("low"))
-    return p.where((F.col("levels") <= 1) | (F.col("span") < tolerance)).select("column", "levels", "span")
+    rows = [(e.column, k, None if e.low is None else e.high - e.low) for e, k in _tight(df, columns, tolerance)]
+    return df.sparkSession.createDataFrame(rows, "column string, levels long, span double")
 
 
 def degenerate_columns(df: DataFrame, columns: Sequence[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Numbers that take several levels within the tolerance: constants up to noise."""
-    p = profile(df, columns).withColumn("span", F.col("high") - F.col("low"))
-    return p.where((F.col("span") < tolerance) & (F.col("levels") > 1)).select("column", "levels", "span", "mean", "std")
+    rows = [(e.column, k, e.high - e.low, e.mean, e.std) for e, k in _tight(df, columns, tolerance) if k > 1 and e.low is not None and e.high - e.low < tolerance]
+    return df.sparkSession.createDataFrame(rows, "column string, levels long, span double, mean double, std double")
 
 
 def binary_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns of exactly two levels that are whole numbers."""
-    rows = long_form(df, columns).where("text IS NOT NULL")
-    whole = F.col("text").try_cast("long")
-    return rows.groupBy("column").agg(F.count_distinct("text").alias("levels"), F.count_if(whole.isNull()).alias("other")).where("levels = 2 AND other = 0").select("column")
+    """Columns of exactly two levels that are whole numbers: none of the cells is anything but the least or the greatest."""
+    whole = lambda text: re.fullmatch(r"\s*[+-]?\d+\s*", text) is not None
+    pairs = [(e.column, e.first, e.last) for e in extremes(df, columns) if e.first != e.last and whole(e.first) and whole(e.last)]
+    others = df.agg(*[F.count_if(~F.col(c).cast("string").isin(a, b)).alias(f"c{k}") for k, (c, a, b) in enumerate(pairs)]).first() if pairs else []
+    return df.sparkSession.createDataFrame([(c,) for (c, _, _), n in zip(pairs, others, strict=True) if n == 0], "column string")
 
 
 def log_unsafe(df: DataFrame, columns: Sequence[str]) -> DataFrame:

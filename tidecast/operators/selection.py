@@ -6,8 +6,9 @@ Statistics are one aggregation each; what reaches the driver is a matrix over co
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -212,3 +213,79 @@ def components(df: DataFrame, columns: Sequence[str], share: float = 0.95) -> tu
     shares = model.explainedVariance.toArray().tolist()
     k = next((i + 1 for i, s in enumerate(np.cumsum(shares)) if s > share), len(names))
     return model.transform(vectors).select(F.when(F.col("usable"), F.slice(vector_to_array("pc"), 1, k)).alias("pc")), shares
+
+
+@dataclass(frozen=True)
+class Components:
+    """Axes (columns by components) of one block of training rows, with the mean and scale that rows get before; shares: of all axes."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    axes: np.ndarray
+    shares: np.ndarray
+
+
+def span_components(df: DataFrame, columns: Sequence[str], spans: Mapping[object, tuple[int, int]], place: str = "i", share: float = 0.95, scaled: bool = True) -> dict[object, Components]:
+    """The fewest components that pass the share of variance, for each span of rows (first and last place), from its own rows alone.
+
+    Spans may overlap: their ends cut the places into disjoint segments, one pass adds up each segment's count, sums and cross
+    products, and a span is the sum of its segments, so more spans cost no more passes. Rows with a null, NaN or infinite
+    value take no part. scaled: columns are divided by their standard deviation first, constant ones by one. An axis points
+    to where its largest weight is positive. A span of fewer than two rows has no components.
+    """
+    names, p = list(columns), len(columns)
+    edges = np.array(sorted({e for lo, hi in spans.values() for e in (lo, hi + 1)}))
+    inside = reduce(or_, [F.col(place).between(lo, hi) for lo, hi in spans.values()])
+    rows = df.where(inside).select(F.col(place).cast("long").alias("i"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+    usable = reduce(and_, [F.coalesce(F.abs(f"c{k}") < float("inf"), F.lit(False)) for k in range(p)])
+    first = rows.where(usable).limit(200).agg(*[F.avg(f"c{k}") for k in range(p)]).first()
+    shift = np.array([v or 0.0 for v in first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(edges), p + 1, p + 1))
+        for batch in batches:
+            at, x = batch.column(0).to_numpy(), np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
+            segment, x = np.searchsorted(edges, at, "right") - 1, np.concatenate([np.ones((len(at), 1)), x - shift], 1)
+            for s in np.unique(segment):
+                if 0 <= s < len(edges) - 1:
+                    mine = x[segment == s]
+                    sums[s] += mine.T @ mine
+        s, i, j = np.nonzero(np.triu(np.ones((p + 1, p + 1)))[None] * (sums[:, :1, :1] > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in (s, i, j)] + [pa.array(sums[s, i, j])], names=["s", "i", "j", "v"])
+
+    found = rows.where(usable).mapInArrow(run, "s int, i int, j int, v double").groupBy("s", "i", "j").agg(F.sum("v").alias("v")).collect()
+    sums = np.zeros((max(1, len(edges)), p + 1, p + 1))
+    for r in found:
+        sums[r.s, r.i, r.j] = sums[r.s, r.j, r.i] = r.v
+    out = {}
+    for name, (lo, hi) in spans.items():
+        whole = sums[np.searchsorted(edges, lo) : np.searchsorted(edges, hi + 1)].sum(0)
+        n = whole[0, 0]
+        if n < 2:
+            out[name] = Components(np.zeros(p), np.ones(p), np.zeros((p, 0)), np.zeros(p))
+            continue
+        mean = whole[0, 1:] / n
+        cov = (whole[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        scale = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mean + shift)), sd, 1.0) if scaled else np.ones(p)
+        values, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+        values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
+        axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(p)] < 0, -1.0, 1.0)
+        shares = values / (values.sum() or 1.0)
+        k = min(p, int((np.cumsum(shares) <= share).sum()) + 1)
+        out[name] = Components(mean + shift, scale, axes[:, :k], shares)
+    return out
+
+
+def project(df: DataFrame, columns: Sequence[str], fitted: Components, name: str = "pc") -> DataFrame:
+    """df with the array of its components under a fitted model; null for a row with a null, NaN or infinite value."""
+
+    @F.pandas_udf("array<double>")
+    def run(*values):
+        import pandas as pd
+
+        x = np.stack([v.to_numpy(float) for v in values], 1)
+        y = ((x - fitted.mean) / fitted.scale) @ fitted.axes
+        return pd.Series([r if ok else None for r, ok in zip(y.tolist(), np.isfinite(x).all(1), strict=True)])
+
+    return df.withColumn(name, run(*[F.col(c).cast("double") for c in columns]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import circular as C
 from ..operators import boosting as B
-from ..operators import folds, score, sessions, windows
+from ..operators import folds, score, selection, sessions, windows
 from ..sources.io import read_table
 from . import daily as D
 from .catalogue import _folds, _labels, _r, query
@@ -71,6 +71,19 @@ def walk_forward_scorecard(spark, sf):
     return card.join(error, "setting").select("setting", "n", *_r("total_return", "sharpe", "max_drawdown", digits=6), *_r("rmse", digits=8), trees)
 
 
+@query()
+def fold_components(spark, sf):
+    """Components of each fold's inner training rows, all folds in one pass, applied to the fold's validation rows."""
+    frame, found = fold_frame(spark, sf)
+    fitted = selection.span_components(frame, FEATURES, {f.fold: f.inner_train for f in found})
+    out = None
+    for f in found:
+        block = frame.where(F.col("i").between(*f.val))
+        part = selection.project(block, FEATURES, fitted[f.fold]).select(F.lit(f.fold).alias("fold"), "i", "pos", F.transform("pc", lambda x: F.round(x, 6) + 0.0).alias("pc"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _LINE = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "shipped"]
 
 
