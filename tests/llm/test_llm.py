@@ -663,3 +663,23 @@ def brute_kept(rows):
                 a, b = sorted((find(k), find(o)))
                 root[b] = a
     return {k for k in s if find(k) == k}
+
+
+def test_verified_pairs_of_shared_passages_grow_with_the_documents(spark, monkeypatch):
+    """Documents of four out of forty passages, of which none are near copies: few whole sets meet, in whatever number they come."""
+    counts, verify = [], jaccard.Join.verify
+
+    def counted(self, pairs):
+        counts.append(pairs.count())
+        return verify(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "verify", counted)
+    for n in (300, 600, 1200):
+        rng = random.Random(11)
+        passages = [["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(25)] for _ in range(40)]
+        rows = [(k, " ".join(w for p in rng.sample(passages, 4) for w in p)) for k in range(n)]
+        counts.clear()
+        got = jaccard.near_duplicates(docs_frame(spark, [(k, t, "a") for k, t in rows])).collect()
+        assert sum(counts) <= n / 10
+        if n == 300:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
