@@ -16,6 +16,11 @@ def dependency_violations(df: DataFrame, by: Sequence[str], target: str) -> Data
     return df.groupBy(*by).agg(F.count_distinct(target).alias("targets")).where("targets > 1")
 
 
+def dependency_report(df: DataFrame, by: Sequence[str], target: str) -> DataFrame:
+    """(by, targets, n, holds) of every group: how many target values it takes over its n rows; nulls are no value."""
+    return df.groupBy(*by).agg(F.count_distinct(target).alias("targets"), F.count("*").alias("n"), (F.count_distinct(target) <= 1).alias("holds"))
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) of the pairs that occur."""
     return df.groupBy(a, b).agg(F.count("*").alias("n"))

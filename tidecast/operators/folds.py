@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INNER_SHARE = 0.15
@@ -107,3 +107,13 @@ def violations(folds: list[Fold], purge: int) -> list[str]:
         if b.val[0] != a.val[1] + 1:
             out.append(f"fold {b.fold}: validation isn't contiguous")
     return out
+
+
+def geometry_report(bounds: DataFrame, purge: int) -> DataFrame:
+    """(fold, length, gap, inner_gap, contiguous, holds) of bounds_table's rows: violations as rows. gap is from the last training origin
+    to the first of validation, inner_gap the same inside; holds: both at least `purge`, and the training length is everybody's."""
+    at = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    p = bounds.groupBy("fold").agg((at("train", "hi") - at("train", "lo") + 1).alias("length"), (at("val", "lo") - at("train", "hi")).alias("gap"), (at("inner_val", "lo") - at("inner_train", "hi")).alias("inner_gap"), at("val", "lo").alias("a"), at("val", "hi").alias("z"))
+    before = F.lag("z").over(Window.orderBy("fold"))  # a row a fold
+    whole = F.max("length").over(Window.partitionBy())
+    return p.select("fold", "length", "gap", "inner_gap", F.coalesce(F.col("a") == before + 1, F.lit(True)).alias("contiguous"), ((F.col("gap") >= purge) & (F.col("inner_gap") >= purge) & (F.col("length") == whole)).alias("holds"))

@@ -5,7 +5,7 @@ Every function takes the ordering column and an optional partition_by, so a pane
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -145,23 +145,26 @@ def central_difference(df: DataFrame, value: str, order: str, partition_by: Sequ
 def transitions(df: DataFrame, value: str, order: Sequence[str], before: object, after: object, partition_by: Sequence[str] = ()) -> DataFrame:
     """How often `after` directly follows `before` along the order, whose first column is a number.
 
-    Rows are dealt into ranges of that column, so a group is no single task: transitions inside a range are counted there,
-    those between ranges from each range's first and last value, a row a group and range.
+    Rows are dealt into ranges of that column, so a group is no single task. Transitions inside a range are counted there, in one
+    shuffle of the value and order columns; those between ranges come from each range's first and last value, a row a group
+    and range.
     """
-    by, place = list(partition_by), F.struct(*order)
-    hit = lambda prev, now: (prev == F.lit(before)) & (now == F.lit(after))
+    return _steps(df, value, order, lambda prev, now: (prev == F.lit(before)) & (now == F.lit(after)), partition_by).select(*partition_by, F.col("hits").alias("transitions"))
+
+
+def _steps(df: DataFrame, value: str, order: Sequence[str], hit: Callable[[Column, Column], Column], partition_by: Sequence[str]) -> DataFrame:
+    """(partition_by, hits, n): neighbours along the order, of the value before and the value, that are a hit, and rows."""
+    by, place, names = list(partition_by), F.struct(*order), list(dict.fromkeys([*partition_by, value, *order]))
     cuts = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [k / RANGES for k in range(1, RANGES)]).alias("_cuts"))
     bucket = F.when(F.col(order[0]).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(order[0]))))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_bucket", bucket)
+    dealt = df.select(*names).crossJoin(F.broadcast(cuts)).select(*names, bucket.alias("_bucket"))
     stepped = dealt.withColumn("_prev", F.lag(value).over(along(order, [*by, "_bucket"])))
-    inside = stepped.groupBy(*by).agg(F.count_if(hit(F.col("_prev"), F.col(value))).alias("n"))
-    ends = dealt.groupBy(*by, "_bucket").agg(F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"))
+    ends = stepped.groupBy(*by, "_bucket").agg(F.count_if(hit(F.col("_prev"), F.col(value))).alias("_hits"), F.count("*").alias("_n"), F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"))
     ends = ends.withColumn("_prev", F.lag("_last").over(along("_bucket", by)))
-    between = ends.groupBy(*by).agg(F.count_if(hit(F.col("_prev"), F.col("_first"))).alias("n"))
-    return inside.unionByName(between).groupBy(*by).agg(F.sum("n").alias("transitions"))
+    return ends.groupBy(*by).agg((F.sum("_hits") + F.count_if(hit(F.col("_prev"), F.col("_first")))).alias("hits"), F.sum("_n").alias("n"))
 
 
 def monotone_violations(df: DataFrame, code: str, order: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """How often the code falls along the order, whose last columns must break every tie."""
-    stepped = df.withColumn("_prev", F.lag(code).over(along(order, partition_by)))
-    return stepped.groupBy(*partition_by).agg(F.count_if(F.col(code) < F.col("_prev")).alias("violations"), F.count("*").alias("n"))
+    """How often the code falls along the order, whose first column is a number and whose last columns break every tie; by ranges of
+    the order, as in transitions()."""
+    return _steps(df, code, order, lambda prev, now: now < prev, partition_by).select(*partition_by, F.col("hits").alias("violations"), "n")

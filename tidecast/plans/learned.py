@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import circular as C
 from ..operators import boosting as B
-from ..operators import folds, score, selection, sessions, windows
+from ..operators import folds, information, score, selection, sessions, windows
 from ..sources.io import read_table
+from ..sources.scratch import Saved
 from . import daily as D
 from .catalogue import _folds, _labels, _r, query
 
@@ -19,13 +20,14 @@ SETTINGS = [B.Setting("shallow", rounds=6, depth=2, rate=0.1), B.Setting("deep",
 
 
 def fold_frame(spark, sf) -> tuple[DataFrame, list[folds.Fold]]:
-    """(i, pos, d, features of the past, y_1 .. y_10) of every origin, and the folds."""
+    """(i, pos, d, features of the past, y_1 .. y_10) of every origin, saved once as models read it again and again, and the folds."""
     origins, found = _folds(spark, sf)
     steps = windows.step_returns(sessions.positions(D.history(spark, sf)), order="pos")
     known = windows.rolling(windows.lags(steps, "r", [1, 2, 3, 4], order="pos"), "r", (5, 20), order="pos").drop("pos", "c")
     s, c = C.sin_cos(C.weekday_index(F.col("d")), 7)
     labels = _labels(spark, sf).select("d", *TARGETS)
-    return origins.select("i", "pos", "d").join(known.withColumns({"weekday_sin": s, "weekday_cos": c}), "d").join(labels, "d"), found
+    frame = origins.select("i", "pos", "d").join(known.withColumns({"weekday_sin": s, "weekday_cos": c}), "d").join(labels, "d")
+    return Saved(spark, "frame").save(frame), found
 
 
 def _forecasts(frame: DataFrame, models: list[B.Model], found: list[folds.Fold], edges) -> DataFrame:
@@ -84,6 +86,14 @@ def fold_components(spark, sf):
     return out
 
 
+@query()
+def neighbour_information(spark, sf):
+    """Mutual information of price and discount with the discounted price over all lines, by nearest neighbours."""
+    li = read_table(spark, sf, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    found = information.neighbour_information(li, ["l_extendedprice", "l_discount"], "net")
+    return found.select("column", "n", F.round("mi", 8).alias("mi"))
+
+
 _LINE = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "shipped"]
 
 
