@@ -15,8 +15,8 @@ whole table. So the table is split in two steps.
    the link radius of a pivot are linked to it, and whatever isn't in the largest group of its region then supplies the
    pivots of the next level, more at each level. A pivot meets a document only if no earlier link connects the two, all
    earlier distances of both differ by the radius at most (the triangle inequality), and the hot shingles that both hold
-   could make a link, as all others are counted in step 1. Hot shingles that the same documents hold (a shared passage)
-   are one weighted class, so a document is a few classes here, and whole sets move only for pairs that pass.
+   could make a link, as all others are counted in step 1. A crowded document is its few hot shingles here, for
+   distances too; whole sets move only for pairs that can link.
 
 Every step loses no pair at distance <= 1 - t whose documents aren't connected otherwise. Sets are made anew from the
 texts where they are needed, as they are larger than the texts.
@@ -44,8 +44,8 @@ BOUND = int(0.3 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
 PIVOTS, MORE = 4, 16
 #: Shingles that the sets of one side of a verification may have together to be broadcast (8 bytes each).
 BROADCAST_SHINGLES = 2_000_000
-#: Rows with a document's classes, or a region's pivots and theirs, that may be broadcast (a few hundred bytes each).
-BROADCAST_REGIONS = 20_000
+#: Documents with their hot shingles, or regions with those of their pivots, that may be broadcast (a few KB each).
+BROADCAST_REGIONS = 2_000
 
 
 def _shingled(docs: DataFrame, size: int, schema: str, make: Callable) -> DataFrame:
@@ -97,10 +97,9 @@ def linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * inter >= percent * (n + m - inter)
 
 
-def shared_weight(a: Column, b: Column) -> Column:
-    """At most how many hot shingles two documents share, by their classes (array of class and weight)."""
-    met = lambda x: F.aggregate(F.filter(b, lambda y: y["class"] == x["class"]), F.lit(0), lambda t, y: t + F.least(x["weight"], y["weight"]))
-    return F.aggregate(a, F.lit(0), lambda s, x: s + met(x)).cast("long")
+def in_both(a: Column, b: Column) -> Column:
+    """How many distinct values two arrays share."""
+    return F.size(F.array_intersect(a, b)).cast("long")
 
 
 def _least(n: Column, percent: int) -> Column:
@@ -182,9 +181,9 @@ class Join:
 
         return _shingled(self.texts, self.size, "id ID, seed long", make)
 
-    def leaves(self, members: DataFrame, reach: DataFrame, classes: DataFrame) -> DataFrame:
+    def leaves(self, members: DataFrame, reach: DataFrame, hot: DataFrame) -> DataFrame:
         """Verified pairs of the leaf regions: shared shingles are those counted, at most the fewer hot ones, and at most what
-        lies beyond either reach; of two documents with classes, those counted and what their classes share."""
+        lies beyond either reach; of two crowded documents, those counted and the hot ones that both hold."""
         groups = members.where(F.col("k") <= self.leaf).groupBy("seed").agg(F.array_sort(F.collect_list("id")).alias("ids"))
         one = groups.select("ids", F.posexplode("ids").alias("i", "a"))
         two = one.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
@@ -196,8 +195,8 @@ class Join:
         first = self.scratch.save(both.where(linked(most, F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b", "c", "n_a", "n_b"), "first")
         both = first
         for s in "ab":
-            both = with_ids(both, classes.select(F.col("id").alias(s), F.col("classes").alias(f"c_{s}")), s, "left", BROADCAST_REGIONS)
-        sure = linked(F.col("c") + shared_weight(F.col("c_a"), F.col("c_b")), F.col("n_a"), F.col("n_b"), self.percent)
+            both = with_ids(both, hot.select(F.col("id").alias(s), F.col("hot").alias(f"c_{s}")), s, "left", BROADCAST_REGIONS)
+        sure = linked(F.col("c") + in_both(F.col("c_a"), F.col("c_b")), F.col("n_a"), F.col("n_b"), self.percent)
         kept = self.scratch.save(both.where(F.coalesce(sure, F.lit(True))).select("a", "b"), "leaves")
         out = self.verify(kept)
         self.scratch.drop(pairs), self.scratch.drop(first), self.scratch.drop(kept)
@@ -207,15 +206,11 @@ class Join:
 
     def crowded(self, members: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(head, id, n, h): regions of documents that lack seeds other than hot ones, rarest hot ones first, as many as the prefix
-        rule still asks for; regions with the same smallest document, their head, are one. And (id, classes): each such
-        document's hot shingles, all of which it reaches, as classes of equal posting lists with how many it holds of each."""
+        rule still asks for; regions with the same smallest document, their head, are one. And (id, hot): each such
+        document's hot shingles, all of which it reaches."""
         lacking = self.scratch.save(reach.select("id", "n", "h", (_least(F.col("n"), self.percent) - F.col("w") + F.col("h")).alias("lack")).where("lack > 0"), "lacking")
         mine = with_ids(members.where(F.col("k") > self.leaf), lacking, "id", "inner")
-        # a chance equality of two lists only makes the bound of min(weights) looser
-        lists_ = self.scratch.save(mine.groupBy("seed").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("id"))).alias("class")), "lists")
-        held = with_ids(mine.select("seed", "id"), lists_, "seed", "inner").groupBy("id", "class").agg(F.count("*").cast("int").alias("weight"))
-        classes = self.scratch.save(held.groupBy("id").agg(F.collect_list(F.struct("class", "weight")).alias("classes")), "classes")
-        self.scratch.drop(lists_)
+        hot = self.scratch.save(mine.groupBy("id").agg(F.collect_list("seed").alias("hot")), "hot")
         first = F.slice(F.array_sort(F.collect_list(F.struct("k", "seed"))), 1, F.first("lack").cast("int"))
         mine = mine.groupBy("id").agg(first.alias("s"), F.first("n").alias("n"), F.first("h").alias("h")).select("id", "n", "h", F.explode("s.seed").alias("seed"))
         mine = self.scratch.save(mine, "homes")
@@ -223,22 +218,22 @@ class Join:
         out = self.scratch.save(mine.join(heads, "seed").select("head", "id", "n", "h").distinct(), "regions")
         for t in (lacking, mine, heads):
             self.scratch.drop(t)
-        return out, classes
+        return out, hot
 
-    def split(self, regions: DataFrame, classes: DataFrame, found: list[DataFrame]) -> None:
+    def split(self, regions: DataFrame, hot: DataFrame, found: list[DataFrame]) -> None:
         """Adds the links of regions to found, level by level."""
         save, drop, share = self.scratch.save, self.scratch.drop, (100 - self.percent) / 100
         if not regions.limit(1).count():
             return
         # the first level: distances of all documents to the region's pivots, of which the head is one. They are those of sets whose
         # other shingles are all apart: a metric, and the true one for pairs that step 1 hasn't counted
-        docs = save(regions.join(classes, "id"), "docs")
+        docs = save(regions.join(hot, "id"), "docs")
         pivots = regions.groupBy("head", F.pmod(F.xxhash64("id"), F.lit(PIVOTS - 1)).alias("part")).agg(F.min("id").alias("a")).select("head", "a")
         pivots = save(pivots.union(regions.select("head", "head")).distinct(), "pivots")
-        held = docs.select("head", F.col("id").alias("a"), F.col("n").alias("m"), F.col("classes").alias("own")).join(pivots, ["head", "a"], "left_semi")
+        held = docs.select("head", F.col("id").alias("a"), F.col("n").alias("m"), F.col("hot").alias("own")).join(pivots, ["head", "a"], "left_semi")
         held = save(held.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("a", "m", "own"))).alias("pivots")), "held")
-        seen = F.transform("pivots", lambda p: F.struct(p["a"].alias("a"), p["m"].alias("m"), F.when(p["a"] == F.col("id"), F.col("n")).otherwise(shared_weight(F.col("classes"), p["own"])).alias("both")))
-        seen = save(with_ids(docs, held, "head", "inner", BROADCAST_REGIONS).select("head", "id", "n", "h", "classes", seen.alias("seen")), "seen")
+        seen = F.transform("pivots", lambda p: F.struct(p["a"].alias("a"), p["m"].alias("m"), F.when(p["a"] == F.col("id"), F.col("n")).otherwise(in_both(F.col("hot"), p["own"])).alias("both")))
+        seen = save(with_ids(docs, held, "head", "inner", BROADCAST_REGIONS).select("head", "id", "n", "h", "hot", seen.alias("seen")), "seen")
         star = seen.select("n", "id", F.explode("seen").alias("s")).where((F.col("s.a") != F.col("id")) & linked(F.col("s.both"), F.col("s.m"), F.col("n"), self.percent))
         found.append(self.verify(save(star.select(F.col("s.a").alias("a"), F.col("id").alias("b")).distinct(), "star")))
         far = lambda s: 1 - s["both"] / (s["m"] + F.col("n") - s["both"])
@@ -246,7 +241,7 @@ class Join:
         cells = cells.withColumn("nearest", F.array_min(F.transform("seen", lambda x: F.struct(x["d"].alias("d"), x["a"].alias("a")))))
         # a linked document of another cell is at most twice the radius farther from this cell's pivot than from its own
         around = F.transform(F.filter("seen", lambda x: x["d"] <= F.col("nearest")["d"] + 2 * share + 1e-9), lambda x: x["a"])
-        cells = save(cells.select("head", "id", "n", "h", "classes", F.col("seen.d").alias("d"), F.col("nearest")["a"].alias("home"), around.alias("around")), "cells")
+        cells = save(cells.select("head", "id", "n", "h", "hot", F.col("seen.d").alias("d"), F.col("nearest")["a"].alias("home"), around.alias("around")), "cells")
         for t in (docs, held, seen):
             drop(t)
         least = cells.groupBy("head").agg(F.min("n").alias("smallest"))
@@ -266,11 +261,11 @@ class Join:
                 return
             level *= MORE
             chosen = save(left.groupBy("head", "home", F.pmod(F.xxhash64("id"), F.lit(level)).alias("part")).agg(F.min("id").alias("id")).select("head", "id"), "pivots")
-            p = now.join(chosen, ["head", "id"], "left_semi").select("head", F.col("home").alias("cell"), F.col("id").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("d").alias("e"), F.col("classes").alias("own"))
-            rest = now.join(used, ["head", "id"], "left_anti").select("head", "id", "n", "h", "d", "comp", "classes", F.explode("around").alias("cell"))
+            p = now.join(chosen, ["head", "id"], "left_semi").select("head", F.col("home").alias("cell"), F.col("id").alias("a"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("h").alias("g"), F.col("d").alias("e"), F.col("hot").alias("own"))
+            rest = now.join(used, ["head", "id"], "left_anti").select("head", "id", "n", "h", "d", "comp", "hot", F.explode("around").alias("cell"))
             near = F.forall(F.zip_with("d", "e", lambda x, y: F.abs(x - y)), lambda x: x <= share + 1e-9)
-            able_ = linked(F.least("g", "h"), F.col("m"), F.col("n"), self.percent)  # cheap, before the classes are compared
-            meet = rest.join(p, ["head", "cell"]).where((F.col("comp") != F.col("c")) & able_ & near & linked(shared_weight(F.col("classes"), F.col("own")), F.col("m"), F.col("n"), self.percent))
+            able_ = linked(F.least("g", "h"), F.col("m"), F.col("n"), self.percent)  # cheap, before the shingles are compared
+            meet = rest.join(p, ["head", "cell"]).where((F.col("comp") != F.col("c")) & able_ & near & linked(in_both(F.col("hot"), F.col("own")), F.col("m"), F.col("n"), self.percent))
             star = save(meet.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"), "a").groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b")), "star")
             found.append(self.verify(star))
             used = save(used.unionByName(chosen), "used")
@@ -285,9 +280,9 @@ class Join:
     def links(self) -> DataFrame:
         """(a, b) links that connect exactly what all links connect."""
         members, reach = self.seeds()
-        regions, classes = self.crowded(members, reach)
-        found = [self.leaves(members, reach, classes)]
-        self.split(regions, classes, found)
+        regions, hot = self.crowded(members, reach)
+        found = [self.leaves(members, reach, hot)]
+        self.split(regions, hot, found)
         return self.scratch.save(self._links(found).distinct(), "links")
 
 
