@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 
 from .words import Words, chunks
 
+#: Whole texts of longer public licences.
+FOLDER = Path(__file__).parent / "licence_texts"
 # Notices, sentences and whole short texts of well-known public licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -69,8 +72,11 @@ class Bands:
         self.odd = rng.randint(1, 2**62, self.count).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         self.want = np.array([[(s * o).min() for s in self.sets] for o in self.odd])
 
-    def find(self, h: np.ndarray, doc: np.ndarray, place: np.ndarray, containment: float) -> list[tuple[int, str, float, int]]:
-        """(doc, template, containment, first shingle) of the windows that hold enough of a template."""
+    def find(self, h: np.ndarray, doc: np.ndarray, place: np.ndarray, containment: float) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+        """By template, the documents with a window that holds enough of it: (documents, template, containments, first shingles).
+
+        All windows that met are verified together; a shingle lies in two windows at most, so memory follows the batch.
+        """
         block = place // self.stride
         start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]))
         joined = np.zeros(len(start), bool)
@@ -83,24 +89,42 @@ class Bands:
             for t in range(len(self.sets)):
                 hit[t] |= low == want[t]
         stop = np.concatenate([start[1:], [len(h)]])
-        out = []
-        for t, b in zip(*np.nonzero(hit), strict=True):
-            end = stop[near[b]] if joined[b] else stop[b]
-            held = np.isin(h[start[b] : end], self.sets[t])
-            share = len(np.unique(h[start[b] : end][held])) / len(self.sets[t])
-            if share >= containment:
-                out.append((int(doc[start[b]]), self.names[t], share, int(place[start[b]] + held.argmax())))
-        return out
-
-
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES | TEXTS, containment: float = 0.75, certainty: float = 0.999, size: int = 5, key: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:
+        end = np.where(joined, stop[near], stop)
+        for name, own, met in zip(self.names, self.sets, hit, strict=True):
+            b = np.flatnonzero(met)
+            if not len(b):
+                continue
+            length = end[b] - start[b]
+            window = np.repeat(np.arange(len(b)), length)
+            at = np.arange(len(window)) + np.repeat(start[b] - (np.cumsum(length) - length), length)
+            nth = np.minimum(np.searchsorted(own, h[at]), len(own) - 1)
+            held = own[nth] == h[at]
+            window, at, nth = window[held], at[held], nth[held]
+            share = np.bincount(np.unique(window * len(own) + nth) // len(own), minlength=len(b)) / len(own)
+            enough = np.flatnonzero(share >= containment)
+            if not len(enough):
+                continue
+            first = at[np.searchsorted(window, enough)]
+            d = doc[start[b[enough]]]
+            lead = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            yield d[lead], name, np.maximum.reduceat(share[enough], lead), place[np.minimum.reduceat(first, lead)]
+
+
+def pack(folder: str | Path = FOLDER) -> dict[str, str]:
+    """Templates from a folder of whole licence texts, a <name>.txt each: few files, read on the driver that hashes them."""
+    return {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.txt"))}
+
+
+def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, containment: float = 0.75, certainty: float = 0.999, size: int = 5, key: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:
     """key, license, containment, first_word: a row for each document and template it holds; no shuffle.
 
     Words are lower-cased (A-Z) and stripped of ASCII punctuation at their edges. containment is the largest share of the
     template's shingles inside one window, first_word where (in words) the first such window's match begins. Whole texts;
-    null, empty and shorter texts hold nothing; templates under `size` words raise. Repeated rows each give their rows; an
-    empty table gives an empty result. The templates are a parameter that every task holds, not data.
+    null, empty and shorter texts hold nothing; templates under `size` words raise. Repeated rows each give their rows, a
+    text that repeats a notice gives one; an empty table gives an empty result. The templates (notices, short texts and the
+    pack of whole licences, unless given) are a parameter that every task holds, not data.
     """
+    templates = TEMPLATES | TEXTS | pack() if templates is None else templates
     sets = {n: _shingles(t, size) for n, t in templates.items()}
     if not all(len(s) for s in sets.values()):
         raise ValueError(f"templates need at least {size} words")
@@ -117,14 +141,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES | TEXTS, cont
                 if not len(h):
                     continue
                 place = np.arange(len(h)) - np.searchsorted(doc, doc)
-                best: dict[tuple[int, str], tuple[float, int]] = {}
-                for b in bands:
-                    for d, name, share, at in b.find(h, doc, place, containment):
-                        old = best.get((d, name))
-                        best[d, name] = (max(share, old[0]), min(at, old[1])) if old else (share, at)
-                if best:
-                    rows = sorted(best)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + d for d, _ in rows])), pa.array([n for _, n in rows]), pa.array([best[r][0] for r in rows]), pa.array([best[r][1] for r in rows], pa.int64())], names=["key", "license", "containment", "first_word"])
+                for d, name, share, at in (f for b in bands for f in b.find(h, doc, place, containment)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + d)), pa.array([name] * len(d)), pa.array(share), pa.array(at.astype(np.int64))], names=["key", "license", "containment", "first_word"])
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, license string, containment double, first_word long")
