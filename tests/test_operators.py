@@ -450,3 +450,23 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     io.save_model(model, f"file://{tmp_path}/m")
     io.save_model(model, f"file://{tmp_path}/m")
     assert [r.pc for r in io.load_model(f"file://{tmp_path}/m").transform(rows).collect()] == [r.pc for r in model.transform(rows).collect()]
+
+
+def test_coverage_counts_nulls_and_refuses_roles_that_differ(spark):
+    df = spark.createDataFrame([(1, None, float("nan"), "a"), (None, "x", 2.0, None), (3, "y", None, "b")], "k long, s string, x double, n string")
+    by_role, by_type = {"k": "key", "s": "feature", "x": "feature", "n": "feature"}, {"k": "linear_numeric", "s": "categorical", "x": "linear_numeric", "n": "categorical"}
+    got = {r["column"]: (r.role, r.type, r.n, r.nulls) for r in schema.coverage(df, by_role, by_type).collect()}
+    assert got == {"k": ("key", "linear_numeric", 3, 1), "s": ("feature", "categorical", 3, 1), "x": ("feature", "linear_numeric", 3, 2), "n": ("feature", "categorical", 3, 1)}
+    assert {r.nulls for r in schema.coverage(df.limit(0), by_role, by_type).collect()} == {0}
+    for wrong in ({**by_role, "z": "feature"}, {c: r for c, r in by_role.items() if c != "s"}):
+        with pytest.raises(ValueError):
+            schema.coverage(df, wrong, by_type)
+
+
+def test_lookup_of_days_that_are_no_session(spark):
+    d = dt.date(2024, 1, 1)
+    days = sessions.positions(spark.createDataFrame([(d,), (d + dt.timedelta(days=2),)], "d date"))
+    rows = spark.createDataFrame([(d, 7), (d, 7), (d + dt.timedelta(days=1), 7), (d + dt.timedelta(days=2), 7), (None, 7)], "d date, pos int")
+    got = [(r.d and (r.d - d).days, r.pos, r.is_session) for r in sessions.lookup(rows, days).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0, True), (0, 0, True), (1, None, False), (2, 1, True), (None, None, False)], key=str)
+    assert sessions.lookup(rows.limit(0), days).count() == 0 and sessions.lookup(rows, days.limit(0)).where("is_session").count() == 0

@@ -106,6 +106,18 @@ def partition(df: DataFrame, by_role: Mapping[str, str]) -> dict[str, DataFrame]
     return {role: df.select(*[c for c in df.columns if by_role[c] == role]) for role in sorted(set(by_role.values()))}
 
 
+def coverage(df: DataFrame, by_role: Mapping[str, str], by_type: Mapping[str, str]) -> DataFrame:
+    """(column, role, type, n, nulls) of every column, counted in one pass that hands on a row a task; NaN counts as null. Roles or
+    types that don't cover df's columns raise."""
+    for spec in (by_role, by_type):
+        partition(df, spec)
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType)}
+    empty = lambda c: F.col(c).isNull() | F.isnan(c) if c in floating else F.col(c).isNull()
+    counts = df.agg(F.count("*").alias("n"), *[F.count_if(empty(c)).alias(f"c{k}") for k, c in enumerate(df.columns)])
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(by_role[c]).alias("role"), F.lit(by_type[c]).alias("type"), F.col("n"), F.col(f"c{k}").alias("nulls")) for k, c in enumerate(df.columns)]
+    return counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
 def pairs(columns: Sequence[str], names: Sequence[str], suffix: str = "dist") -> list[tuple[str, str, str]]:
     """(column, a, b) of columns named a_b_suffix with a and b among the names."""
     one = "|".join(map(re.escape, sorted(names)))

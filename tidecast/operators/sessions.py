@@ -60,6 +60,14 @@ def position_of(sessions: DataFrame, date: str) -> int:
     return row["pos"]
 
 
+def lookup(df: DataFrame, sessions: DataFrame, key: str = "d") -> DataFrame:
+    """df with pos and is_session of each row's day: null and false where the day is no session, or null. Sessions hold a row a day,
+    so Spark broadcasts them by their size."""
+    seen = sessions.select(F.col("d").alias("_day"), F.col("pos").alias("_pos"))
+    kept = df.drop("pos", "is_session")
+    return kept.join(seen, F.col(key) == F.col("_day"), "left").select(*kept.columns, F.col("_pos").alias("pos"), F.col("_pos").isNotNull().alias("is_session"))
+
+
 def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, value: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """left with the value of the first right row at or after it, null where there is none.
 

@@ -852,4 +852,4 @@ def order_cube(spark, sf):
     return rows.cube("n_regionkey", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-from . import audits, learned, ordered  # noqa: E402, F401  they register their queries here
+from . import audits, learned, ordered, records  # noqa: E402, F401  they register their queries here
