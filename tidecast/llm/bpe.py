@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .words import give_back
+
 #: Bytes of a batch that are turned into Python strings at a time.
 SLICE_BYTES = 4 << 20
 #: Bytes above which a pre-token is merged alone.
@@ -289,7 +291,10 @@ def _over(docs: DataFrame, key: str, text: str, row: Callable, fields: list[tupl
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *arrays], names=["key", *(f[0] for f in fields)])
                     at += len(texts)
         finally:
+            batch = texts = rows = arrays = None
+            tool.kept = {}
             gc.enable()
+            give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in fields))

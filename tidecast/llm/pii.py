@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .words import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the contract. Look-behinds and possessive repeats keep the leftmost matches and make each scan linear.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -353,6 +355,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float
                     counts[KINDS.index(k), i] += 1
                 base[i], spans[i], more[i] = _write(found), _write(_merge(found, added)), len(added)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(more)], names=names)
+        batch = column = None
+        give_back()
 
     names = ["key", *(f"n_{k}" for k in KINDS), "base", "spans", "n_added"]
     kind = docs.schema[key].dataType.simpleString()
@@ -374,5 +378,7 @@ def redact(docs: DataFrame, text: str = "text", margin: float = 2.0) -> DataFram
                 values[hit] = True
                 column = pc.replace_with_mask(column, pa.array(values), pa.array([rest[int(i)] for i in hit], column.type))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], schema=batch.schema)
+        batch = column = rest = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

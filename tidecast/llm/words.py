@@ -6,6 +6,7 @@ table modulo 2**64 followed by a finalizer. A document's words, and the windows
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,6 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)  # glibc has it
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a Python worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def _make_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
@@ -67,7 +77,7 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
     del column, data, offsets, raw, off
-    pa.default_memory_pool().release_unused()  # a worker lives on between stages
+    give_back()
 
 
 class Words:
