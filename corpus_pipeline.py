@@ -10,6 +10,8 @@ from tidecast.llm import bpe, jaccard, mixing, pii, quality
 from tidecast.llm.common import Scratch, table, with_ids
 from tidecast.llm.queries import ratings
 
+#: Bytes of texts that Spark hands to a Python worker at a time, in this session from the first stage on.
+BATCH_BYTES = "8m"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -19,6 +21,7 @@ def grade_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are graded by the thresholds alone, rows that repeat count each, an empty table stays empty, and
     columns other than those of documents go.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     model = quality.train(docs, ratings(table(spark, sf_dir, "labels")), levels=3)
     return quality.grade(docs.select(COLUMNS), model, least=2, keep_columns=True).where("kept").select(COLUMNS)
 
