@@ -56,6 +56,16 @@ def test_query_without_sql_gives_rows(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
+@pytest.mark.parametrize("name", ["signed_separation"])
+def test_angles_at_the_wrap_and_at_bin_edges_equal_sql(spark, tmp_path, name):
+    """Prices that lie whole bins from their quantity's angle: the last bit decides between 0 and 360 and between bins."""
+    lines = [(k, 1, k, cents / 100, float(q), 0.0, "N") for k, (cents, q) in enumerate((c, q) for c in range(90240, 150000, 120) for q in (2, 4, 29, 36, 37, 42))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert table(catalogue.queries()[name](spark, str(tmp_path)).toPandas()) == table(con.execute(catalogue.oracle_sql()[name]).df())
+
+
 def test_pruned_units_vif_and_components_equal_numpy(spark, data):
     """The three queries that SQL can't say, against NumPy over the whole tables."""
     li = pd.read_parquet(f"{data}/lineitem.parquet", columns=["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).astype(float)

@@ -11,8 +11,9 @@ MONDAY_FIRST = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
 def modulo(x: Column, period: float) -> Column:
-    """Floored modulo in [0, period); Spark's % keeps the sign."""
-    return F.pmod(x, F.lit(float(period)))
+    """Floored modulo in [0, period); Spark's % keeps the sign. Rounds like the SQL form, as bins and the wrap to 0 hang on the last bit."""
+    p = F.lit(float(period))
+    return (x % p + p) % p
 
 
 def sin_cos(x: Column, period: float, origin: float = 0.0) -> tuple[Column, Column]:
