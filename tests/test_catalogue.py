@@ -56,7 +56,7 @@ def test_query_without_sql_gives_rows(spark, data, name):
     assert catalogue.queries()[name](spark, data).count() > 0
 
 
-@pytest.mark.parametrize("name", ["signed_separation"])
+@pytest.mark.parametrize("name", ["signed_separation", "tithy_bin"])
 def test_angles_at_the_wrap_and_at_bin_edges_equal_sql(spark, tmp_path, name):
     """Prices that lie whole bins from their quantity's angle: the last bit decides between 0 and 360 and between bins."""
     lines = [(k, 1, k, cents / 100, float(q), 0.0, "N") for k, (cents, q) in enumerate((c, q) for c in range(90240, 150000, 120) for q in (2, 4, 29, 36, 37, 42))]
