@@ -84,6 +84,19 @@ def test_cut_points_follow_a_skewed_order(spark):
     assert R.dealt(df.limit(0), ["t", "id"]).count() == 0 == R.running(df.limit(0), ["t", "id"], {"n": ("count", "id")}).count()
 
 
+def test_cut_points_of_few_values_and_a_hot_place_spread_an_asof_join(spark, monkeypatch):
+    """Three days hold all rows, and one of them nearly all: no task may get more than a few ranges' share."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, F.col("id") % 3).otherwise(1).cast("int").alias("t"), "id")
+    assert len(R.cut_points(df.select("t"), ["t"], 16)) >= 1
+    seen = []
+    monkeypatch.setattr(R, "dealt", lambda *a, f=R.dealt, **k: seen.append(f(*a, **k)) or seen[-1])
+    right = spark.createDataFrame([(1, 7), (1, 5), (2, None), (2, 9)] * 500, "u int, v int")
+    got = R.asof_forward(df, right, "t", "u", "v", ranges=16).groupBy("t", "v").count().collect()
+    assert sorted((r.t, r.v) for r in got) == [(0, 5), (1, 5), (2, 9)] and sum(r["count"] for r in got) == 20_000
+    counts = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(counts) >= 14 and max(counts) < 2.5 * 20_000 / 16
+
+
 def test_plans_have_no_single_task(spark, capsys):
     df, _ = series(spark)
     frames = [R.running(df, ["t", "k"], {"n": ("count", "k"), "m": ("ahead_min", "k")}, ranges=8), R.over_halo(df, ["t", "k"], {"p": lambda w: F.lag("k").over(w)}, 1, ranges=8), R.asof_forward(df.select("t", "k"), df.select(F.col("t").alias("u"), "v"), "t", "u", "v", ranges=8)]

@@ -20,15 +20,15 @@ RANGES, MOST, ROWS, SAMPLED = 64, 4096, 1_000_000, 64
 
 
 def cut_points(df: DataFrame, order: Sequence[str], ranges: int | None = None, sampled: int = SAMPLED) -> list:
-    """At most ranges - 1 ascending values of the order, as rows: about `sampled` a range are drawn by hash (twice that at most, so
-    524,288 rows of the order reach the driver at MOST ranges). Without `ranges` their number follows that of the rows."""
+    """At most ranges - 1 ascending values of the order, as rows: about `sampled` rows a range are drawn (twice that at most, so
+    524,288 rows of the order reach the driver at MOST ranges). Rows are drawn, not values, as a few values may hold all rows.
+    Without `ranges` their number follows that of the rows."""
     n = df.count()
     ranges = ranges or max(RANGES, min(MOST, n // ROWS))
-    place = F.xxhash64(*order)
-    drawn = df.select(*order).where(F.pmod(place, F.lit(1 << 40)) < F.lit(min(1 << 40, int((1 << 40) * sampled * ranges / max(1, n)) + 1)))
-    rows = drawn.distinct().orderBy(*order).limit(2 * sampled * ranges).collect()
+    drawn = df.select(*order).sample(fraction=min(1.0, sampled * ranges / max(1, n)), seed=1)
+    rows = drawn.orderBy(*order).limit(2 * sampled * ranges).collect()
     at = sorted({len(rows) * k // ranges for k in range(1, ranges)} - {0})
-    return [rows[k] for k in at]
+    return list(dict.fromkeys(rows[k] for k in at))
 
 
 def range_of(order: Sequence[str], cuts: list, schema) -> Column:
@@ -166,12 +166,14 @@ def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     there is none; both sides large. They meet in common ranges; where a range has no right row left, the next range that has
     one gives its first. A null place has no right row."""
     by = list(partition_by)
-    tagged = left.select("*", F.col(left_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
+    tagged = left.select("*", F.col(left_on).alias("_at"), F.rand(71).alias("_tie"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
+    # one right row a place (and another seed than the sample, else only small ties are drawn); left rows of one place are dealt over as many ranges as they fill, the right row is in the last of them
+    least = F.min(F.struct(F.col(value).isNull().alias("_none"), F.col(value).alias("_value"))).alias("_least")
+    places = right.where(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).alias("_at")).agg(least)
     fill = [F.col(c) if c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
-    other = right.where(F.col(right_on).isNotNull()).select(*fill, F.col(right_on).alias("_at"), F.lit(1).alias("_side"), F.col(value).alias("_value"))
-    both = tagged.unionByName(other)
-    cuts = cut_points(both.where("_at IS NOT NULL").select("_at"), ["_at"], ranges)
-    rows = dealt(both, ["_at"], cuts=cuts)
+    both = tagged.unionByName(places.select(*fill, "_at", F.lit(1.0).alias("_tie"), F.lit(1).alias("_side"), "_least._value"))
+    cuts = cut_points(both.select("_at", "_tie"), ["_at", "_tie"], ranges)
+    rows = dealt(both, ["_at", "_tie"], cuts=cuts)
     ahead = Window.partitionBy(*by, "_range").orderBy(F.col("_at").desc_nulls_last(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
     # backwards, right rows of a place come before left ones; what counts is the nearest place, then the least value
     near = F.min(F.when(F.col("_side") == 1, F.struct("_at", F.col("_value").isNull().alias("_none"), "_value"))).over(ahead)
