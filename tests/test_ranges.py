@@ -97,6 +97,24 @@ def test_cut_points_of_few_values_and_a_hot_place_spread_an_asof_join(spark, mon
     assert len(counts) >= 14 and max(counts) < 2.5 * 20_000 / 16
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "float", "decimal(12,2)", "date", "timestamp", "timestamp_ntz", "string"])
+def test_ranges_of_any_first_column_follow_the_order(spark, kind):
+    """Nulls, NaN, infinities, signed zeros and values whose doubles are equal; every row's range is the number of cuts up to it."""
+    rng = random.Random(5)
+    odd = {"double": ["NaN", "Infinity", "-Infinity", "-0.0", "0.0"], "float": ["NaN", "-Infinity", "0.0"], "bigint": [str(2**53 + k) for k in range(4)]}.get(kind, [])
+    moment = lambda: f"20{rng.randrange(10, 13)}-03-31 02:30:00.00000{rng.randrange(9)}"
+    plain = {"date": lambda: f"20{rng.randrange(10, 40)}-03-31", "timestamp": moment, "timestamp_ntz": moment}.get(kind, lambda: str(rng.randrange(40)))
+    rows = [(rng.choice([None, *odd, *[plain() for _ in range(9)]]), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "s string, k int").select(F.col("s").cast(kind).alias("t"), "k").repartition(3)
+    cuts = R.cut_points(df, ["t", "k"], 24)
+    assert len(cuts) == 23
+    got = R.dealt(df, ["t", "k"], cuts=cuts)
+    assert got.columns == ["t", "k", "_range"]
+    ordered = [r._range for r in got.orderBy("t", "k").collect()]
+    assert ordered == sorted(ordered) and len(set(ordered)) == 24
+    assert got.exceptAll(df.withColumn("_range", R.range_of(["t", "k"], cuts, df.schema))).count() == 0
+
+
 def test_plans_have_no_single_task(spark, capsys):
     df, _ = series(spark)
     frames = [R.running(df, ["t", "k"], {"n": ("count", "k"), "m": ("ahead_min", "k")}, ranges=8), R.over_halo(df, ["t", "k"], {"p": lambda w: F.lag("k").over(w)}, 1, ranges=8), R.asof_forward(df.select("t", "k"), df.select(F.col("t").alias("u"), "v"), "t", "u", "v", ranges=8)]

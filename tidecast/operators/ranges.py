@@ -8,10 +8,14 @@ a row a range, joined with the ranges after it, so nothing passes through one ta
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import Saved
 
@@ -31,24 +35,69 @@ def cut_points(df: DataFrame, order: Sequence[str], ranges: int | None = None, s
     return list(dict.fromkeys(rows[k] for k in at))
 
 
-def range_of(order: Sequence[str], cuts: list, schema) -> Column:
+def _cells(order: Sequence[str], cuts: list, schema: T.StructType) -> Column:
+    """An array of cut points, with nullable fields as in the table, or each comparison would cast its struct."""
+    kind = T.StructType([T.StructField(c, schema[c].dataType) for c in order])
+    return F.array(*[F.struct(*[F.lit(v).cast(schema[c].dataType).alias(c) for c, v in zip(order, row, strict=True)]) for row in cuts]).cast(T.ArrayType(kind))
+
+
+def range_of(order: Sequence[str], cuts: list, schema: T.StructType) -> Column:
     """How many cut points the row's order reaches: coarse cuts first, then the fine ones between two of them."""
     if not cuts:
         return F.lit(0)
-    cell = lambda row: F.struct(*[F.lit(v).cast(schema[c].dataType).alias(c) for c, v in zip(order, row, strict=True)])
     step = max(1, int(len(cuts) ** 0.5))
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
     mine = F.struct(*[F.col(c).alias(c) for c in order])
     reached = lambda block: F.size(F.filter(block, lambda x: x <= mine))
-    coarse = reached(F.array(*[cell(b[0]) for b in blocks]))
-    fine = F.element_at(F.array(*[F.array(*[cell(r) for r in b]) for b in blocks]), F.greatest(coarse, F.lit(1)))
+    coarse = reached(_cells(order, [b[0] for b in blocks], schema))
+    fine = F.element_at(F.array(*[_cells(order, b, schema) for b in blocks]), F.greatest(coarse, F.lit(1)))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + reached(fine)).cast("int")
 
 
+def _image(c: Column, kind: T.DataType) -> Column | None:
+    """A finite double that never falls as the column rises, null lowest and NaN highest; None for kinds without one."""
+    if isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.TimestampNTZType):  # whole seconds: a cast would go through the session's time zone, whose clock turns back
+        c = F.unix_date(F.to_date(c)) * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
+    elif not isinstance(kind, T.NumericType):
+        return None
+    most = F.lit(sys.float_info.max)
+    return F.greatest(-most, F.least(most, F.coalesce(F.nanvl(c.cast("double"), most), -most))) + F.lit(0.0)
+
+
 def dealt(df: DataFrame, order: Sequence[str], ranges: int | None = None, cuts: list | None = None) -> DataFrame:
-    """df with _range; nulls come first, as in an ascending sort."""
+    """df with _range; nulls come first, as in an ascending sort.
+
+    The first column's image is searched among those of the cuts, and only rows that tie with a cut there compare whole orders.
+    Where the first column can't tell most cuts apart, all rows do.
+    """
     order = list(order)
-    return df.withColumn("_range", range_of(order, cut_points(df, order, ranges) if cuts is None else cuts, df.schema))
+    cuts = cut_points(df, order, ranges) if cuts is None else cuts
+    kind = df.schema[order[0]].dataType
+    if not cuts or _image(F.col(order[0]), kind) is None:
+        return df.withColumn("_range", range_of(order, cuts, df.schema))
+    firsts = list(dict.fromkeys(r[0] for r in cuts))
+    values = df.sparkSession.createDataFrame([(v,) for v in firsts], T.StructType([T.StructField("v", kind)]))
+    images = [r[0] for r in values.select(_image(F.col("v"), kind)).collect()]
+    at, groups = dict(zip(firsts, images, strict=True)), {}
+    for r in cuts:
+        groups.setdefault(at[r[0]], []).append(r)
+    if max(map(len, groups.values())) > 2 * len(cuts) ** 0.5:
+        return df.withColumn("_range", range_of(order, cuts, df.schema))
+    splits, before = list(groups), [0]
+    for g in groups.values():
+        before.append(before[-1] + len(g))
+    found = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_image", outputCol="_found").transform(df.withColumn("_image", _image(F.col(order[0]), kind)))
+    pick = lambda values, k: F.element_at(F.array(*values), k)
+    k = F.col("_found").cast("int")
+    mine = F.struct(*[F.col(c).alias(c) for c in order])
+    tied = pick([_cells(order, g, df.schema) for g in groups.values()], k)
+    below, upto = pick(map(F.lit, before[:-1]), k), pick(map(F.lit, before), k + 1)
+    ties = (k > 0) & (pick(map(F.lit, splits), F.greatest(k, F.lit(1))) == F.col("_image"))
+    return found.select(*df.columns, F.when(ties, below + F.size(F.filter(tied, lambda x: x <= mine))).otherwise(upto).cast("int").alias("_range"))
 
 
 def _later(summary: DataFrame, by: Sequence[str], last: int, backwards: bool = False) -> DataFrame:
@@ -87,7 +136,8 @@ def running(df: DataFrame, order: Sequence[str], values: Mapping[str, tuple[str,
         mine = {n: k for n, (k, _) in values.items() if kinds[k][4] == back}
         if mine:
             carry = _later(summary, by, last, back).groupBy(*by, "_range").agg(*[kinds[k][2](f"_s_{n}").alias(f"_c_{n}") for n, k in mine.items()])
-            keys = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in [*by, "_range"]]
+            # plain equality on _range, which is never null: rows stay where the windows put them
+            keys = [*[F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in by], F.col("_l._range") == F.col("_r._range")]
             both = out.alias("_l").join(carry.alias("_r"), keys, "left")
             out = both.select("_l.*", *[f"_r._c_{n}" for n in mine])
     return out.select(*df.columns, *[kinds[k][3](F.col(f"_in_{n}"), F.col(f"_c_{n}")).alias(n) for n, (k, _) in values.items()])
@@ -180,7 +230,7 @@ def asof_forward(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     inside = rows.withColumn("_near", near)
     firsts = rows.where("_side = 1").groupBy(*by, "_range").agg(F.min(F.struct("_at", F.col("_value").isNull().alias("_none"), "_value")).alias("_first"))
     carry = _later(firsts, by, len(cuts), backwards=True).groupBy(*by, "_range").agg(F.min("_first").alias("_next"))
-    keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_range"]]
+    keys = [*[F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], F.col("l._range") == F.col("r._range")]
     out = inside.where("_side = 0").alias("l").join(carry.alias("r"), keys, "left")
     found = F.when(F.col("_at").isNotNull(), F.coalesce("_near", "_next"))
     names = [c for c in left.columns if c != value]
