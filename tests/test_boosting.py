@@ -107,6 +107,28 @@ def test_one_forest_forecasts_no_worse_than_single_target_forests(spark):
     assert shares["a"] == max(shares.values())
 
 
+def test_rows_of_the_same_bins_are_saved_once_and_count_as_often_as_they_are(spark, monkeypatch):
+    x, y = made(300)
+    rng = np.random.RandomState(2)
+    x, y = np.repeat(x, 12, 0), np.repeat(y, 12, 0) + rng.randn(3600, 3)
+    place, saved = np.tile([0] * 9 + [1] * 3, 300), []
+    rows = [(int(p), *(None if np.isnan(v) else float(v) for v in r), *map(float, t)) for p, r, t in zip(place, x, y, strict=True)]
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} double" for c in FEATURES + TARGETS)).repartition(5)
+    keep = B.Saved.save
+    monkeypatch.setattr(B.Saved, "save", lambda self, d: saved.append((out := keep(self, d)).count()) or out)
+    s = B.Setting("s", rounds=2, depth=3, rate=0.4, l2=2.0, least=10)
+    model = B.Model("m", s, (0, 0), (1, 1))
+    edges = B.fit(df, FEATURES, TARGETS, [model], bins=8)
+    assert saved[0] <= 600  # 300 different rows in two places
+    bins, train = B.to_bins(x, edges), place == 0
+    f = np.repeat(y[train].mean(0)[None], len(x), 0)
+    for k, tree in enumerate(model.trees):
+        assert model.errors[k] == pytest.approx(np.sqrt(((f - y)[~train] ** 2).mean()))
+        for node, (feature, value) in plain_tree(bins[train], (f - y)[train], s).items():
+            assert tree.feature[node] == feature and (tree.value[node] if feature < 0 else tree.gain[node]) == pytest.approx(value)
+        f += tree.value[tree.leaves(bins)]
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "i long, a double, y1 double")
     m = B.Model("m", B.Setting("s", rounds=2), (0, 9))

@@ -1,6 +1,8 @@
 """Gradient boosting with vector leaves: one tree a round for all targets, grown level by level from histograms.
 
-Features are cut into bins once, and the binned table is saved once, for all folds and settings. A level is one job for all
+Features are cut into bins once, for all folds and settings. Rows of one place with the same bins get the same forecasts from every
+tree, so they become one weighted row: how many they are, their mean targets, and the squares around these. That table is saved
+once; it has no more rows than there are combinations of bins, however long the table is. A level is one job for all
 models together: every task adds up, for each open node of each model, the gradients of all targets by (feature, bin);
 Spark sums the tasks' histograms, and each node's best split is found in a task of its own. What reaches the driver is a
 row a node. So the number of jobs is rounds times depth, whatever the number of folds and settings.
@@ -115,17 +117,25 @@ def _array(column: pa.Array, dtype: str, width: int) -> np.ndarray:
 
 
 def binned(df: DataFrame, features: Sequence[str], targets: Sequence[str], place: str, edges: list[np.ndarray]) -> DataFrame:
-    """(place, x, y): bins and targets of the rows with a place and all targets, a byte a feature."""
-    nf = len(features)
+    """(place, x, y0, y1, ..): bins and targets of the rows with a place and all targets, a byte a feature."""
+    nf, names = len(features), [f"y{t}" for t in range(len(targets))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = to_bins(_matrix(batch, range(1, nf + 1)), edges), _matrix(batch, range(nf + 1, batch.num_columns))
             keep = np.isfinite(y).all(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), _bytes(x[keep]), _bytes(y[keep])], names=["place", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), _bytes(x[keep]), *map(pa.array, y[keep].T)], names=["place", "x", *names])
 
     whole = df.where(F.col(place).isNotNull()).select(F.col(place).cast("long").alias("place"), *[F.col(c).cast("double") for c in (*features, *targets)])
-    return whole.mapInArrow(run, "place long, x binary, y binary")
+    return whole.mapInArrow(run, "place long, x binary, " + ", ".join(f"{c} double" for c in names))
+
+
+def combined(rows: DataFrame, n_targets: int) -> DataFrame:
+    """(place, x, n, spread, y0, y1, ..): a row for all rows of one place and the same bins, with their mean targets and the sum of
+    squares around these over all targets. Gradient sums and squared errors of any forecast follow from it alone."""
+    names = [f"y{t}" for t in range(n_targets)]
+    spread = sum((F.var_pop(c) for c in names), F.lit(0.0)) * F.count("*")
+    return rows.groupBy("place", "x").agg(F.count("*").cast("double").alias("n"), spread.alias("spread"), *[F.avg(c).alias(c) for c in names])
 
 
 def split_gains(n: np.ndarray, g: np.ndarray, l2: float, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +156,7 @@ def split_gains(n: np.ndarray, g: np.ndarray, l2: float, least: int) -> tuple[np
 
 
 class Fit:
-    """All models over one saved binned table."""
+    """All models over one saved table of weighted rows."""
 
     def __init__(self, table: DataFrame, models: list[Model], n_features: int, n_targets: int, n_bins: int):
         self.table, self.models, self.nf, self.nt, self.nb = table, models, n_features, n_targets, n_bins + 1
@@ -158,14 +168,14 @@ class Fit:
         def run(batches):
             n, s = np.zeros(len(spans)), np.zeros((len(spans), nt))
             for batch in batches:
-                at, y = batch.column(0).to_numpy(), _array(batch.column(1), "<f8", nt)
+                at, w, y = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch, range(4, 4 + nt))
                 for k, (lo, hi) in enumerate(spans):
                     mine = (at >= lo) & (at <= hi)
-                    n[k] += mine.sum()
-                    s[k] += y[mine].sum(0)
+                    n[k] += w[mine].sum()
+                    s[k] += w[mine] @ y[mine]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(spans)), pa.int32()), pa.array(n), *[pa.array(s[:, t]) for t in range(nt)]], names=["model", "n", *[f"s{t}" for t in range(nt)]])
 
-        parts = self.table.select("place", "y").mapInArrow(run, "model int, n double, " + ", ".join(f"s{t} double" for t in range(nt)))
+        parts = self.table.mapInArrow(run, "model int, n double, " + ", ".join(f"s{t} double" for t in range(nt)))
         for r in parts.groupBy("model").agg(F.sum("n").alias("n"), *[F.sum(f"s{t}").alias(f"s{t}") for t in range(nt)]).collect():
             self.models[r.model].base = np.array([r[f"s{t}"] / max(r.n, 1) for t in range(nt)])
 
@@ -180,19 +190,19 @@ class Fit:
             errors = np.zeros((len(models), 2))
             offset = np.arange(nf) * nb
             for batch in batches:
-                at, x, y = batch.column(0).to_numpy(), _array(batch.column(1), "u1", nf), _array(batch.column(2), "<f8", nt)
+                at, x, w, spread, y = batch.column(0).to_numpy(), _array(batch.column(1), "u1", nf), batch.column(2).to_numpy(), batch.column(3).to_numpy(), _matrix(batch, range(4, 4 + nt))
                 for k, (m, tree) in enumerate(zip(models, trees, strict=True)):
                     mine = np.flatnonzero((at >= m.train[0]) & (at <= m.train[1]))
                     node = tree.leaves(x[mine]) - first
                     mine, node = mine[node >= 0], node[node >= 0]  # a leaf further up takes no more splits
-                    grad = m.base + m.raw(x[mine], m.trees) - y[mine]
+                    grad = w[mine, None] * (m.base + m.raw(x[mine], m.trees) - y[mine])
                     cell = (node[:, None] * (nf * nb) + offset + x[mine]).ravel()
-                    hist[k, :, 0] += np.bincount(cell, minlength=hist.shape[1])
+                    hist[k, :, 0] += np.bincount(cell, np.repeat(w[mine], nf), hist.shape[1])
                     for t in range(nt):
                         hist[k, :, t + 1] += np.bincount(cell, np.repeat(grad[:, t], nf), hist.shape[1])
                     if level == 0 and m.val:
                         held = np.flatnonzero((at >= m.val[0]) & (at <= m.val[1]))
-                        errors[k] += ((m.base + m.raw(x[held], m.trees) - y[held]) ** 2).sum(), len(held) * nt
+                        errors[k] += w[held] @ ((m.base + m.raw(x[held], m.trees) - y[held]) ** 2).sum(1) + spread[held].sum(), w[held].sum() * nt
             k, cell = np.nonzero(hist[:, :, 0])
             columns = [k, first + cell // (nf * nb), cell // nb % nf, cell % nb, *hist[k, cell].T]
             extra = [np.flatnonzero(errors[:, 1]), *([np.full((errors[:, 1] > 0).sum(), -1)] * 3), errors[errors[:, 1] > 0, 1], errors[errors[:, 1] > 0, 0], *([np.zeros((errors[:, 1] > 0).sum())] * (nt - 1))]
@@ -231,10 +241,10 @@ class Fit:
         def run(batches):
             errors = np.zeros((len(last), 2))
             for batch in batches:
-                at, x, y = batch.column(0).to_numpy(), _array(batch.column(1), "u1", nf), _array(batch.column(2), "<f8", nt)
+                at, x, w, spread, y = batch.column(0).to_numpy(), _array(batch.column(1), "u1", nf), batch.column(2).to_numpy(), batch.column(3).to_numpy(), _matrix(batch, range(4, 4 + nt))
                 for k, m in enumerate(last):
                     held = np.flatnonzero((at >= m.val[0]) & (at <= m.val[1]))
-                    errors[k] += ((m.base + m.raw(x[held], m.trees) - y[held]) ** 2).sum(), len(held) * nt
+                    errors[k] += w[held] @ ((m.base + m.raw(x[held], m.trees) - y[held]) ** 2).sum(1) + spread[held].sum(), w[held].sum() * nt
             yield pa.RecordBatch.from_arrays([pa.array(range(len(last)), pa.int32()), pa.array(errors[:, 0]), pa.array(errors[:, 1])], names=["model", "e", "n"])
 
         if last:
@@ -277,7 +287,7 @@ def fit(df: DataFrame, features: Sequence[str], targets: Sequence[str], models:
         for m in models:
             inside = inside | F.col(place).between(*m.train)
         edges = bin_edges(df.where(inside), features, bins)
-    table = own.save(binned(df, features, targets, place, edges))
+    table = own.save(combined(binned(df, features, targets, place, edges), len(targets)))
     run = Fit(table, models, len(features), len(targets), bins)
     for m in models:
         m.base = np.zeros(len(targets))
