@@ -110,6 +110,7 @@ def test_ranges_of_any_first_column_follow_the_order(spark, kind):
     assert len(cuts) == 23
     got = R.dealt(df, ["t", "k"], cuts=cuts)
     assert got.columns == ["t", "k", "_range"]
+    assert kind not in ("int", "date") or "bucketizer" in got._jdf.queryExecution().toString()  # not an array walked by every row
     ordered = [r._range for r in got.orderBy("t", "k").collect()]
     assert ordered == sorted(ordered) and len(set(ordered)) == 24
     assert got.exceptAll(df.withColumn("_range", R.range_of(["t", "k"], cuts, df.schema))).count() == 0
