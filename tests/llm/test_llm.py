@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidecast.llm import bpe, hosts, jaccard, licenses, mixing, neighbours, pii, quality, rollups, words
 from tidecast.llm import queries as llm_queries
+from tidecast.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, n int"
 LONG = "word " * 30_000
@@ -607,6 +608,31 @@ def test_crowded_regions_end_level_by_level(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_seeds_are_grouped_by_parts_and_whole_sets_stay_where_they_are(spark, monkeypatch):
+    """No step shuffles all seeds at once, and pairs that fit a broadcast meet the whole sets without a sort of these; the links stay."""
+    rows, shared, plans, save = copies(jaccard.LEAF), [], [], Scratch.save
+
+    def noted(self, df, name="t"):
+        if name == "verified":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = save(self, df, name)
+        if name == "regions" and "seed" in out.columns:
+            shared.append({r.seed for r in out.select("seed").collect()})
+        return out
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard.near_duplicates(docs_frame(spark, [(k, t, "a") for k, t in rows])).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    every = set().union(*shared)
+    assert sum(map(len, shared)) == len(every) > 100 and max(map(len, shared)) < 0.65 * len(every)
+    assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
 def test_near_duplicates_of_repeated_keys(spark):
     """Rows of one key and different texts are documents of their own; each gets the smallest key that it reaches."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")

@@ -25,6 +25,7 @@ texts where they are needed, as they are larger than the texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, with_ids
+from .common import BROADCAST_IDS, Scratch, components, with_ids
 from .words import Words, chunks, lists, shingles
 
 #: Documents that the region of a seed has at most to be a leaf.
@@ -40,6 +41,9 @@ LEAF = 8
 #: Every document's seeds hold all its shingles up to this one, 30 % of all hashes and a little more than the prefix rule
 #: asks for, so that what a document adds later can only meet what others hold beyond it.
 BOUND = int(0.3 * (1 << 64))  # of unsigned hashes, as which shingles are sorted
+#: Parts of all seeds, by hash, that are grouped one after the other: only one part's shuffle lies on disk, for one more pass
+#: over the texts a part.
+PARTS = 2
 #: Pivots of a region at the first level, and how many times as many each next level has.
 PIVOTS, MORE = 4, 16
 #: Shingles that the sets of one side of a verification may have together to be broadcast (8 bytes each).
@@ -115,16 +119,18 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Saved pairs (a, b) and their further columns with n_a, n_b, the exact intersection size inter, and `in`: they link."""
-        keep, save = self.scratch, self.scratch.save
-        ids = save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        drop, save = self.scratch.drop, self.scratch.save
+        firsts, seconds = (save(pairs.select(F.col(s).alias("id")).distinct(), "ids") for s in "ab")
+        ids = save(firsts.union(seconds).distinct(), "ids")
         whole = save(whole_sets(with_ids(self.texts, ids, "id"), self.size), "whole")
-        left = whole.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+        left, right = (with_ids(whole, side, "id") for side in (firsts, seconds))  # small id tables meet the sets, which stay where they are
         few = (left.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
-        left, right = (side.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s, side in (("a", left), ("b", whole)))
-        both = pairs.join(right, "b").join(F.broadcast(left) if few else left, "a")
+        left, right = (side.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s, side in (("a", left), ("b", right)))
+        both = right.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs, "b").join(F.broadcast(left) if few else left, "a")
         both = both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("inter"))
         out = save(both.withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), self.percent)), "verified")
-        keep.drop(ids), keep.drop(whole)
+        for t in (firsts, seconds, ids, whole):
+            drop(t)
         return out
 
     # --- step 1 ---
@@ -136,11 +142,13 @@ class Join:
         need = _least(F.col("n"), self.percent)
         reach = save(self.sizes.select("id", "n", "low", F.greatest("low", need).alias("w")), "reach")
         index = self._prefixes()
-        regions = save(index.groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions")
+        grouped = [save(self._prefixes(p).groupBy("seed").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).where("k > 1"), "regions") for p in range(PARTS)]
+        regions = reduce(DataFrame.unionByName, grouped)
         many = save(regions.where("k > 2").select("seed", "k"), "many")
         twos = regions.where("k = 2").select("seed", "k", F.explode(F.array("a", "b")).alias("id"))
         members = save(with_ids(index, many, "seed", "inner").select("seed", "k", "id").unionByName(twos), "members")
-        drop(regions), drop(many)
+        for t in (*grouped, many):
+            drop(t)
         # what documents reach beyond BOUND, where only few meet
         far = save(reach.where("w > low").select("id", F.col("low").alias("lo"), F.col("w").alias("hi")), "far")
         beyond = save(ranges(with_ids(self.texts, far, "id", "inner"), self.size), "beyond")
@@ -156,20 +164,20 @@ class Join:
                 drop(grow), drop(beyond)
                 return members, now
             fresh = save(ranges(with_ids(self.texts, grow, "id", "inner"), self.size), "fresh")
-            touched = save(fresh.select("seed").distinct(), "touched")
-            both = save(with_ids(beyond, touched, "seed").unionByName(fresh), "both")
-            counts = save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
-            more = with_ids(both, counts, "seed", "inner").select("seed", "k", "id")
-            new = save(with_ids(members, touched, "seed", "left_anti").unionByName(more), "members")
             wide = save(beyond.unionByName(fresh), "beyond")
+            # all that hold a fresh seed hold it beyond BOUND; a seed of one document isn't among the members
+            both = wide.join(F.broadcast(fresh.select("seed").distinct()), "seed", "left_semi") if fresh.count() <= BROADCAST_IDS else wide
+            counts = save(both.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1"), "counts")
+            more = with_ids(wide, counts, "seed", "inner").select("seed", "k", "id")
+            new = save(with_ids(members, counts.select("seed"), "seed", "left_anti").unionByName(more), "members")
             reach = save(with_ids(reach, grow, "id", "left").select("id", "n", F.coalesce("hi", "w").alias("w")), "reach")
-            for t in (now, members, beyond, fresh, touched, both, counts, grow):
+            for t in (now, members, beyond, fresh, counts, grow):
                 drop(t)
             members, beyond = new, wide
 
-    def _prefixes(self) -> DataFrame:
-        """(id, seed) of every document's first shingles: all up to BOUND, and at least as many as the prefix rule asks for."""
-        percent = self.percent
+    def _prefixes(self, part: int | None = None) -> DataFrame:
+        """(id, seed) of every document's first shingles: all up to BOUND, and at least as many as the prefix rule asks for; of one part only, if given."""
+        percent, parts = self.percent, np.uint64(PARTS)
 
         def make(columns, s, at):
             n = np.diff(at)
@@ -177,6 +185,8 @@ class Join:
             reach = np.maximum(low, n * (100 - percent) // 100 + 1)
             row = np.repeat(np.arange(len(n)), n)
             take = np.arange(len(s)) - np.repeat(at[:-1], n) < reach[row]
+            if part is not None:
+                take &= s.view(np.uint64) % parts == part
             return [columns[0].take(pa.array(row[take])), pa.array(s[take])]
 
         return _shingled(self.texts, self.size, "id ID, seed long", make)
