@@ -121,15 +121,14 @@ class Join:
         """Saved pairs (a, b) and their further columns with n_a, n_b, the exact intersection size inter, and `in`: they link."""
         drop, save = self.scratch.drop, self.scratch.save
         firsts, seconds = (save(pairs.select(F.col(s).alias("id")).distinct(), "ids") for s in "ab")
-        ids = save(firsts.union(seconds).distinct(), "ids")
-        whole = save(whole_sets(with_ids(self.texts, ids, "id"), self.size), "whole")
+        whole = save(whole_sets(with_ids(self.texts, firsts.union(seconds), "id"), self.size), "whole")
         left, right = (with_ids(whole, side, "id") for side in (firsts, seconds))  # small id tables meet the sets, which stay where they are
         few = (left.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_SHINGLES
         left, right = (side.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}")) for s, side in (("a", left), ("b", right)))
         both = right.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs, "b").join(F.broadcast(left) if few else left, "a")
         both = both.select(*pairs.columns, "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).cast("long").alias("inter"))
         out = save(both.withColumn("in", linked(F.col("inter"), F.col("n_a"), F.col("n_b"), self.percent)), "verified")
-        for t in (firsts, seconds, ids, whole):
+        for t in (firsts, seconds, whole):
             drop(t)
         return out
 
