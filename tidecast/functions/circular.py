@@ -27,8 +27,8 @@ def signed_separation(a: Column, b: Column) -> Column:
 
 
 def circular_distance(a: Column, b: Column) -> Column:
-    """Shortest way round, in [0, 180]."""
-    d = modulo(F.abs(a - b), 360)
+    """Shortest way round, in [0, 180]; differences below 360 are taken as they are, to the last bit."""
+    d = F.abs(a - b) % F.lit(360.0)
     return F.least(d, 360 - d)
 
 
