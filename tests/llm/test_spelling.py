@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from tidecast.llm import queries, spelling
+from tidecast.llm.common import Scratch
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
@@ -94,3 +95,17 @@ def test_candidates_stay_near_the_number_of_pairs(spark, data):
     meetings = sum(len(a) * (len(a) - 1) // 2 + len(a) * len(b) for a, b in held.values())
     n = words.count()
     assert meetings < 0.02 * n * n / 2 and max(len(a) + len(b) for a, b in held.values()) < 0.1 * n
+
+
+def test_no_join_broadcasts_by_a_guessed_size(spark, data):
+    """Keyed words are many times the saved words from which Spark takes their size, so the driver would hold them all."""
+    plans = []
+
+    class Seen(Scratch):
+        def save(self, df, name="t"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    out = spelling.variants(spark.read.parquet(f"{data}/documents.parquet"), scratch=Seen(spark, "seen"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]

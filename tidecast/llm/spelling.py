@@ -43,6 +43,12 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int =
     return runs.select(word.alias("word")).where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def met(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a joined with b by a shuffle of both. No side is broadcast by its guessed size: a saved table's is that of packed Parquet, and
+    that of keyed words is taken from the words alone, of which each has some twenty keys."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def bigram_order(vocabulary: DataFrame) -> dict[str, int]:
     """Place of each bigram, rarest first, ties by code points. Bigrams of letters are few (at most 90 * 90), whatever the input."""
     grams = vocabulary.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("gram"))
@@ -85,8 +91,8 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     # a word meets its own kind, and the longer words of one more code point; few keys have anybody to meet
     x = keyed.where("NOT longer").select("key", F.col("word").alias("x"))
     y = keyed.select("key", "longer", F.col("word").alias("y"))
-    met = x.join(y, "key").where((F.col("longer") & (F.length("y") == F.length("x") + 1)) | (~F.col("longer") & (F.length("x") == F.length("y")) & (F.col("x") < F.col("y"))))
-    near = met.where(F.levenshtein("x", "y", 1) == 1)
+    pairs = met(x, y, "key").where((F.col("longer") & (F.length("y") == F.length("x") + 1)) | (~F.col("longer") & (F.length("x") == F.length("y")) & (F.col("x") < F.col("y"))))
+    near = pairs.where(F.levenshtein("x", "y", 1) == 1)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -95,7 +101,7 @@ def roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = scratch.save(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = scratch.save(met(now, on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         scratch.drop(now)
         now = new
         if not now.where("moved").limit(1).count():
@@ -114,9 +120,9 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", every: in
     pairs = own.save(near_pairs(vocabulary), "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
     # (-n, word) is smallest for the near word of largest n that comes first
-    told = both.join(vocabulary.select(F.col("word").alias("other"), F.col("n").alias("m")), "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("top"))
-    out = vocabulary.join(told, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("top.m") >= ratio * F.col("n"), F.col("top")).alias("top"))
+    told = met(both, vocabulary.select(F.col("word").alias("other"), F.col("n").alias("m")), "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("top"))
+    out = met(vocabulary, told, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("top.m") >= ratio * F.col("n"), F.col("top")).alias("top"))
     out = own.save(out.select("word", F.col("top.other").alias("form"), "n", "n_near", (-F.col("top.m")).alias("form_n")), "forms")
     ends = roots(out.where("form IS NOT NULL").select("word", "form"), own)
     own.drop(vocabulary), own.drop(pairs)
-    return out.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return met(out, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
