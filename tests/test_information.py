@@ -55,3 +55,29 @@ def test_odd_rows(spark):
     constant = spark.createDataFrame([(1.0, float(k)) for k in range(9)], "x double, y double")
     assert [r.mi for r in I.neighbour_information(constant, ["x"], "y").collect()] == [None] == [r.mi for r in I.neighbour_information(df.limit(0), ["x"], "y").collect()]
     assert math.isclose(spark.range(1, 40).select(I.digamma(I.F.col("id")).alias("p")).agg({"p": "sum"}).first()[0], psi(range(1, 40)).sum(), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("shape", ["spread", "lines", "clumps"])
+def test_a_large_leaf_compares_few_of_its_pairs(monkeypatch, shape):
+    """Leaves grow with the table once there are most of them: their work must not grow with the square of their points."""
+    rng, n, seen = np.random.RandomState(6), 20_000, [0]
+    wide = {"spread": rng.randint(0, 1 << 26, (n, 2)), "lines": np.stack([rng.randint(0, 11, n) << 22, rng.randint(0, 1 << 24, n)], 1), "clumps": np.round(rng.standard_cauchy((n, 2)) * 1000).astype(np.int64)}
+    p = np.unique(wide[shape], axis=0)
+    own = np.where(rng.rand(len(p)) < 0.1, rng.randint(1, 6, len(p)), 1)
+
+    class Seen(I.Cells):
+        def __init__(self, *a):
+            super().__init__(*a)
+            seen[0] += self.p.shape[0] * self.p.shape[1] ** 2
+
+        def closer(self, p, r, row, *a):
+            seen[0] += len(row) * self.p.shape[1]
+            return super().closer(p, r, row, *a)
+
+    monkeypatch.setattr(I, "Cells", Seen)
+    r, _ = I._home(p, own, 3)
+    for i in range(0, len(p), 50):
+        d = np.abs(p - p[i]).max(1)
+        others = np.sort(np.repeat(d, np.where(d == 0, own - 1, own)))
+        assert r[i] == others[2], i
+    assert seen[0] < 0.02 * len(p) ** 2

@@ -1,9 +1,11 @@
 """Mutual information of continuous columns by k nearest neighbours, counted exactly over the whole table.
 
 Both columns are divided by their deviation and put on a fine integer grid, so all distances are exact. Equal points are one
-point with a weight. A k-d tree over a bounded sample deals points to leaves of about equal size; a point finds its k nearest
-in its own leaf, and then only in the leaves that its box of that radius meets. How many values of one column lie closer
-than the k-th neighbour is a difference of two running counts along that column, taken over dealt ranges.
+point with a weight. A k-d tree over a bounded sample deals points to leaves of about equal size, and a leaf's points lie in
+small cells: a point finds its k nearest in its own cell, then in the cells of its leaf that its box of that radius meets, and
+then, if the box reaches out of the leaf, in the other leaves that it meets. How many values of one column lie closer than
+the k-th neighbour is a difference of two running counts along that column. Its values are dealt into ranges, and a point
+whose two counts lie in one range is settled there.
 """
 
 from __future__ import annotations
@@ -12,15 +14,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Saved
-from . import ranges as R
 
 GRID = 1 << 24
-#: Points of a leaf, leaves at most, and points that are sampled for each leaf (so at most 262,144 reach the driver).
-LEAF, LEAVES, SAMPLED = 1024, 16_384, 16
+#: Points of a leaf, leaves at most, and points that are sampled for each leaf (so at most 524,288 reach the driver).
+LEAF, LEAVES, SAMPLED = 8192, 16_384, 16
+#: Points of a cell in a leaf, and pairs of points that are compared at once.
+CELL, PAIRS = 32, 1 << 18
+#: Ranges of a column at least and at most, points of a range between them, and points that are sampled for each.
+RANGES, MOST, ROWS, DRAWN = 64, 4096, 131_072, 64
+FAR = np.iinfo(np.int64).max // 8
 EULER = 0.57721566490153286061
 
 
@@ -31,6 +38,12 @@ def digamma(n: Column) -> Column:
     return F.when(n <= 12, F.element_at(table, F.least(n, F.lit(12)).cast("int"))).otherwise(F.ln(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4)) - 1 / (252 * F.pow(x, 6)))
 
 
+def psi(n: np.ndarray) -> np.ndarray:
+    """digamma() of an array."""
+    table, x = np.array([0.0, *(sum(1 / i for i in range(1, k)) - EULER for k in range(1, 13))]), np.maximum(n, 1).astype(float)
+    return np.where(n <= 12, table[np.clip(n, 0, 12)], np.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4) - 1 / (252 * x**6))
+
+
 class Leaves:
     """A k-d tree: inner node n splits its wider axis at a sampled median; lo and hi are the leaves' boxes."""
 
@@ -47,7 +60,9 @@ class Leaves:
                 spread = [min((rows[:, a] <= cuts[a]).sum(), (rows[:, a] > cuts[a]).sum()) for a in (0, 1)]
                 wide = np.ptp(rows.astype(float), axis=0)
                 self.axis[node] = a = int(max((0, 1), key=lambda a: (spread[a] > 0.25 * len(rows), wide[a])))
-                self.cut[node] = cuts[a]
+                # halfway to the next value, as a box that ends at a common value is left by all its points' own boxes
+                above = rows[rows[:, a] > cuts[a], a]
+                self.cut[node] = cuts[a] + ((above.min() - cuts[a]) // 2 if len(above) else 0)
             a, c = self.axis[node], self.cut[node]
             left = rows[:, a] <= c if len(rows) else np.zeros(0, bool)
             parts[2 * node], parts[2 * node + 1] = rows[left], rows[~left]
@@ -72,29 +87,103 @@ class Leaves:
         return row, node - (1 << self.depth)
 
 
-def _nearest(p: np.ndarray, q: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distances (largest coordinate difference) and weights of the k nearest q of each p, equal points left out; -1 where there are fewer."""
-    d, m, k2 = np.full((len(p), k), -1, np.int64), np.zeros((len(p), k), np.int64), min(k, len(q))
-    for s in range(0, len(p), 256):
-        gap = np.maximum(np.abs(p[s : s + 256, None, 0] - q[None, :, 0]), np.abs(p[s : s + 256, None, 1] - q[None, :, 1]))
-        gap[gap == 0] = np.iinfo(np.int64).max
-        near = np.argpartition(gap, k2 - 1, 1)[:, :k2] if k2 < len(q) else np.tile(np.arange(len(q)), (len(gap), 1))
-        g = np.take_along_axis(gap, near, 1)
-        ok = g < np.iinfo(np.int64).max
-        d[s : s + 256, :k2], m[s : s + 256, :k2] = np.where(ok, g, -1), np.where(ok, w[near], 0)
-    return d, m
-
-
-def _radius(d: np.ndarray, m: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Distance of the k-th neighbour: own - 1 copies lie at 0, then candidates (d, m) by distance; -1 if there are fewer than k."""
-    d = np.where(d < 0, np.iinfo(np.int64).max, d)
-    order = np.argsort(d, 1, kind="stable")
-    d, m = np.take_along_axis(d, order, 1), np.take_along_axis(m, order, 1)
-    enough = (own - 1)[:, None] + np.cumsum(m, 1) >= k
-    out = np.where(enough.any(1), d[np.arange(len(d)), enough.argmax(1)], -1)
+class Cells:
+    """Points of a leaf (p, with weights w) in cells of one size, halved along the wider axis; lo and hi are the boxes of a cell's points.
+
+    The last point fills up the cells, with weight 0. `at` has the points' rows, from len(p) for those that fill up.
+    """
+
+    def __init__(self, p: np.ndarray, w: np.ndarray, size: int):
+        depth = max(0, int(np.ceil(np.log2(max(1, len(p)) / size))))
+        rows = np.arange(-(-len(p) // (1 << depth)) << depth)
+        p, w, at = p[np.minimum(rows, len(p) - 1)], np.where(rows < len(p), w[np.minimum(rows, len(p) - 1)], 0), rows[None, :]
+        for _ in range(depth):
+            axis = np.ptp(p[at], axis=1).argmax(1)
+            order = np.argsort(p[at, axis[:, None]], 1)
+            at = np.take_along_axis(at, order, 1).reshape(2 * len(at), -1)
+        self.at, self.p, self.w = at, p[at], w[at]
+        self.lo, self.hi = self.p.min(1), self.p.max(1)
+
+    def meets(self, p: np.ndarray, r: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Whether points closer than r may lie in the cell."""
+        reach = np.maximum(r - 1, -1)[..., None]
+        return ((p + reach >= self.lo[cell]) & (p - reach <= self.hi[cell])).all(-1)
+
+    def closer(self, p: np.ndarray, r: np.ndarray, row: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, distance, weight) of the k nearest of each p[row] in the cells paired with it that are closer than r; equal points left out."""
+        out = [np.zeros(0, np.int64)] * 3
+        step = max(1, PAIRS // self.p.shape[1])
+        for s in range(0, len(row), step):
+            i, c = row[s : s + step], cell[s : s + step]
+            gap = np.maximum(np.abs(p[i, 0, None] - self.p[c, :, 0]), np.abs(p[i, 1, None] - self.p[c, :, 1]))
+            a, b = np.nonzero((gap > 0) & (gap < r[i, None]) & (self.w[c] > 0))
+            out = _least(*(np.concatenate(x) for x in zip(out, (i[a], gap[a, b], self.w[c[a], b]), strict=True)), k)
+        return out
+
+
+def _least(row: np.ndarray, d: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the least d, by row and d."""
+    order = np.lexsort((d, row))
+    row, d, w = row[order], d[order], w[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], d[keep], w[keep]
+
+
+def _radius(row: np.ndarray, d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Distance of the k-th neighbour: own - 1 copies lie at 0, then entries by row and distance; -1 if there are fewer than k."""
+    upto = np.cumsum(w)
+    start = np.searchsorted(row, row)
+    reached = np.flatnonzero(own[row] - 1 + upto - (upto - w)[start] >= k)
+    first = reached[np.diff(row[reached], prepend=-1) != 0]
+    out = np.full(len(own), -1, np.int64)
+    out[row[first]] = d[first]
     return np.where(own > k, 0, out)
 
 
+def _home(p: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Radius of each point of a leaf among the leaf's points, and the (row, distance, weight) of its k nearest, by row and distance."""
+    cells = Cells(p, own, max(CELL, 4 * k))
+    count, size = cells.at.shape
+    k2, found = min(k, size), [[np.zeros(0, np.int64)] * 3]
+    step = max(1, PAIRS // size**2)
+    for s in range(0, count, step):
+        q, w = cells.p[s : s + step], cells.w[s : s + step]
+        gap = np.maximum(np.abs(q[:, :, None, 0] - q[:, None, :, 0]), np.abs(q[:, :, None, 1] - q[:, None, :, 1]))
+        gap[(gap == 0) | (w == 0)[:, None, :]] = FAR
+        near = np.argpartition(gap, k2 - 1, 2)[:, :, :k2]
+        g, w, row = np.take_along_axis(gap, near, 2), np.take_along_axis(w[:, None, :], near, 2), np.broadcast_to(cells.at[s : s + step, :, None], near.shape)
+        ok = (g < FAR) & (row < len(p))
+        found.append((row[ok], g[ok], w[ok]))
+    mine = _least(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+    r = _radius(*mine, own, k)
+    bound = np.where(r < 0, FAR, r)
+    # which cells a cell's points may reach at all, and then which of its points do
+    held = np.append(bound, np.zeros(cells.at.max() + 1 - len(p), np.int64))[cells.at]
+    most = np.maximum(held.max(1) - 1, -1)[:, None, None]
+    a, b = np.nonzero(((cells.hi[:, None] + most >= cells.lo[None]) & (cells.lo[:, None] - most <= cells.hi[None])).all(2) & ~np.eye(count, dtype=bool))
+    rows, others = [], []
+    for s in range(0, len(a), max(1, PAIRS // size)):
+        x, y = a[s : s + max(1, PAIRS // size)], b[s : s + max(1, PAIRS // size)]
+        pair, i = np.nonzero(cells.meets(cells.p[x], held[x], y[:, None]) & (held[x] > 1))
+        rows.append(cells.at[x[pair], i])
+        others.append(y[pair])
+    if rows:
+        more = cells.closer(p, bound, np.concatenate(rows), np.concatenate(others), k)
+        mine = _least(*(np.concatenate(x) for x in zip(mine, more, strict=True)), k)
+        r = _radius(*mine, own, k)
+    return r, mine
+
+
+def _two(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([t.column("x").to_numpy(), t.column("y").to_numpy()], 1)
+
+
+def _lists(n: int, row: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """Entries by row as lists of n rows."""
+    offsets = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+
 def _radii(points: DataFrame, n: int, k: int, saved: Saved) -> DataFrame:
     """(x, y, m, r) of distinct points: r is the distance of the k-th neighbour."""
     leaves = min(LEAVES, max(1, n // LEAF))
@@ -102,61 +191,126 @@ def _radii(points: DataFrame, n: int, k: int, saved: Saved) -> DataFrame:
     share = min(1.0, SAMPLED * (1 << depth) / max(1, n))
     drawn = points.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("x", "y").limit(2 * SAMPLED << depth)
     tree = Leaves(np.array([(r.x, r.y) for r in drawn.collect()], np.int64).reshape(-1, 2), depth)
-    two = lambda t: np.stack([t["x"].to_numpy(), t["y"].to_numpy()], 1)
-    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * np.int32(k)), pa.array(a.ravel()))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.of(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)))], names=["x", "y", "m", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.of(_two(b)))], names=["x", "y", "m", "leaf"])
 
     dealt = saved.save(points.select("x", "y", "m").mapInArrow(deal, "x long, y long, m long, leaf long"))
 
     def home(t: pa.Table) -> pa.Table:
-        d, m = _nearest(two(t), two(t), t["m"].to_numpy(), k)
-        return pa.table({"x": t["x"], "y": t["y"], "m": t["m"], "leaf": t["leaf"], "d": lists(d), "w": lists(m), "r": pa.array(_radius(d, m, t["m"].to_numpy(), k))})
+        p, own = _two(t), t["m"].to_numpy()
+        r, (row, d, w) = _home(p, own, k)
+        leaf, reach = t["leaf"][0].as_py(), np.maximum(r - 1, 0)[:, None]
+        opened = (r < 0) | ((p - reach < tree.lo[leaf]) | (p + reach > tree.hi[leaf])).any(1)
+        keep = opened[row]  # the others need no candidates any more
+        lists = _lists(len(p), row[keep], d[keep], w[keep])
+        return pa.table({"x": t["x"], "y": t["y"], "m": t["m"], "leaf": t["leaf"], "r": pa.array(r), "open": pa.array(opened), "d": lists[0], "w": lists[1]})
 
-    fields = "x long, y long, m long, leaf long, d array<long>, w array<long>, r long"
-    first = saved.save(dealt.groupBy("leaf").applyInArrow(home, fields))
+    first = saved.save(dealt.groupBy("leaf").applyInArrow(home, "x long, y long, m long, leaf long, r long, open boolean, d array<long>, w array<long>"))
+    asking = first.where("open")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, own, r = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1), b.column(2).to_numpy(), b.column(3).to_numpy()
-            row, leaf = tree.met(p, np.where(r < 0, np.iinfo(np.int64).max // 8, np.maximum(r - 1, -1)))
-            keep = (leaf != own[row]) & (r[row] != 0)
-            row, leaf = pa.array(row[keep]), pa.array(leaf[keep])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), leaf], names=["x", "y", "leaf"])
+            p, own, r = _two(b), b.column("leaf").to_numpy(), b.column("r").to_numpy()
+            r = np.where(r < 0, FAR, r)
+            row, leaf = tree.met(p, r - 1)
+            keep = leaf != own[row]
+            row, leaf = row[keep], leaf[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(p[row, 0]), pa.array(p[row, 1]), pa.array(r[row]), pa.array(leaf)], names=["x", "y", "r", "leaf"])
 
-    visits = first.select("x", "y", "leaf", "r").mapInArrow(others, "x long, y long, leaf long")
+    visits = asking.select("x", "y", "leaf", "r").mapInArrow(others, "x long, y long, r long, leaf long")
 
     def visit(asks: pa.Table, held: pa.Table) -> pa.Table:
-        if not len(asks) or not len(held):
-            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.int64())), "w": pa.array([], pa.list_(pa.int64()))})
-        d, m = _nearest(two(asks), two(held), held["m"].to_numpy(), k)
-        return pa.table({"x": asks["x"], "y": asks["y"], "d": lists(d), "w": lists(m)})
+        row = d = w = np.zeros(0, np.int64)
+        p = _two(asks)
+        if len(asks) and len(held):
+            cells, r = Cells(_two(held), held["m"].to_numpy(), max(CELL, 4 * k)), asks["r"].to_numpy()
+            every, step, met = np.arange(len(cells.at)), max(1, PAIRS // len(cells.at)), []
+            for s in range(0, len(p), step):
+                i, c = np.nonzero(cells.meets(p[s : s + step, None], r[s : s + step, None], every[None]))
+                met.append((i + s, c))
+            row, d, w = cells.closer(p, r, *(np.concatenate(x) for x in zip(*met, strict=True)), k)
+        some = np.unique(row)
+        lists = _lists(len(some), np.searchsorted(some, row), d, w)
+        return pa.table({"x": pa.array(p[some, 0]), "y": pa.array(p[some, 1]), "d": lists[0], "w": lists[1]})
 
     more = visits.groupBy("leaf").cogroup(dealt.groupBy("leaf")).applyInArrow(visit, "x long, y long, d array<long>, w array<long>")
-    more = more.groupBy("x", "y").agg(F.flatten(F.collect_list("d")).alias("d2"), F.flatten(F.collect_list("w")).alias("w2"))  # k for each leaf met
-    pairs = F.filter(F.arrays_zip(F.concat("d", F.coalesce("d2", F.array())).alias("d"), F.concat("w", F.coalesce("w2", F.array())).alias("w")), lambda p: p["d"] >= 0)
-    near = first.join(more, ["x", "y"], "left").select("x", "y", "m", F.array_sort(pairs).alias("near"))
+    both = asking.select("x", "y", "m", "d", "w").unionByName(more.withColumn("m", F.lit(None).cast("long")))
+    near = both.groupBy("x", "y").agg(F.max("m").alias("m"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "w")))).alias("near"))  # k for each leaf met
     # the first distance at which own copies and neighbours so far are k
-    state = F.struct((F.col("m") - 1).alias("n"), F.when(F.col("m") > k, F.lit(0).cast("long")).alias("r"))
+    state = F.struct((F.col("m") - 1).alias("n"), F.lit(None).cast("long").alias("r"))
     found = F.aggregate("near", state, lambda s, p: F.struct((s["n"] + p["w"]).alias("n"), F.coalesce(s["r"], F.when(s["n"] + p["w"] >= k, p["d"])).alias("r")))["r"]
-    return near.select("x", "y", "m", found.alias("r"))
+    out = saved.save(first.where("NOT open").select("x", "y", "m", "r").unionByName(near.select("x", "y", "m", found.alias("r"))))
+    saved.drop(dealt), saved.drop(first)
+    return out
+
 
+def _margin(points: DataFrame, axis: str, n: int, saved: Saved) -> float:
+    """Sum over all rows of psi(a + 1), where a counts the other rows whose value on the axis lies closer than r (equal ones if r is 0).
 
-def _margin(points: DataFrame, axis: str) -> Column | DataFrame:
-    """(m, n) of every point: how many rows' values on the axis lie closer than r (equal ones if r is 0), its own row left out."""
-    at = F.col(axis)
-    ends = F.array(
-        F.struct(F.when(F.col("r") == 0, at).otherwise(at + F.col("r")).alias("v"), F.when(F.col("r") == 0, 2).otherwise(0).alias("side"), F.lit(1).alias("sign")),
-        F.struct(F.when(F.col("r") == 0, at).otherwise(at - F.col("r")).alias("v"), F.when(F.col("r") == 0, 0).otherwise(2).alias("side"), F.lit(-1).alias("sign")),
-    )
-    asks = points.select("x", "y", "m", F.explode(ends).alias("e")).select("e.v", "e.side", "e.sign", "x", "y", "m", F.lit(0).cast("long").alias("weight"))
-    none = F.lit(None).cast("long")
-    values = points.groupBy(at.alias("v")).agg(F.sum("m").alias("weight")).select("v", F.lit(1).alias("side"), F.lit(0).alias("sign"), none.alias("x"), none.alias("y"), none.alias("m"), "weight")
-    order = ["v", "side", "x", "y", "sign"]
-    counted = R.running(asks.unionByName(values), order, {"upto": ("sum", "weight")})
-    return counted.where("sign <> 0").groupBy("x", "y", "m").agg((F.sum(F.col("sign") * F.col("upto")) - 1).alias("n"))
+    Cut points of a sample make ranges of about equal numbers of points. One that holds a commoner value is dealt to several
+    parts, each with all of the range's values, which are few then. Only a point whose box ends in two ranges is put together
+    from two counts and the weights of the ranges between them.
+    """
+    ranges = max(RANGES, min(MOST, n // ROWS))
+    drawn = points.select(axis).sample(fraction=min(1.0, DRAWN * ranges / max(1, n)), seed=1).limit(2 * DRAWN * ranges).collect()
+    drawn = np.sort(np.array([r[0] for r in drawn], np.int64))
+    cuts, slots = np.unique(drawn[[len(drawn) * i // ranges for i in range(1, ranges)]] if len(drawn) else drawn, return_counts=True)
+    copies = np.append(1, slots)  # parts of each range
+    base = np.append(0, np.cumsum(copies))
+    to = lambda v: np.searchsorted(cuts, v, "right")
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, at, m, r = (b.column(c).to_numpy() for c in ("x", "y", axis, "m", "r"))
+            # rows counted: those up to hi less those up to lo
+            lo, hi = np.where(r == 0, at - 1, at - r), np.where(r == 0, at, at + r - 1)
+            i, j = to(lo), to(hi)
+            mixed = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            part = lambda k: base[k] + ((mixed >> np.uint64(33)).astype(np.int64) % copies[k])
+            one, two = np.flatnonzero(i == j), np.flatnonzero(i != j)
+            row = pa.array(np.concatenate([one, two, two]))
+            none, few = [pa.nulls(len(s), pa.int64()) for s in (one, two)]
+            whole = [pa.array(v) for v in (x[two], y[two])]
+            lows = pa.concat_arrays([pa.array(lo[one]), pa.array(lo[two]), few])
+            highs = pa.concat_arrays([pa.array(hi[one]), few, pa.array(hi[two])])
+            parts = pa.array(np.concatenate([part(i)[one], part(i)[two], part(j)[two]]))
+            yield pa.RecordBatch.from_arrays([parts, lows, highs, pa.array(m).take(row), *(pa.concat_arrays([none, v, v]) for v in whole)], names=["part", "lo", "hi", "m", "x", "y"])
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = to(b.column(0).to_numpy())
+            row = np.repeat(np.arange(len(k)), copies[k])
+            part = base[k[row]] + np.arange(len(row)) - np.repeat(np.cumsum(copies[k]) - copies[k], copies[k])
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["part", "v", "weight"])
+
+    def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+        part = (asked if len(asked) else held)["part"][0].as_py()
+        v, weight = held["v"].to_numpy(), held["weight"].to_numpy()
+        order = np.argsort(v)
+        upto, v = np.append(0, np.cumsum(weight[order])), v[order]
+        under = lambda c: upto[np.searchsorted(v, c.to_numpy(), "right")]
+        here, split = asked.filter(pc.is_null(asked["x"])), asked.filter(pc.is_valid(asked["x"]))
+        high = split["hi"].is_valid().to_numpy()
+        some = np.where(high, 1, -1) * under(pc.coalesce(split["hi"], split["lo"]))
+        k = int(np.searchsorted(base, part, "right")) - 1
+        total = float((here["m"].to_numpy() * psi(under(here["hi"]) - under(here["lo"]))).sum())
+        first = lambda x, kind, rest: pa.concat_arrays([pa.array([x], kind), pa.nulls(len(split), kind) if rest is None else rest])
+        plain = {c: first(None, pa.int64(), split[c].combine_chunks()) for c in ("x", "y", "m")}
+        return pa.table({"range": pa.array(np.full(len(split) + 1, k)), **plain, "n": first(None, pa.int64(), pa.array(some)), "sign": first(None, pa.int64(), pa.array(np.where(high, 1, -1))), "weight": first(int(upto[-1]) if part == base[k] else 0, pa.int64(), None), "psi": first(total, pa.float64(), None)})
+
+    asked = points.select("x", "y", "m", "r").mapInArrow(asks, "part long, lo long, hi long, m long, x long, y long")
+    held = points.groupBy(axis).agg(F.sum("m").alias("weight")).mapInArrow(values, "part long, v long, weight long")
+    fields = "range long, x long, y long, m long, n long, sign long, weight long, psi double"
+    counted = saved.save(asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(count, fields))
+    weights = {r[0]: r[1] for r in counted.groupBy("range").agg(F.sum("weight")).collect()}  # a row a range
+    before = np.append(0, np.cumsum([weights.get(k, 0) for k in range(len(copies))]))
+    before = F.element_at(F.lit(before.tolist()), F.col("range").cast("int") + 1)
+    split = counted.where("x IS NOT NULL").groupBy("x", "y").agg(F.max("m").alias("m"), F.sum(F.col("n") + F.col("sign") * before).alias("n"))
+    out = sum(df.first()[0] or 0.0 for df in (counted.agg(F.sum("psi")), split.agg(F.sum(F.col("m") * digamma(F.col("n"))))))
+    saved.drop(counted)
+    return out
 
 
 def neighbour_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3, saved: Saved | None = None) -> DataFrame:
@@ -178,10 +332,10 @@ def neighbour_information(df: DataFrame, columns: Sequence[str], target: str, k:
             continue
         on = lambda v, mean, sd: F.round((F.col(v) - F.lit(mean)) / F.lit(sd) * GRID).cast("long").alias(v)
         points = own.save(rows.select(on("x", stats.x, stats.sx), on("y", stats.y, stats.sy)).groupBy("x", "y").agg(F.count("*").alias("m")))
-        radii = own.save(_radii(points, points.count(), k, own))
-        means = [_margin(radii, axis).agg(F.sum(F.col("m") * digamma(F.col("n") + 1))).first()[0] / stats.n for axis in ("x", "y")]
-        psi = df.sparkSession.range(1).select(digamma(F.lit(stats.n)) + digamma(F.lit(k))).first()[0]
-        out.append((c, stats.n, max(0.0, psi - sum(means))))
+        distinct = points.count()
+        radii = _radii(points, distinct, k, own)
+        means = [_margin(radii, axis, distinct, own) / stats.n for axis in ("x", "y")]
+        out.append((c, stats.n, max(0.0, float(psi(np.array([stats.n, k])).sum()) - sum(means))))
         own.drop(points), own.drop(radii)
     own.drop(own.root)
     return df.sparkSession.createDataFrame(out, "column string, n long, mi double")
