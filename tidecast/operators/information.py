@@ -14,7 +14,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,49 +128,49 @@ def _least(row: np.ndarray, d: np.ndarray, w: np.ndarray, k: int) -> tuple[np.nd
     return row[keep], d[keep], w[keep]
 
 
-def _radius(row: np.ndarray, d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Distance of the k-th neighbour: own - 1 copies lie at 0, then entries by row and distance; -1 if there are fewer than k."""
-    upto = np.cumsum(w)
-    start = np.searchsorted(row, row)
-    reached = np.flatnonzero(own[row] - 1 + upto - (upto - w)[start] >= k)
-    first = reached[np.diff(row[reached], prepend=-1) != 0]
-    out = np.full(len(own), -1, np.int64)
-    out[row[first]] = d[first]
-    return np.where(own > k, 0, out)
+def _radius(d: np.ndarray, w: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Distance of the k-th neighbour: own - 1 copies lie at 0, then neighbours (a row each, ascending, FAR and 0 where there are no more); -1 if there are fewer than k."""
+    reached = ((own - 1)[:, None] + np.cumsum(w, 1) >= k) & (w > 0)
+    return np.where(own > k, 0, np.where(reached.any(1), d[np.arange(len(d)), reached.argmax(1)], -1))
 
 
-def _home(p: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Radius of each point of a leaf among the leaf's points, and the (row, distance, weight) of its k nearest, by row and distance."""
+def _home(p: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Radius of each point of a leaf among the leaf's points, and distances and weights of its k nearest as in _radius()."""
     cells = Cells(p, own, max(CELL, 4 * k))
     count, size = cells.at.shape
-    k2, found = min(k, size), [[np.zeros(0, np.int64)] * 3]
+    filled, k2 = cells.at.max() + 1, min(k, size)
+    d, m = np.full((filled, k), FAR), np.zeros((filled, k), np.int64)
     step = max(1, PAIRS // size**2)
     for s in range(0, count, step):
-        q, w = cells.p[s : s + step], cells.w[s : s + step]
+        q, w, at = cells.p[s : s + step], cells.w[s : s + step], cells.at[s : s + step]
         gap = np.maximum(np.abs(q[:, :, None, 0] - q[:, None, :, 0]), np.abs(q[:, :, None, 1] - q[:, None, :, 1]))
         gap[(gap == 0) | (w == 0)[:, None, :]] = FAR
         near = np.argpartition(gap, k2 - 1, 2)[:, :, :k2]
-        g, w, row = np.take_along_axis(gap, near, 2), np.take_along_axis(w[:, None, :], near, 2), np.broadcast_to(cells.at[s : s + step, :, None], near.shape)
-        ok = (g < FAR) & (row < len(p))
-        found.append((row[ok], g[ok], w[ok]))
-    mine = _least(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-    r = _radius(*mine, own, k)
+        g, w = np.take_along_axis(gap, near, 2), np.take_along_axis(w[:, None, :], near, 2)
+        order = np.argsort(g, 2)
+        g, w = np.take_along_axis(g, order, 2), np.take_along_axis(w, order, 2)
+        d[at, :k2], m[at, :k2] = g, np.where(g < FAR, w, 0)
+    d, m = d[: len(p)], m[: len(p)]
+    r = _radius(d, m, own, k)
     bound = np.where(r < 0, FAR, r)
     # which cells a cell's points may reach at all, and then which of its points do
-    held = np.append(bound, np.zeros(cells.at.max() + 1 - len(p), np.int64))[cells.at]
+    held = np.append(bound, np.zeros(filled - len(p), np.int64))[cells.at]
     most = np.maximum(held.max(1) - 1, -1)[:, None, None]
     a, b = np.nonzero(((cells.hi[:, None] + most >= cells.lo[None]) & (cells.lo[:, None] - most <= cells.hi[None])).all(2) & ~np.eye(count, dtype=bool))
-    rows, others = [], []
-    for s in range(0, len(a), max(1, PAIRS // size)):
-        x, y = a[s : s + max(1, PAIRS // size)], b[s : s + max(1, PAIRS // size)]
+    rows, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, PAIRS // size)
+    for s in range(0, len(a), step):
+        x, y = a[s : s + step], b[s : s + step]
         pair, i = np.nonzero(cells.meets(cells.p[x], held[x], y[:, None]) & (held[x] > 1))
         rows.append(cells.at[x[pair], i])
         others.append(y[pair])
-    if rows:
-        more = cells.closer(p, bound, np.concatenate(rows), np.concatenate(others), k)
-        mine = _least(*(np.concatenate(x) for x in zip(mine, more, strict=True)), k)
-        r = _radius(*mine, own, k)
-    return r, mine
+    more = cells.closer(p, bound, np.concatenate(rows), np.concatenate(others), k)
+    some = np.unique(more[0])
+    mine = np.repeat(some, k), d[some].ravel(), m[some].ravel()
+    row, gap, w = _least(*(np.concatenate(x) for x in zip(mine, more, strict=True)), k)
+    at = np.arange(len(row)) - np.searchsorted(row, row)
+    d[row, at], m[row, at] = gap, w
+    return _radius(d, m, own, k), d, m
 
 
 def _two(t: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -200,11 +199,11 @@ def _radii(points: DataFrame, n: int, k: int, saved: Saved) -> DataFrame:
 
     def home(t: pa.Table) -> pa.Table:
         p, own = _two(t), t["m"].to_numpy()
-        r, (row, d, w) = _home(p, own, k)
+        r, d, w = _home(p, own, k)
         leaf, reach = t["leaf"][0].as_py(), np.maximum(r - 1, 0)[:, None]
         opened = (r < 0) | ((p - reach < tree.lo[leaf]) | (p + reach > tree.hi[leaf])).any(1)
-        keep = opened[row]  # the others need no candidates any more
-        lists = _lists(len(p), row[keep], d[keep], w[keep])
+        row, at = np.nonzero((w > 0) & opened[:, None])  # the others need no candidates any more
+        lists = _lists(len(p), row, d[row, at], w[row, at])
         return pa.table({"x": t["x"], "y": t["y"], "m": t["m"], "leaf": t["leaf"], "r": pa.array(r), "open": pa.array(opened), "d": lists[0], "w": lists[1]})
 
     first = saved.save(dealt.groupBy("leaf").applyInArrow(home, "x long, y long, m long, leaf long, r long, open boolean, d array<long>, w array<long>"))
@@ -249,61 +248,78 @@ def _radii(points: DataFrame, n: int, k: int, saved: Saved) -> DataFrame:
 def _margin(points: DataFrame, axis: str, n: int, saved: Saved) -> float:
     """Sum over all rows of psi(a + 1), where a counts the other rows whose value on the axis lies closer than r (equal ones if r is 0).
 
-    Cut points of a sample make ranges of about equal numbers of points. One that holds a commoner value is dealt to several
-    parts, each with all of the range's values, which are few then. Only a point whose box ends in two ranges is put together
-    from two counts and the weights of the ranges between them.
+    Cut points of a sample make ranges of about equal numbers of points, which are their values too. A range that holds a commoner
+    value is dealt to several parts, each with all of the range's values, which are few then. Only a point whose box ends in
+    two ranges is put together from two counts and the weights of the ranges between them.
     """
     ranges = max(RANGES, min(MOST, n // ROWS))
     drawn = points.select(axis).sample(fraction=min(1.0, DRAWN * ranges / max(1, n)), seed=1).limit(2 * DRAWN * ranges).collect()
     drawn = np.sort(np.array([r[0] for r in drawn], np.int64))
     cuts, slots = np.unique(drawn[[len(drawn) * i // ranges for i in range(1, ranges)]] if len(drawn) else drawn, return_counts=True)
     copies = np.append(1, slots)  # parts of each range
+    # halfway from the value before, as a cut at a common value would part the low ends of all its points from the high ones
+    before = drawn[np.maximum(np.searchsorted(drawn, cuts) - 1, 0)] if len(cuts) else cuts
+    cuts = np.where(before < cuts, before + (cuts - before + 1) // 2, cuts)
     base = np.append(0, np.cumsum(copies))
     to = lambda v: np.searchsorted(cuts, v, "right")
+    # rows counted: those up to the high end less those up to the low end
+    low, high = lambda at, r: np.where(r == 0, at - 1, at - r), lambda at, r: np.where(r == 0, at, at + r - 1)
+    ask, top, bottom, value = 0, 1, 2, 3  # a point that is settled in its part, its two ends elsewhere, and what only counts
 
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y, at, m, r = (b.column(c).to_numpy() for c in ("x", "y", axis, "m", "r"))
-            # rows counted: those up to hi less those up to lo
-            lo, hi = np.where(r == 0, at - 1, at - r), np.where(r == 0, at, at + r - 1)
-            i, j = to(lo), to(hi)
+            i, here, j = to(low(at, r)), to(at), to(high(at, r))
             mixed = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             part = lambda k: base[k] + ((mixed >> np.uint64(33)).astype(np.int64) % copies[k])
-            one, two = np.flatnonzero(i == j), np.flatnonzero(i != j)
-            row = pa.array(np.concatenate([one, two, two]))
-            none, few = [pa.nulls(len(s), pa.int64()) for s in (one, two)]
-            whole = [pa.array(v) for v in (x[two], y[two])]
-            lows = pa.concat_arrays([pa.array(lo[one]), pa.array(lo[two]), few])
-            highs = pa.concat_arrays([pa.array(hi[one]), few, pa.array(hi[two])])
-            parts = pa.array(np.concatenate([part(i)[one], part(i)[two], part(j)[two]]))
-            yield pa.RecordBatch.from_arrays([parts, lows, highs, pa.array(m).take(row), *(pa.concat_arrays([none, v, v]) for v in whole)], names=["part", "lo", "hi", "m", "x", "y"])
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = ((ask, i == j, i), (top, i != j, j), (bottom, i != j, i), (value, (i != j) & (copies[here] == 1), here))
+            rows = [np.flatnonzero(of) for _, of, _ in kinds]
+            row, ends = np.concatenate(rows), np.repeat([False, True, True, False], [*map(len, rows)])
+            parts = np.concatenate([part(k)[rows[kind]] for kind, _, k in kinds])
+            kind = np.repeat(np.arange(4), [*map(len, rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(kind), pa.array(at[row]), pa.array(r[row]), pa.array(m[row]), pa.array(x[row], mask=~ends), pa.array(y[row], mask=~ends)], names=["part", "kind", "at", "r", "m", "x", "y"])
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array(copies[to(b.column(0).to_numpy())] > 1)
+            yield b.filter(keep)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = to(b.column(0).to_numpy())
             row = np.repeat(np.arange(len(k)), copies[k])
             part = base[k[row]] + np.arange(len(row)) - np.repeat(np.cumsum(copies[k]) - copies[k], copies[k])
-            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["part", "v", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], names=["part", "v", "m"])
 
-    def count(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def count(asked: pa.Table, held: pa.Table | None = None) -> pa.Table:
         part = (asked if len(asked) else held)["part"][0].as_py()
-        v, weight = held["v"].to_numpy(), held["weight"].to_numpy()
+        range_ = int(np.searchsorted(base, part, "right")) - 1
+        kind, at, r, m = (asked[c].to_numpy() for c in ("kind", "at", "r", "m"))
+        if copies[range_] == 1:
+            own = (kind == ask) | (kind == value)
+            v, weight = at[own], m[own]
+        else:
+            v, weight = held["v"].to_numpy(), held["m"].to_numpy()
         order = np.argsort(v)
         upto, v = np.append(0, np.cumsum(weight[order])), v[order]
-        under = lambda c: upto[np.searchsorted(v, c.to_numpy(), "right")]
-        here, split = asked.filter(pc.is_null(asked["x"])), asked.filter(pc.is_valid(asked["x"]))
-        high = split["hi"].is_valid().to_numpy()
-        some = np.where(high, 1, -1) * under(pc.coalesce(split["hi"], split["lo"]))
-        k = int(np.searchsorted(base, part, "right")) - 1
-        total = float((here["m"].to_numpy() * psi(under(here["hi"]) - under(here["lo"]))).sum())
-        first = lambda x, kind, rest: pa.concat_arrays([pa.array([x], kind), pa.nulls(len(split), kind) if rest is None else rest])
-        plain = {c: first(None, pa.int64(), split[c].combine_chunks()) for c in ("x", "y", "m")}
-        return pa.table({"range": pa.array(np.full(len(split) + 1, k)), **plain, "n": first(None, pa.int64(), pa.array(some)), "sign": first(None, pa.int64(), pa.array(np.where(high, 1, -1))), "weight": first(int(upto[-1]) if part == base[k] else 0, pa.int64(), None), "psi": first(total, pa.float64(), None)})
-
-    asked = points.select("x", "y", "m", "r").mapInArrow(asks, "part long, lo long, hi long, m long, x long, y long")
-    held = points.groupBy(axis).agg(F.sum("m").alias("weight")).mapInArrow(values, "part long, v long, weight long")
+        under = lambda c: upto[np.searchsorted(v, c, "right")]
+        here, ends = kind == ask, np.flatnonzero((kind == top) | (kind == bottom))
+        total = float((m[here] * psi(under(high(at[here], r[here])) - under(low(at[here], r[here])))).sum())
+        up = kind[ends] == top
+        some = np.where(up, under(high(at[ends], r[ends])), -under(low(at[ends], r[ends])))
+        first = lambda x, rest: pa.concat_arrays([pa.array([x], rest.type), rest])
+        none = pa.nulls(len(ends), pa.int64())
+        who = {c: first(None, asked[c].combine_chunks().take(pa.array(ends))) for c in ("x", "y", "m")}
+        return pa.table({"range": pa.array(np.full(len(ends) + 1, range_)), **who, "n": first(None, pa.array(some)), "sign": first(None, pa.array(np.where(up, 1, -1))), "weight": first(int(upto[-1]) if part == base[range_] else 0, none), "psi": first(total, none.cast(pa.float64()))})
+
+    asked = points.select("x", "y", "m", "r").mapInArrow(deal, "part long, kind long, at long, r long, m long, x long, y long").groupBy("part")
     fields = "range long, x long, y long, m long, n long, sign long, weight long, psi double"
-    counted = saved.save(asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(count, fields))
+    if (copies > 1).any():
+        values = points.select(axis, "m").mapInArrow(common, f"{axis} long, m long").groupBy(axis).agg(F.sum("m").alias("m"))
+        held = values.mapInArrow(spread, "part long, v long, m long")
+        counted = saved.save(asked.cogroup(held.groupBy("part")).applyInArrow(count, fields))
+    else:
+        counted = saved.save(asked.applyInArrow(lambda t: count(t), fields))
     weights = {r[0]: r[1] for r in counted.groupBy("range").agg(F.sum("weight")).collect()}  # a row a range
     before = np.append(0, np.cumsum([weights.get(k, 0) for k in range(len(copies))]))
     before = F.element_at(F.lit(before.tolist()), F.col("range").cast("int") + 1)
