@@ -68,7 +68,7 @@ def test_angles_at_the_wrap_and_at_bin_edges_equal_sql(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name", ["misleading_cells", "circular_distance"])
 def test_angles_330_apart_equal_sql(spark, tmp_path, name):
-    """Prices whose angle lies 330 degrees, give or take a last bit, from their quantity's angle: 30 the shortest way."""
+    """Prices whose angle lies 330 degrees, give or take a last bit, from their quantity's angle: 29.999999999999943 mustn't become 30."""
     lines = [(k, 1, k, (q * 720 + 33000 + turns * 36000) % 36000 / 100 + 360.0 * turns, float(q), 0.0, "N") for k, (q, turns) in enumerate((q, t) for q in range(1, 51) for t in range(3, 291))]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     con = duckdb.connect()
